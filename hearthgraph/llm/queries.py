@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing
-from .common import documents
+from . import exact_dedup, language, media, mixing, toxicity
+from .common import crc_mod, documents
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 3) == 1
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +26,22 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
 
+def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", 5) != 0).select("doc_id", "toxic")
+    return toxicity.fit(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(documents(spark, sf_dir), toxic_model(spark, sf_dir))
+    return scored.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_media, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op6_toxicity, op10_exact_dedup)}
 
 
 def _level(name: str, above: list[str], source: str, weight: str) -> str:
