@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, media, mixing, toxicity
+from . import exact_dedup, html_blocks, language, media, mixing, segment, toxicity
 from .common import crc_mod, documents
 
 
@@ -36,12 +36,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
 
 
+#: Where the vocabulary of pieces lies on every executor.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_segmentation(spark: SparkSession, sf_dir: str, model_file: str = PIECE_MODEL) -> DataFrame:
+    return segment.encode(documents(spark, sf_dir), model_file)
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op6_toxicity, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op6_toxicity, op7_segmentation, op8_main_text, op10_exact_dedup)}
 
 
 def _level(name: str, above: list[str], source: str, weight: str) -> str:
