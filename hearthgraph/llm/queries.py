@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_blocks, language, media, mixing, segment, toxicity
-from .common import crc_mod, documents
+from . import exact_dedup, html_blocks, language, media, mixing, segment, toxicity, transcripts
+from .common import crc_mod, cut, documents
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,24 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts are made from the turns, every role is recovered from the raw lines, and held against the table."""
+    chunks = cut(transcripts.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    held_out = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(3)) == 1
+    model = transcripts.fit(chunks.where(~held_out))
+    found = transcripts.parse(chunks, model).withColumnRenamed("states", "found")
+    right = F.size(F.filter(F.arrays_zip("states", "found"), lambda x: F.floor(x["states"] / 2) == F.floor(x["found"] / 2)))
+    return found.join(chunks, ["key", "chunk"]).select(
+        F.when(F.col("key") != "none", F.col("key")).cast("long").alias("conv_id"), "chunk", held_out.alias("held_out"), "n_lines", "n_turns", right.cast("long").alias("n_right"), "canonical"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op6_toxicity, op7_segmentation, op8_main_text, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op6_toxicity, op7_segmentation, op8_main_text, op9_transcripts, op10_exact_dedup)}
 
 
 def _level(name: str, above: list[str], source: str, weight: str) -> str:
