@@ -28,11 +28,12 @@ SENTENCE = re.compile(r"[.!?\n]+")
 @dataclass(frozen=True)
 class Settings:
     """sample_docs: about so many labelled documents of either class are fitted on. min_docs: a word needs so many of
-    them to get a weight. bias: a sentence's logit without known words, at the start. leak: a document's score
+    them to get a weight. max_share: and is in at most this share of them. bias: a sentence's logit without known words, at the start. leak: a document's score
     without any sentence. l1, l1_docs: penalty of a weight, at least that share of one toxic document. rounds, rate: of Adam."""
 
-    sample_docs: int = 4_000
+    sample_docs: int = 1_500
     min_docs: int = 4
+    max_share: float = 0.5
     bias: float = -5.0
     leak: float = 0.01
     l1: float = 1e-4
@@ -83,14 +84,12 @@ def noisy_or(p: np.ndarray, leak: float) -> float:
     return float(1 - (1 - leak) * np.exp(np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()))
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, n_words: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias from documents given as lists of sentences of word numbers. Deterministic."""
-    sizes = np.array([len(x) for doc in bags for x in doc], np.int64)
-    per_doc = np.array([len(doc) for doc in bags], np.int64)
-    words = np.concatenate([x for doc in bags for x in doc]) if len(sizes) and sizes.sum() else np.zeros(0, np.int64)
-    sent = np.repeat(np.arange(len(sizes)), sizes)
-    doc = np.repeat(np.arange(len(bags)), per_doc)
-    y, n = labels.astype(float), len(bags)
+def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.ndarray, n_words: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias from feature numbers in page order, features a sentence and sentences a document. Deterministic."""
+    words = words.astype(np.int32)
+    sent = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
+    y, n = labels.astype(float), len(per_doc)
     balance = np.where(y == 1, n / max(2 * y.sum(), 1), n / max(2 * (n - y.sum()), 1))
     theta = np.append(_log_odds(words, doc[sent], y, n_words), s.bias)
     l1 = max(s.l1, s.l1_docs / (2 * max(y.sum(), 1)))
@@ -121,7 +120,7 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, n_words: int, s: Set
 
 def _log_odds(words: np.ndarray, doc: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
     """A start for the weights: each word's log odds in documents of either class, less two standard errors."""
-    pair = np.unique(words * len(y) + doc)
+    pair = np.unique(words.astype(np.int64) * len(y) + doc)
     w, d = pair // len(y), pair % len(y)
     pos, neg = np.bincount(w, weights=y[d], minlength=n_words), np.bincount(w, weights=1 - y[d], minlength=n_words)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
@@ -152,20 +151,26 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "docs"])
 
     counts = rows.select("_t").mapInArrow(words_of, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    vocabulary = sorted(r["word"] for r in counts.where(F.col("docs") >= s.min_docs).collect())  # bounded by the sample
+    fitted = sum(min(n, s.sample_docs) for n in sizes.values())
+    usual = counts.where((F.col("docs") >= s.min_docs) & (F.col("docs") <= max(s.min_docs, s.max_share * fitted)))
+    vocabulary = sorted(r["word"] for r in usual.collect())  # bounded by the sample
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            flat, sizes = [], []
             for text in batch.column(1).to_pylist():
                 text = text.lower()
-                out.append([_numbers(text, a, b, number) for a, b in sentences(text)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(out, pa.list_(pa.list_(pa.int32()))), batch.column(2)], ["_id", "bag", "_y"])
-
-    sample = rows.select("_id", "_t", "_y").mapInArrow(bags_of, "_id string, bag array<array<int>>, _y int").toArrow().sort_by("_id")
-    bags = [[np.array(x, np.int64) for x in doc] for doc in sample["bag"].to_pylist()]
-    theta, bias = train(bags, sample["_y"].to_numpy(), len(vocabulary), s)
+                own = [_numbers(text, a, b, number) for a, b in sentences(text)]
+                flat.append(np.array([f for x in own for f in x], np.int32))
+                sizes.append(np.array([len(x) for x in own], np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(flat, kind), pa.array(sizes, kind), batch.column(2)], ["_id", "flat", "sizes", "_y"])
+
+    sample = rows.select("_id", "_t", "_y").mapInArrow(bags_of, "_id string, flat array<int>, sizes array<int>, _y int").toArrow().sort_by("_id")
+    flat, sizes = sample["flat"].combine_chunks(), sample["sizes"].combine_chunks()
+    per_doc, labels = sizes.value_lengths().to_numpy(), sample["_y"].to_numpy()
+    theta, bias = train(flat.flatten().to_numpy(), sizes.flatten().to_numpy(), per_doc, labels, len(vocabulary), s)
     return Model({w: float(t) for w, t in zip(vocabulary, theta) if abs(t) > 0.05}, bias, s.leak)
 
 
