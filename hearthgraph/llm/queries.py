@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_blocks, jaccard_join, language, media, mixing, segment, toxicity, transcripts
+from . import exact_dedup, html_blocks, jaccard_join, language, media, mixing, segment, suffix_dedup, toxicity, transcripts
 from .common import crc_mod, cut, documents
 
 
@@ -26,6 +26,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir))
 
@@ -69,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op5_jaccard_join, op6_toxicity, op7_segmentation, op8_main_text, op9_transcripts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op4_suffix_dedup, op5_jaccard_join, op6_toxicity, op7_segmentation, op8_main_text, op9_transcripts, op10_exact_dedup)}
 
 
 def _level(name: str, above: list[str], source: str, weight: str) -> str:
