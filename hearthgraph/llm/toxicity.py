@@ -202,19 +202,22 @@ def score_text(text: str, weights: Weights, bias: float, leak: float) -> tuple[f
     return 1 - math.exp(log_no), n, offending
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted, n_sentences, n_offending. Null text counts as empty and scores the leak."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id (or the columns `keep`), score, predicted, n_sentences, n_offending. Null text counts as empty and scores the leak."""
+    keep = keep or [id_col]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(model)
         for batch in batches:
-            got = [score_text(t.as_py() or "", weights, model.bias, model.leak) for t in batch.column(1)]
+            got = [score_text(t.as_py() or "", weights, model.bias, model.leak) for t in batch.column(0)]
             p = np.array([x[0] for x in got])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()),
-            ], [id_col, "score", "predicted", "n_sentences", "n_offending"])
+                *batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()),
+            ], [*keep, "score", "predicted", "n_sentences", "n_offending"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, n_sentences long, n_offending long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    rows = docs.select(F.col(text_col).alias("_scored"), *[F.col(f"`{c}`") for c in keep])
+    return rows.mapInArrow(run, f"{kinds}, score double, predicted int, n_sentences long, n_offending long")
 
 
 def offending(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
