@@ -58,7 +58,7 @@ def grams(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     rows = np.append(rows, max(len(off) - 2, 0))
     blank = b == 32
     keep = np.ones(len(b), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[1:] = ~(blank[1:] & blank[:-1]) | (rows[1:] != rows[:-1])
     b, rows = b[keep], rows[keep]
     m = len(b) - n + 1
     if m <= 0:
@@ -67,7 +67,7 @@ def grams(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     for j in range(n):
         g |= b[j : j + m].astype(U64) << U64(8 * j)
     same = rows[:m] == rows[n - 1 :]
-    same |= (rows[:m] == rows[n - 2 : n - 2 + m]) & (b[n - 1 :] == 32)  # the next row's blank closes this row's last word
+    same |= (rows[:m] == rows[n - 2 : n - 2 + m]) & (b[n - 1 :] == 32) & (b[n - 2 : n - 2 + m] != 32)  # the next row's blank closes this row's last word
     return g[same], rows[:m][same]
 
 
