@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions import dates
 
 #: The year that counts as now.
@@ -23,7 +24,7 @@ SURNAMES = "Brooks,Holmes,Slack,Land,Wheat,Spencer,Doxey,Allen,Potter,Hall"
 PLACES = "Belper|Derby, Derbyshire|WIRKSWORTH|Crich, Derbyshire, England|Ashover?|Matlock,"
 
 #: Year of birth by generation: the key's length in bits.
-_BASE = "1520 + 28 * least(length(bin({k})), 15) + ({k} * 7) % 23"
+_BASE = "1520 + 28 * least(length(bin({k})), 15) + ({k} * 7) % 23 - CASE WHEN {k} % 67 = 12 THEN 45 ELSE 0 END"
 
 
 def _base(k: str) -> str:
@@ -38,14 +39,14 @@ _Y = f"CAST({_base('c_custkey')} AS STRING)"
 _D = f"({_base('c_custkey')} + (c_custkey * 13) % 118 - 3)"
 PROFILES = {
     "id": "c_custkey",
-    "given": f"CASE WHEN c_custkey % 37 = 5 THEN NULL WHEN c_custkey % 41 = 7 THEN '?' WHEN c_custkey % 43 = 9 THEN 'J' WHEN c_custkey % 17 = 3 THEN {_pick(GIVEN, 'c_custkey % 12')} || ' Lee' ELSE {_pick(GIVEN, 'c_custkey % 12')} END",
+    "given": f"CASE WHEN c_custkey % 37 = 5 OR c_custkey % 202 = 50 THEN NULL WHEN c_custkey % 41 = 7 THEN '?' WHEN c_custkey % 43 = 9 THEN 'J' WHEN c_custkey % 17 = 3 THEN {_pick(GIVEN, 'c_custkey % 12')} || ' Lee' ELSE {_pick(GIVEN, 'c_custkey % 12')} END",
     "middle": "CASE WHEN c_custkey % 5 = 0 THEN 'May' END",
     "surname": f"CASE WHEN c_custkey % 53 = 11 THEN NULL ELSE {_pick(SURNAMES, '((c_custkey - c_custkey % 8) / 8) % 10')} END",
     "married_surname": f"CASE WHEN c_custkey % 6 = 1 THEN {_pick(SURNAMES, 'c_custkey % 10')} END",
-    "gender": "CASE WHEN c_custkey % 47 = 13 THEN NULL WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END",
-    "birth_raw": f"""CASE CAST(c_custkey % 11 AS INT) WHEN 0 THEN 'ABT ' || {_Y} WHEN 1 THEN 'EST ' || {_Y} WHEN 2 THEN 'CAL ' || {_Y} WHEN 3 THEN 'BEF ' || {_Y} WHEN 4 THEN 'AFT ' || {_Y}
-        WHEN 5 THEN 'BET ' || CAST({_base('c_custkey')} - c_custkey % 20 AS STRING) || ' AND ' || {_Y} WHEN 6 THEN substr({_Y}, 1, 3) || '0s' WHEN 7 THEN CASE WHEN c_custkey % 2 = 0 THEN '?' END ELSE {_Y} END""",
-    "death_raw": f"CASE WHEN c_custkey % 4 = 1 THEN NULL WHEN c_custkey % 59 = 20 THEN 'soon' WHEN c_custkey % 61 = 21 THEN '31 FEB 1850' WHEN c_custkey % 7 = 2 THEN 'ABT ' || CAST({_D} AS STRING) ELSE CAST({_D} AS STRING) END",
+    "gender": "CASE WHEN c_custkey % 47 = 13 THEN NULL WHEN c_custkey % 2 = 0 OR c_custkey % 16 = 15 THEN 'male' ELSE 'female' END",
+    "birth_raw": f"""CASE WHEN c_custkey % 202 = 50 THEN NULL ELSE CASE CAST(c_custkey % 11 AS INT) WHEN 0 THEN 'ABT ' || {_Y} WHEN 1 THEN 'EST ' || {_Y} WHEN 2 THEN 'CAL ' || {_Y} WHEN 3 THEN 'BEF ' || {_Y} WHEN 4 THEN 'AFT ' || {_Y}
+        WHEN 5 THEN 'BET ' || CAST({_base('c_custkey')} - c_custkey % 20 AS STRING) || ' AND ' || {_Y} WHEN 6 THEN substr({_Y}, 1, 3) || '0s' WHEN 7 THEN CASE WHEN c_custkey % 2 = 0 THEN '?' END ELSE {_Y} END END""",
+    "death_raw": f"CASE WHEN c_custkey % 4 = 1 OR c_custkey % 202 = 50 THEN NULL WHEN c_custkey % 59 = 20 THEN 'soon' WHEN c_custkey % 61 = 21 THEN '31 FEB 1850' WHEN c_custkey % 7 = 2 THEN 'ABT ' || CAST({_D} AS STRING) ELSE CAST({_D} AS STRING) END",
     "birth_place": f"CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE {_pick(PLACES, 'c_custkey % 6', '|')} END",
     "death_place": f"CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE {_pick(PLACES, '(c_custkey * 5) % 6', '|')} END",
     "bio": "CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'Short note' ELSE 'A long account of a life with many words' || CASE WHEN c_custkey % 2 = 0 THEN ' <ref>1</ref> and more' ELSE ' that cites nothing at all' END END",
@@ -80,7 +81,9 @@ EDGES = {
     "third_parent": ("c_custkey > 20 AND c_custkey % 83 = 0", "CAST((c_custkey - c_custkey % 2) / 2 AS BIGINT) + 2"),
 }
 _ROLE = "CASE WHEN (from_id + CASE WHEN to_id % 29 = 0 THEN 1 ELSE 0 END) % 2 = 0 THEN 'father' ELSE 'mother' END"
-SPOUSES = "c_custkey % 4 <> 3"
+SPOUSES = "c_custkey % 4 <> 3 AND c_custkey % 44 <> 28"
+#: Some people stay without edges, and some without parents.
+LINKED = "from_id % 101 <> 50 AND to_id % 101 <> 50 AND NOT (type = 'parent' AND to_id % 44 = 29)"
 _MARRIED = f"CASE WHEN c_custkey % 9 = 8 THEN NULL ELSE CAST({_base('c_custkey')} + (c_custkey * 3) % 60 + 8 AS INT) END"
 
 
@@ -99,6 +102,13 @@ class Catalog:
     spark: SparkSession
     sf_dir: str
 
+    def written(self) -> Catalog:
+        """The same tables with people and edges written to the shared folder once, for jobs that read them many times."""
+        out = Catalog(self.spark, self.sf_dir)
+        out.__dict__.update(edges=cut(self.edges))
+        out.__dict__.update(people=cut(out.people))
+        return out
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -121,7 +131,7 @@ class Catalog:
             F.lit(None).cast("string").alias("role"), F.expr(_MARRIED).alias("year"),
         )
         # only edges between people that are there
-        both = parents.unionByName(spouses)
+        both = parents.unionByName(spouses).where(LINKED)
         return both.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
     @cached_property
@@ -185,20 +195,21 @@ def _parse_sql(f: str) -> str:
 
 _OWN = "id given surname gender be bl bb de dl db".split()
 #: Common table expressions of the carriers for the other engine.
-PREFIX = f"""WITH profiles AS (SELECT * EXCLUDE (is_deleted) FROM (SELECT {_sql(PROFILES)} FROM customer) WHERE NOT is_deleted),
+PREFIX = f"""WITH profiles AS MATERIALIZED (SELECT * EXCLUDE (is_deleted) FROM (SELECT {_sql(PROFILES)} FROM customer) WHERE NOT is_deleted),
 all_edges AS ({" UNION ALL ".join(f"SELECT 'parent' AS type, from_id, to_id, {_ROLE} AS role, CAST(NULL AS INT) AS year FROM (SELECT {parent} AS from_id, c_custkey AS to_id FROM customer WHERE {when})" for when, parent in EDGES.values())}
   UNION ALL SELECT 'spouse', c_custkey, CASE WHEN c_custkey % 211 = 40 THEN c_custkey ELSE c_custkey + 1 END, CAST(NULL AS STRING), {_MARRIED} FROM customer WHERE {SPOUSES}),
-edges AS (SELECT * FROM all_edges WHERE from_id IN (SELECT id FROM profiles) AND to_id IN (SELECT id FROM profiles)),
-parents AS (SELECT from_id, to_id, role FROM edges WHERE type = 'parent'),
-spouses AS (SELECT from_id AS id, to_id AS other, year FROM edges WHERE type = 'spouse' AND from_id <> to_id UNION ALL SELECT to_id, from_id, year FROM edges WHERE type = 'spouse' AND from_id <> to_id),
+edges AS MATERIALIZED (SELECT * FROM all_edges WHERE {LINKED} AND from_id IN (SELECT id FROM profiles) AND to_id IN (SELECT id FROM profiles)),
+parents AS MATERIALIZED (SELECT from_id, to_id, role FROM edges WHERE type = 'parent'),
+spouses AS MATERIALIZED (SELECT from_id AS id, to_id AS other, year FROM edges WHERE type = 'spouse' AND from_id <> to_id UNION ALL SELECT to_id, from_id, year FROM edges WHERE type = 'spouse' AND from_id <> to_id),
 dated AS (SELECT *, {_parse_sql('birth')}, {_parse_sql('death')} FROM profiles),
-people AS (SELECT d.*, CASE WHEN be IS NULL THEN bl WHEN bl IS NULL THEN be ELSE (be + bl) // 2 END AS bb, CASE WHEN de IS NULL THEN dl WHEN dl IS NULL THEN de ELSE (de + dl) // 2 END AS db,
-  (SELECT count(*) FROM parents WHERE to_id = d.id) AS n_parents, (SELECT count(*) FROM parents WHERE from_id = d.id) AS n_children, (SELECT count(*) FROM spouses s WHERE s.id = d.id) AS n_spouses,
-  de IS NULL AND dl IS NULL AND (bl IS NULL OR bl + 100 >= {AS_OF}) AS living FROM dated d),
+people AS MATERIALIZED (SELECT d.*, CASE WHEN be IS NULL THEN bl WHEN bl IS NULL THEN be ELSE (be + bl) // 2 END AS bb, CASE WHEN de IS NULL THEN dl WHEN dl IS NULL THEN de ELSE (de + dl) // 2 END AS db,
+  coalesce(np, 0) AS n_parents, coalesce(nc, 0) AS n_children, coalesce(ns, 0) AS n_spouses,
+  de IS NULL AND dl IS NULL AND (bl IS NULL OR bl + 100 >= {AS_OF}) AS living FROM dated d
+  LEFT JOIN (SELECT to_id AS id, count(*) AS np FROM parents GROUP BY 1) a ON a.id = d.id LEFT JOIN (SELECT from_id AS id, count(*) AS nc FROM parents GROUP BY 1) b ON b.id = d.id LEFT JOIN (SELECT id, count(*) AS ns FROM spouses GROUP BY 1) c ON c.id = d.id),
 parent_pairs AS (SELECT e.*, {", ".join(f"c.{x} AS c_{x}, p.{x} AS p_{x}" for x in _OWN)} FROM parents e JOIN people c ON e.to_id = c.id JOIN people p ON e.from_id = p.id),
 marriages AS (SELECT s.other, s.year, p.* FROM spouses s JOIN people p ON s.id = p.id),
-life AS (SELECT {_sql(ORDERS['life'])} FROM orders),
-records AS (SELECT {_sql(ORDERS['records'])} FROM orders)
+life AS MATERIALIZED (SELECT {_sql(ORDERS['life'])} FROM orders),
+records AS MATERIALIZED (SELECT {_sql(ORDERS['records'])} FROM orders)
 """
 
 

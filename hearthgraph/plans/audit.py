@@ -185,9 +185,9 @@ def findings(cat: Catalog, rules: tuple[Rule, ...] = RULES, mutes: DataFrame | N
     """All rules' rows: rule_id, profile_id, severity, category, related.
 
     mutes (rule_id, profile_id; null profile_id mutes the rule for everyone) are left out. People without a name get
-    issues only.
+    issues only. People and edges are written once for all rules.
     """
-    out = None
+    cat, out = cat.written(), None
     for r in rules:
         part = r.rows(cat).select(F.lit(r.name).alias("rule_id"), "profile_id", "severity", F.lit(r.category).alias("category"), "related")
         out = part if out is None else out.unionByName(part)

@@ -40,10 +40,11 @@ _MADE = {
         FROM (SELECT to_id, min(from_id) AS p FROM parents GROUP BY to_id HAVING count(DISTINCT from_id) = 1) o JOIN spouses s ON s.id = o.p
         WHERE EXISTS (SELECT 1 FROM parents x JOIN parents y ON x.to_id = y.to_id WHERE x.from_id = o.p AND y.from_id = s.other AND x.to_id <> o.to_id)
         GROUP BY o.to_id HAVING count(DISTINCT s.other) = 1""",
-    "datelessReadsAsLiving": f"""SELECT id AS profile_id, 'warning' AS severity, '' AS related FROM (
-        SELECT p.id, (SELECT max(q.bb) FROM parents x JOIN parents y ON x.from_id = y.from_id JOIN people q ON q.id = y.to_id WHERE x.to_id = p.id AND y.to_id <> p.id) AS sib,
-          (SELECT max(q.bb) FROM spouses s JOIN people q ON q.id = s.other WHERE s.id = p.id) AS mate, (SELECT min(q.bb) FROM parents x JOIN people q ON q.id = x.to_id WHERE x.from_id = p.id) AS child
-        FROM people p WHERE coalesce(be, bl, de, dl) IS NULL) WHERE least(sib + 20, mate + 20, child - 14) + 100 < {AS_OF}""",
+    "datelessReadsAsLiving": f"""SELECT p.id AS profile_id, 'warning' AS severity, '' AS related FROM people p
+        LEFT JOIN (SELECT x.to_id AS id, max(q.bb) AS sib FROM parents x JOIN parents y ON x.from_id = y.from_id AND y.to_id <> x.to_id JOIN people q ON q.id = y.to_id GROUP BY 1) a ON a.id = p.id
+        LEFT JOIN (SELECT s.id, max(q.bb) AS mate FROM spouses s JOIN people q ON q.id = s.other GROUP BY 1) b ON b.id = p.id
+        LEFT JOIN (SELECT x.from_id AS id, min(q.bb) AS child FROM parents x JOIN people q ON q.id = x.to_id GROUP BY 1) c ON c.id = p.id
+        WHERE coalesce(be, bl, de, dl) IS NULL AND least(sib + 20, mate + 20, child - 14) + 100 < {AS_OF}""",
     "duplicateDetection": f"SELECT a AS profile_id, 'warning' AS severity, string_agg(CAST(b AS STRING), ',' ORDER BY b) AS related FROM ({_DUP}) WHERE score >= 0.7 GROUP BY a",
     "siblingIdentityCollision": f"""SELECT a.id AS profile_id, 'warning' AS severity, CAST(b.id AS STRING) AS related
         FROM (SELECT p.*, list_sort(list(DISTINCT e.from_id)) AS ps FROM people p JOIN parents e ON e.to_id = p.id GROUP BY ALL) a
