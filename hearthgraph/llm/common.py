@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def snug(df: DataFrame, rows: int, per: int = 250_000) -> DataFrame:
+    """As many partitions as a known number of rows needs: small tables don't leave a file for each of many partitions."""
+    return df.coalesce(1 + rows // per)
+
+
 def crc_mod(id_col: str, k: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(k))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, snug
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,12 +17,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
+    n = both.count()
+    both = snug(both, n)
+    labels = cut(snug(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), n))
     for _ in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        near = snug(both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b"), n).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        lower = snug(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low")), n)
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = cut(lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) != F.col("root")).alias("moved")))
+        new = lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) != F.col("root")).alias("moved"))
+        new = cut(snug(new, n))
         labels = new.select("node", "root")
         if new.where("moved").isEmpty():
             break

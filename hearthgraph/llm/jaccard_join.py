@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, pieces, prefix_hash, span_hash, utf8
+from .common import U64, cut, mix64, pieces, prefix_hash, snug, span_hash, utf8
 from .graph import components
 
 #: Fixed by the contract: A-Z to lower case, and what separates words.
@@ -39,6 +39,8 @@ FREQUENT = 0.01
 BROADCAST_ROWS = 500_000
 ORDERS = 3
 LEADER_ROUNDS = 2
+#: Sets to a partition, where their number is known.
+SETS = 20_000
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +216,10 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
     shared = sent.withColumns({"_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)}).where("_lo <> _hi").select("token", "ent", "n")
     enough = "size(ts) >= greatest(1, CAST(ceil(3 * n / 16.0) AS INT))"
     able = cut(shared.groupBy("ent", "n").agg(F.collect_set("token").alias("ts")).where(enough))
+    n_able = able.count()
+    able = snug(able, n_able, SETS)
     spread = able.select("ent", "n", F.explode("ts").alias("token")).withColumns({"df": F.count(F.lit(1)).over(by_token), "_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)})
-    able = cut(spread.where("_lo <> _hi").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where(enough))
+    able = cut(snug(spread.where("_lo <> _hi").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where(enough), n_able, SETS))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +231,7 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
 
     able = cut(able.mapInArrow(prefixes, "ent long, n long, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))))
     reps = classes.join(able.select(F.col("ent").alias("s1")), "s1", "left_semi").select(F.col("rep").alias("id"))
-    if able.count() <= BROADCAST_ROWS:
+    if n_able <= BROADCAST_ROWS:
         reps = F.broadcast(reps)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +244,7 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
 
     texts = base.join(reps, base["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(full, "ent long, tokens array<long>").dropDuplicates(["ent"])
-    sets = cut(sets.join(able, "ent").select("ent", "n", "tokens", "p1", "p2"))
+    sets = cut(snug(sets.join(able, "ent").select("ent", "n", "tokens", "p1", "p2"), n_able, SETS))
     lists = [cut(able.select("ent", "n", F.explode(f"p{k}").alias("token"))) for k in range(ORDERS)]
 
     found = None
@@ -252,7 +256,7 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
         led = open_.withColumn("lead", F.min(rank).over(by_token)).where("lead.root <> root")
         votes = led.groupBy("ent", F.col("lead.ent").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
         best = votes.groupBy("ent").agg(F.max(F.struct("votes", "b")).alias("x")).select(F.col("ent").alias("a"), F.col("x.b").alias("b"))
-        links = cut(_verified(best, sets))
+        links = cut(snug(_verified(snug(best, n_able, SETS), sets), n_able, SETS))
         found = links if found is None else cut(found.unionByName(links))
         roots = components(found)
     pairs = None
