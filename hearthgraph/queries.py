@@ -448,7 +448,7 @@ def j6_search(cat):
     return found.orderBy(F.desc("score"), "page").limit(25)
 
 
-@query("F13_plain_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages".replace('""', '"'), carriers=False)
+@query("F13_plain_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages", carriers=False)
 def f13_plain(cat):
     return cat.table("pages").select("page_id", corpus.plain_text(F.col("html")).alias("text"))
 
