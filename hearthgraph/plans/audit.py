@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..carriers import AS_OF, Catalog
 from ..functions import dates, names
 
 SEVERITIES = ("error", "warning", "info")
-NONE = F.array().cast("array<long>")
+
+
+def _none() -> Column:
+    return F.array().cast("array<long>")
 
 
 @dataclass(frozen=True)
@@ -37,11 +40,12 @@ class Rule:
         if self.make:
             return self.make(cat).select("profile_id", "severity", "related")
         found = F.when(F.expr(self.certain), self.severity).when(F.expr(self.likely), "warning")
-        related = F.array(F.col(self.related)).cast("array<long>") if self.related else NONE
+        related = F.array(F.col(self.related)).cast("array<long>") if self.related else _none()
         return getattr(cat, self.over).select(F.col(self.subject).alias("profile_id"), found.alias("severity"), related.alias("related")).where("severity IS NOT NULL")
 
 
-def _flag(df: DataFrame, severity: str, related=NONE, subject: str = "id") -> DataFrame:
+def _flag(df: DataFrame, severity: str, related: Column | None = None, subject: str = "id") -> DataFrame:
+    related = _none() if related is None else related
     return df.select(F.col(subject).alias("profile_id"), F.lit(severity).alias("severity"), related.alias("related"))
 
 
