@@ -27,10 +27,24 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hearthgraph-checkpoints")
 
 
+#: Spark's setting that drops a query's shuffle files when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: later readers survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise in the shared folder: later readers survive the loss of any executor.
+
+    Shuffle files of the written query go at once, as nothing reads them again; the caller's setting is put back.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        # a query takes the setting when it is made
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
 
 
 def snug(df: DataFrame, rows: int, per: int = 250_000) -> DataFrame:
