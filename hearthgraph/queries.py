@@ -465,3 +465,6 @@ def s13_links(cat):
 @query("K1_S3_gedcom_round_trip", "SELECT id, coalesce(given, '') AS given, coalesce(surname, '') AS surname, birth_raw FROM profiles")
 def gedcom_round_trip(cat):
     return gedcom.read(gedcom.write(cat.profiles))
+
+
+from . import review_queries  # noqa: E402, F401  (registers its queries here)
