@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, pieces, prefix_hash, snug, span_hash, utf8
+from .common import U64, cut, mix64, pieces, prefix_hash, snug, span_hash, stored, utf8
 from .graph import components
 
 #: Fixed by the contract: A-Z to lower case, and what separates words.
@@ -215,11 +215,11 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
     sent = base.select("text").mapInArrow(postings, "token long, ent long, n long")
     shared = sent.withColumns({"_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)}).where("_lo <> _hi").select("token", "ent", "n")
     enough = "size(ts) >= greatest(1, CAST(ceil(3 * n / 16.0) AS INT))"
-    able = cut(shared.groupBy("ent", "n").agg(F.collect_set("token").alias("ts")).where(enough))
+    able = stored(shared.groupBy("ent", "n").agg(F.collect_set("token").alias("ts")).where(enough))
     n_able = able.count()
     able = snug(able, n_able, SETS)
     spread = able.select("ent", "n", F.explode("ts").alias("token")).withColumns({"df": F.count(F.lit(1)).over(by_token), "_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)})
-    able = cut(snug(spread.where("_lo <> _hi").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where(enough), n_able, SETS))
+    able = stored(snug(spread.where("_lo <> _hi").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where(enough), n_able, SETS))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +229,7 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
             got = [_prefixes(token[bound[i] : bound[i + 1]], df[bound[i] : bound[i + 1]], n) for i, n in enumerate(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([g[k].view(np.int64) for g in got], pa.list_(pa.int64())) for k in range(ORDERS)]], ["ent", "n", *[f"p{k}" for k in range(ORDERS)]])
 
-    able = cut(able.mapInArrow(prefixes, "ent long, n long, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))))
+    able = stored(able.mapInArrow(prefixes, "ent long, n long, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))))
     reps = classes.join(able.select(F.col("ent").alias("s1")), "s1", "left_semi").select(F.col("rep").alias("id"))
     if n_able <= BROADCAST_ROWS:
         reps = F.broadcast(reps)
@@ -244,8 +244,8 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
 
     texts = base.join(reps, base["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
     sets = texts.mapInArrow(full, "ent long, tokens array<long>").dropDuplicates(["ent"])
-    sets = cut(snug(sets.join(able, "ent").select("ent", "n", "tokens", "p1", "p2"), n_able, SETS))
-    lists = [cut(able.select("ent", "n", F.explode(f"p{k}").alias("token"))) for k in range(ORDERS)]
+    sets = stored(snug(sets.join(able, "ent").select("ent", "n", "tokens", "p1", "p2"), n_able, SETS))
+    lists = [stored(able.select("ent", "n", F.explode(f"p{k}").alias("token"))) for k in range(ORDERS)]
 
     found = None
     roots = None
@@ -268,7 +268,8 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
         all_ = at.select("token", F.col("ent").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
         near = few.join(all_, "token").where("a_root <> b_root AND 100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
         near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = near if pairs is None else pairs.join(near, ["a", "b"], "left_semi")
+        # written order by order, so the shuffle files of one order are gone before the next
+        pairs = stored(near if pairs is None else pairs.join(near, ["a", "b"], "left_semi"))
     return found.unionByName(_verified(pairs, sets))
 
 
