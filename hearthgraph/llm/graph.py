@@ -3,30 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators.graph import linked
 from .common import cut, snug
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, root: the smallest node of its component, for every node with an edge.
 
-    Each round takes the smallest label among a node and its neighbours and then the label's own label, so the rounds
-    grow with the logarithm of a component's diameter. Labels are cut in the shared folder after each round. Nulls
-    are left out, loops and repeated edges do no harm.
+    Nulls are left out, loops and repeated edges do no harm.
     """
-    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    n = both.count()
-    both = snug(both, n)
-    labels = cut(snug(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), n))
-    for _ in range(rounds):
-        near = snug(both.join(labels.withColumnsRenamed({"node": "b", "root": "near"}), "b"), n).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = snug(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low")), n)
-        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        new = lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) != F.col("root")).alias("moved"))
-        new = cut(snug(new, n))
-        labels = new.select("node", "root")
-        if new.where("moved").isEmpty():
-            break
-    return labels
+    return linked(edges, cut, snug)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +32,45 @@ def closure(parents: DataFrame, depth: int, up: bool = True, start: DataFrame |
     return all_
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, component (smallest id) for every node; edges (a, b) between nodes, singletons kept.
+def linked(edges: DataFrame, cut: Callable = cut, snug: Callable = lambda df, rows: df) -> DataFrame:
+    """edges: a, b (long). Returns node, root: the smallest node of its component, for every node with an edge.
 
-    Labels fall to the smallest among neighbours and then to the label's own label, so rounds grow with the logarithm
-    of the diameter.
+    Each round hooks every node to its smallest neighbour. The only cycles are pairs that chose each other, whose
+    smaller node is the smallest of its tree and stays as root. Trees are flattened by taking the parent's parent until
+    nothing moves, then become the nodes of the next round. A tree has two nodes at least, so nodes with edges halve
+    each round, and the loop ends after at most log2 of their number, whatever the labels and the diameter. Tables are
+    cut in the shared folder. Nulls are left out, loops and repeated edges do no harm.
     """
-    e = edges.where("a <> b").select("a", "b")
-    both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnsRenamed({"id": "b", "component": "c"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("near"))
-        low = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        far = labels.withColumnsRenamed({"id": "low", "component": "far"})
-        new = cut(low.join(far, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("new"), "component"))
-        labels = new.select("id", F.col("new").alias("component"))
-        if new.where("new <> component").isEmpty():
-            break
+    both = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = None
+    while (n := both.count()) or labels is None:
+        both = snug(both, n)
+        pick = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+        back = pick.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        root = F.when(F.col("over") == F.col("node"), F.least("node", "up")).otherwise(F.col("up"))
+        tree = cut(snug(pick.join(back, "up").select("node", root.alias("root")), n))
+        while True:
+            far = tree.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            new = cut(snug(tree.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), n))
+            tree = new.select("node", "root")
+            if new.where("moved").isEmpty():
+                break
+        ends = both.join(tree.withColumnsRenamed({"node": "a", "root": "x"}), "a").join(tree.withColumnsRenamed({"node": "b", "root": "y"}), "b")
+        both = cut(snug(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), n))
+        up = tree.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        labels = tree if labels is None else cut(snug(labels.join(up, "root", "left").select("node", F.coalesce("over", "root").alias("root")), labels.count()))
     return labels
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, component (smallest id) for every node; edges (a, b) between nodes, singletons kept."""
+    own = cut(nodes.select("id").distinct())
+    inside = edges.select("a", "b").join(own.withColumnRenamed("id", "a"), "a", "left_semi").join(own.withColumnRenamed("id", "b"), "b", "left_semi")
+    roots = linked(inside).withColumnsRenamed({"node": "id", "root": "component"})
+    return own.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     """component, n_people, in order of size and smallest id."""
     return labels.groupBy("component").agg(F.count(F.lit(1)).alias("n_people"))

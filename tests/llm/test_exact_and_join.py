@@ -103,6 +103,14 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7} | {k: 20 for k in range(20, 61)}
 
 
+def test_components_of_a_long_chain_with_shuffled_labels(spark):
+    label = [int(x) for x in np.random.default_rng(3).permutation(600)]
+    edges = [(label[k - 1], label[k]) for k in range(1, 600) if k != 400]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: min(label[:400]) for k in label[:400]} | {k: min(label[400:]) for k in label[400:]}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def brute_suffix(data, length=suffix_dedup.LENGTH):
     seen, out = set(), {}
     for i, t in sorted((r[0], r[1]) for r in data):

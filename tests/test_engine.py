@@ -1,5 +1,6 @@
 """The engine's operators on small hand-made tables, where the right answer is known."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hearthgraph.functions import dates, names
@@ -62,6 +63,13 @@ def test_components_and_families(spark):
     assert got == {("couple", 1, 2, 1), ("single", 1, None, 1), *[("alone", k, None, 0) for k in (5, 6, 7, 8)]}
 
 
+def test_components_of_a_long_line(spark):
+    names = [int(x) for x in np.random.default_rng(3).permutation(600)]
+    nodes = spark.createDataFrame([(k,) for k in range(601)], "id long")
+    got = graph.components(nodes, spark.createDataFrame(list(zip(names, names[1:])), "a long, b long"))
+    assert sorted(tuple(r) for r in graph.component_sizes(got).collect()) == [(0, 600), (600, 1)]
+
+
 def test_kinship_labels(spark):
     p = parents(spark, [(1, 2), (1, 3), (2, 4), (3, 5), (4, 6), (6, 7)])
     pairs = [(4, 5), (4, 3), (3, 4), (2, 3), (4, 1), (1, 6), (6, 5), (7, 1), (4, 4), (4, 99)]
