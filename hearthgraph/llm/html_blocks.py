@@ -26,9 +26,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements whose content is not text, that have no content, and that stand inside a line.
-HIDDEN = frozenset("script style noscript template iframe svg math object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template iframe svg object canvas audio video".split())
+#: Their content is no markup: it ends at the first closing tag, or with the page.
+RAW = frozenset("script style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded semantics".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body div article section main aside nav".split())
@@ -44,12 +46,36 @@ class Block:
     linked: int  # characters inside links
 
 
+def _closings(page: str) -> dict[int, int]:
+    """Where the hidden elements that are closed end, by the end of their opening tag."""
+    out, open_, at = {}, {}, 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        name = (m[1] or "").lower()
+        if name not in HIDDEN:
+            continue
+        if page[m.start() + 1] == "/":
+            if open_.get(name):
+                out[open_[name].pop()] = at
+        elif name in RAW:
+            at = _raw_end(page, name, at)
+        elif not m[2].rstrip().endswith("/"):
+            open_.setdefault(name, []).append(at)
+    return out
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in page order; markup that doesn't close or nest is read as browsers roughly do."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, in_link, at, end = 0, 0, 0, len(page)
+    closings: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -103,8 +129,12 @@ def blocks(page: str) -> list[Block]:
                 in_link += name == "a"
             continue
         if name in HIDDEN:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if name in RAW:
+                at = _raw_end(page, name, at)
+            elif not m[2].rstrip().endswith("/"):
+                # one that is never closed hides nothing
+                closings = _closings(page) if closings is None else closings
+                at = closings.get(at, at)
             continue
         flush()
         for k in range(len(stack) - 1, -1, -1):

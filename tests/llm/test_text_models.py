@@ -158,6 +158,13 @@ def test_main_text(spark):
     assert html_blocks.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["<svg/>", '<svg class="i" />', "<video>", "<object>", "<iframe src=x>", "<canvas><video><canvas>x</canvas>", "<object>a<object>b</object>c</object>", "<noscript/>"])
+def test_hidden_elements_end_where_they_end(before):
+    page = f"<html><body>{before}<article><p>First here.</p><svg><path d='m'/></svg><video>no</video><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p></article></body></html>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["First here.", "Let x=1 be."]
+    assert html_blocks.blocks(f"{before}<style>p<p>gone") == []
+
+
 def test_labeller_on_held_out_pages():
     m, wrong, n = html_blocks.trained(), 0, 0
     for k in range(9_000_000, 9_000_120):
