@@ -30,6 +30,10 @@ REACH = LENGTH - GRAM + 1
 RANGE = 20
 #: Equal segments are looked for within so many bytes of text in a task.
 TASK_BYTES = 1 << 26
+#: An anchor with more different segments than this has its windows dealt singly.
+HOT = 20_000
+#: So many segments are cut into windows at once, and equal windows are looked for among so many in a task.
+HOT_SEGMENTS, HOT_WINDOWS = 1 << 13, 1 << 21
 SEGMENT = "key long, sub long, doc long, start int, n int, r int"
 
 
@@ -102,22 +106,24 @@ def _strictly_later(doc, start, first_doc, first_start) -> np.ndarray:
     return (doc > first_doc) | ((doc == first_doc) & (start > first_start))
 
 
+def _firsts(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Each distinct one of the held segments once, and the spans of its repeats; held is emptied."""
+    key, sub, doc, start, n, r = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    order = np.lexsort((start, doc, sub, key))
+    key, sub, doc, start, n, r = (x[order] for x in (key, sub, doc, start, n, r))
+    new = np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])] if len(key) else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = _strictly_later(doc, start, doc[first], start[first])
+    yield _batch(key[new], sub[new], doc[new], start[new], n[new], r[new])
+    yield _spans(doc[later], start[later].astype(np.int64), start[later].astype(np.int64) + n[later] + LENGTH - 1)
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to segments, each distinct one once per task, and to the spans that are repeats within the task."""
     held: list[tuple] = []
     size = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        key, sub, doc, start, n, r = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((start, doc, sub, key))
-        key, sub, doc, start, n, r = (x[order] for x in (key, sub, doc, start, n, r))
-        new = np.r_[True, (key[1:] != key[:-1]) | (sub[1:] != sub[:-1])] if len(key) else np.zeros(0, bool)
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = _strictly_later(doc, start, doc[first], start[first])
-        yield _batch(key[new], sub[new], doc[new], start[new], n[new], r[new])
-        yield _spans(doc[later], start[later].astype(np.int64), start[later].astype(np.int64) + n[later] + LENGTH - 1)
-
     for batch in batches:
         raw, off = utf8(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -133,10 +139,10 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((g[anchor], sub, ids[i + row], (first - base[row]).astype(np.int32), n.astype(np.int32), r.astype(np.int32)))
             size += len(part)
             if size >= TASK_BYTES:
-                yield from flush()
+                yield from _firsts(held)
                 size = 0
     if held:
-        yield from flush()
+        yield from _firsts(held)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +180,36 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # if only its first class is known so far, the next batch gives it out when a second one comes
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their segments of frequent anchors: as _locate, for each window of the segments."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        raw, off = utf8(batch.column(1))
+        ids = batch.column(0).to_numpy()
+        segs = batch.column(2)
+        many = segs.value_lengths().to_numpy()
+        flat = segs.flatten()
+        start, n, r = (flat.field(k).to_numpy() for k in range(1, 4))
+        owner, bound = np.repeat(np.arange(len(many)), many), np.r_[0, np.cumsum(many)]
+        for i, j in pieces(off):
+            part = raw[off[i] : off[j]]
+            h, other = prefix_hash(part), prefix_hash(part ^ np.uint8(0x5A))
+            for lo in range(bound[i], bound[j], HOT_SEGMENTS):
+                s = slice(lo, min(lo + HOT_SEGMENTS, bound[j]))
+                own = np.repeat(np.arange(s.start, s.stop), n[s])
+                step = np.arange(len(own)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+                first = start[own] + step
+                at = off[owner[own]] - off[i] + first
+                held.append((mix64(span_hash(h, at, at + LENGTH)), mix64(span_hash(other, at, at + LENGTH)), ids[owner[own]], first.astype(np.int32), np.ones(len(own), np.int32), (r[own] - step).astype(np.int32)))
+                size += len(own)
+                if size >= HOT_WINDOWS:
+                    yield from _firsts(held)
+                    size = 0
+    if held:
+        yield from _firsts(held)
+
+
 PART = "part long, doc long, start int, n int, r int, bytes binary"
 
 
@@ -338,10 +374,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = base.mapInArrow(_locate, SEGMENT).repartition("key").sortWithinPartitions("key", "sub", "doc", "start")
     found = cut(found.mapInArrow(_match, SEGMENT))
-    open_ = found.where("r >= 0").groupBy("doc").agg(F.collect_set(F.struct("key", "start", "n", "r")).alias("segs"))
-    parts = base.join(open_, "doc").mapInArrow(_cut_out, PART)
-    sorted_ = parts.repartition("part").sortWithinPartitions("part", "doc", "start").mapInArrow(_sort_parts, SEGMENT)
-    return base, found.where("r = -1").unionByName(sorted_).select("doc", "start", F.col("n").alias("length"))
+    often = cut(found.where("r >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > HOT).select("key"))
+    sorted_ = parts(base, found, often).repartition("part").sortWithinPartitions("part", "doc", "start").mapInArrow(_sort_parts, SEGMENT)
+    out = found.where("r = -1").unionByName(sorted_)
+    if not often.isEmpty():
+        single = base.join(_by_doc(found.join(F.broadcast(often), "key", "left_semi")), "doc").mapInArrow(_windows, SEGMENT)
+        out = out.unionByName(single.repartition("key").sortWithinPartitions("key", "sub", "doc", "start").mapInArrow(_match, SEGMENT).where("r = -1"))
+    return base, out.select("doc", "start", F.col("n").alias("length"))
+
+
+def _by_doc(found: DataFrame) -> DataFrame:
+    return found.where("r >= 0").groupBy("doc").agg(F.collect_set(F.struct("key", "start", "n", "r")).alias("segs"))
+
+
+def parts(base: DataFrame, found: DataFrame, often: DataFrame) -> DataFrame:
+    """The rows to sort suffixes in: of segments that are left, without those whose anchor is in often (key)."""
+    return base.join(_by_doc(found.join(F.broadcast(often), "key", "left_anti")), "doc").mapInArrow(_cut_out, PART)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -132,6 +132,21 @@ def test_suffix_dedup_matches_brute_force(spark):
     assert got == brute_suffix(samples.rows())
 
 
+def test_suffix_dedup_splits_large_groups(spark, monkeypatch):
+    """A passage that many documents share, with different text on both sides: no part holds a row of each."""
+    rng, passage = np.random.default_rng(5), " ".join(f"word{k}" for k in range(40))
+    side = lambda: "".join(rng.choice(list("ab "), 60))
+    data = [(k, f"{side()}{passage}{side()}" * (1 + k % 2), "de", "s", 1) for k in range(120)]
+    groups = []
+    parts = suffix_dedup.parts
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "parts", lambda *a: groups.extend([parts(*a), a[2]]) or groups[0])
+    got = {r[0]: (*tuple(r)[1:-1], bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame([x[:2] for x in data], "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_suffix(data)
+    assert max((r["count"] for r in groups[0].groupBy("part").count().collect()), default=0) <= 20
+    assert groups[1].count() > 0
+
+
 def test_suffix_sort_survives_hash_collisions(monkeypatch):
     raw = np.frombuffer((b"ab" * 60 + b"ac" * 60) * 2, np.uint8)
     at = np.array([0, 120, 240, 100])
