@@ -77,13 +77,15 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 
 def generational_distance(seeds: DataFrame, parents: DataFrame, spouses: DataFrame, most: int = 10) -> DataFrame:
-    """id, distance: least number of parent-child steps from any seed; a step between spouses costs nothing."""
+    """id, distance: least number of parent-child steps from any seed; a step between spouses costs nothing.
+
+    Distances only fall and none exceeds most, so the front empties."""
     steps = parents.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), F.lit(1).alias("cost"))
     steps = steps.unionByName(parents.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), F.lit(1).alias("cost")))
     steps = cut(steps.unionByName(spouses.select("id", "other", F.lit(0).alias("cost"))).groupBy("id", "other").agg(F.min("cost").alias("cost")))
     best = cut(seeds.select("id").distinct().withColumn("distance", F.lit(0)))
     front = best
-    for _ in range(3 * most):
+    while True:
         near = front.join(steps, "id").select(F.col("other").alias("id"), (F.col("distance") + F.col("cost")).alias("new")).where(F.col("new") <= most)
         near = near.groupBy("id").agg(F.min("new").alias("new"))
         front = cut(near.join(best, "id", "left").where("distance IS NULL OR new < distance").select("id", F.col("new").alias("distance")))

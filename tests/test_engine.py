@@ -85,6 +85,12 @@ def test_distances(spark):
     assert {r.id: (r.hops, r.via) for r in graph.shortest_paths(1, p, mates, 2).collect()} == {1: (0, None), 2: (1, 1), 3: (2, 2)}
 
 
+def test_distances_through_many_marriages(spark):
+    mates = spark.createDataFrame([(k, k + 1, None) for k in range(1, 7)] + [(k + 1, k, None) for k in range(1, 7)], "id long, other long, year int")
+    got = graph.generational_distance(spark.createDataFrame([(1,)], "id long"), parents(spark, [(7, 8)]), mates, 1)
+    assert {r.id: r.distance for r in got.collect()} == {**{k: 0 for k in range(1, 8)}, 8: 1}
+
+
 def test_search_and_refresh(spark):
     docs = spark.createDataFrame([(1, "Slack's house at Belper 1851, Slack"), (2, "slack rope"), (3, None), (4, "SLACK 1851")], "doc_id long, text string")
     got = {r.page: r.score for r in corpus.retrieve(docs, "SLACK", ["1851"], ["Belper"]).collect()}
