@@ -36,7 +36,7 @@ def linked(edges: DataFrame, cut: Callable = cut, snug: Callable = lambda df, ro
     """edges: a, b (long). Returns node, root: the smallest node of its component, for every node with an edge.
 
     Each round hooks every node to its smallest neighbour. The only cycles are pairs that chose each other, whose
-    smaller node is the smallest of its tree and stays as root. Trees are flattened by taking the parent's parent until
+    smaller node is the smallest of its tree and stays as root. Trees are flattened by taking the parent three levels up until
     nothing moves, then become the nodes of the next round. A tree has two nodes at least, so nodes with edges halve
     each round, and the loop ends after at most log2 of their number, whatever the labels and the diameter. Tables are
     cut in the shared folder. Nulls are left out, loops and repeated edges do no harm.
@@ -52,7 +52,8 @@ def linked(edges: DataFrame, cut: Callable = cut, snug: Callable = lambda df, ro
         tree = cut(snug(pick.join(back, "up").select("node", root.alias("root")), n))
         while True:
             far = tree.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            new = cut(snug(tree.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), n))
+            top = tree.select(F.col("node").alias("far"), F.col("root").alias("top"))
+            new = cut(snug(tree.join(far, "root").join(top, "far").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), n))
             tree = new.select("node", "root")
             if new.where("moved").isEmpty():
                 break
