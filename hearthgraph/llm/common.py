@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, drop  # noqa: F401
+
 U64 = np.uint64
 MIX1, MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Text is handled in pieces of about this many bytes inside a task, so memory does not follow the batch.
@@ -21,50 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's shared folder, or one of our own where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/hearthgraph-checkpoints")
-
-
-#: Spark's setting that drops a query's shuffle files when the query ends.
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder: later readers survive the loss of any executor.
-
-    Shuffle files of the written query go at once, as nothing reads them again; the caller's setting is put back.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
-        # a query takes the setting when it is made
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As cut, but as a compressed table: for many rows that repeat values. Column names must differ."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
-        df.select("*").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def snug(df: DataFrame, rows: int, per: int = 250_000) -> DataFrame:
-    """As many partitions as a known number of rows needs: small tables don't leave a file for each of many partitions."""
-    return df.coalesce(1 + rows // per)
+    """As many partitions as a known number of rows needs, one for each core at least: small tables don't leave a file
+    for each of many partitions."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1 + rows // per))
 
 
 def crc_mod(id_col: str, k: int) -> Column:
@@ -135,7 +94,3 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of bytes [start, end), the same wherever the bytes stand."""
     _, ip = POWERS.upto(len(h))
     return (h[end] - h[start]) * ip[start]
-
-
-def local_path(name: str) -> str:
-    return os.path.abspath(name)

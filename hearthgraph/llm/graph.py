@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.graph import linked
 from .common import cut, snug
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). Returns node, root: the smallest node of its component, for every node with an edge.
+    """edges: a, b (of one orderable type). Returns node, root: the smallest node of its component, for every node with an edge.
 
     Nulls are left out, loops and repeated edges do no harm.
     """
     return linked(edges, cut, snug)
+
+
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) after links a, b between nodes of earlier components, or nodes in none yet.
+
+    Only the components that the links touch are gone through again."""
+    if roots is None:
+        return components(links)
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(roots.withColumnsRenamed({"node": end, "root": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+    up = components(ends)
+    over = up.select(F.col("root").alias("_r"), F.col("node").alias("root"))
+    old = roots.join(over, "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
+    return cut(snug(old.unionByName(up.join(roots, "node", "left_anti").select("node", "root")), roots.count()))

@@ -1,23 +1,27 @@
 """Similarity join of documents on word shingles, by prefix filters under several token orders.
 
-Two sets whose Jaccard similarity reaches the threshold share a token among the first tokens of either set under any
-order of all tokens. Every order gives such a filter; a pair is compared only if it passes all of them.
+Two sets whose Jaccard similarity reaches 3/4 differ in at most a seventh of the sum of their sizes, so under any order
+of all tokens they share a token early in both. Every order gives such a filter; a pair is compared only if it passes
+all of them.
 
 1. A map over the texts gives each document's set signature; equal sets are one class from here on.
-2. Under the first order (hash, with frequent tokens last) the first half of each class's tokens is sent out by token.
-   Similar sets share at least 3/16 of the larger set among them, so classes with fewer shared tokens are done.
-3. The remaining classes' shared tokens are ordered rarest first in three ways, each with other ties, and cut to the
-   prefix that the bound leaves.
-4. Classes are first compared with one leader of their prefix lists. Lists that lie in one component then hold nothing
-   new. In the others the members outside the list's largest component are paired with all of the list; pairs found
-   under every order are compared on their full sets.
-
-So large groups of near copies cost a comparison each, not one for each pair, and no pair that could add to the
-components is left out.
+2. Under a hash order with frequent tokens last, the first half of each class's tokens is sent out by token. Similar
+   sets share at least 3/16 of the larger set among them, so classes with fewer shared tokens are done.
+3. The whole sets of the remaining classes are counted by token. Three orders, rarest token first and each with other
+   ties, give each class three prefixes; tokens of no other class come first and bring no candidates.
+4. The first order's prefixes are joined by token. The join itself holds a pair against the bounds that follow from both
+   positions, both sizes and a parity bitmap of the tokens, and lets it through only at its first shared token.
+5. Pairs that come through must share prefix tokens under the other two orders too, then their sets are compared.
+
+Step 4 first compares each class with one leader of its lists, round by round, as long as that links many. Lists that
+lie in one component then hold nothing new; in the others the members outside the list's largest component are joined
+with all of the list. So large groups of near copies cost a comparison each, not one for each pair, and no pair that
+could add to the components is left out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, cut, mix64, pieces, prefix_hash, snug, span_hash, stored, utf8
-from .graph import components
+from .common import U64, cut, drop, mix64, pieces, prefix_hash, snug, span_hash, utf8
+from .graph import merged
 
 #: Fixed by the contract: A-Z to lower case, and what separates words.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,9 +42,12 @@ FREQUENT = 0.01
 #: Up to so many rows of numbers are broadcast, else joined by key.
 BROADCAST_ROWS = 500_000
 ORDERS = 3
-LEADER_ROUNDS = 2
+#: A further round of leaders follows one that linked at least this share of what the first round linked.
+WORTHWHILE = 0.1
 #: Sets to a partition, where their number is known.
 SETS = 20_000
+#: Words of 64 bits in a set's parity bitmap, and prefix tokens that a row carries to find out whether it is a pair's first.
+WORDS, HEAD = 8, 6
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +137,9 @@ def _order(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(tokens: np.ndarray, df: np.ndarray, n: int) -> list[np.ndarray]:
-    """The prefixes of a class's shared tokens under each order: rarest first, ties by another hash in each."""
-    keep = len(tokens) - max(1, -(-3 * n // 16)) + 1
+    """The prefixes of a set under each order: rarest first, ties by another hash in each. tokens: those that other sets
+    have too, with their counts; the n - len(tokens) others stand before them under every order."""
+    keep = n - -(-3 * n // 4) + 1 - (n - len(tokens))
     out = []
     for k in range(ORDERS):
         rank = df if k < 2 else np.log2(df).astype(np.int64)
@@ -139,27 +147,26 @@ def _prefixes(tokens: np.ndarray, df: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def _bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of tokens falls on i. Two sets differ in at least as many tokens as their bitmaps in bits."""
+    odd = np.bincount((mix64(tokens ^ U64(0x3C6EF372FE94F82B)) % U64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _entity(s1: np.ndarray, s2: np.ndarray) -> pa.Array:
+    """128 bits as 16 bytes."""
+    data = np.stack([s1, s2], axis=1).astype(">i8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(s1), [None, pa.py_buffer(np.arange(0, 16 * len(s1) + 1, 16, dtype=np.int32).tobytes()), pa.py_buffer(data)])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs a, b whose full sets reach the threshold and that share prefix tokens under the other orders."""
-    cols = ["n", "tokens", "p1", "p2"]
+    """Those of pairs a, b that share prefix tokens under the other orders and whose sets reach the threshold."""
+    cols = ["n", "ts", *[f"p{k}" for k in range(1, ORDERS)]]
     left = sets.select(F.col("ent").alias("a"), *[F.col(c).alias("a_" + c) for c in cols])
     right = sets.select(F.col("ent").alias("b"), *[F.col(c).alias("b_" + c) for c in cols])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = [batch.column(k) for k in range(batch.num_columns)]
-            parts = {k: (col[k].flatten().to_numpy(), np.r_[0, np.cumsum(col[k].value_lengths().to_numpy())]) for k in (3, 4, 5, 7, 8, 9)}
-            get = lambda k, i: parts[k][0][parts[k][1][i] : parts[k][1][i + 1]]
-            keep = []
-            for i in range(batch.num_rows):
-                if all(len(np.intersect1d(get(k, i), get(k + 4, i))) for k in (4, 5)):
-                    common = len(np.intersect1d(get(3, i), get(7, i), assume_unique=True))
-                    if 100 * common >= 75 * (len(get(3, i)) + len(get(7, i)) - common):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([col[0].take(pa.array(keep, pa.int64())), col[1].take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-    full = pairs.join(left, "a").join(right, "b").where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
-    return full.select("a", "b", "a_n", "a_tokens", "a_p1", "a_p2", "b_n", "b_tokens", "b_p1", "b_p2").mapInArrow(run, "a long, b long")
+    full = pairs.join(left, "a").join(right, "b").where(" AND ".join(f"arrays_overlap(a_p{k}, b_p{k})" for k in range(1, ORDERS)))
+    common = F.size(F.array_intersect("a_ts", "b_ts"))
+    return full.where(100 * common >= 75 * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,10 +179,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     light = cut(base.mapInArrow(_light, "id long, s1 long, s2 long, n long, doc boolean"))
     rows = light.where("doc").drop("doc")
+    ent = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("s1", "s2")])
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    links = _links(base, light, classes)
-    roots = components(links)
-    by_root = classes.join(roots.withColumnRenamed("node", "s1"), "s1")
+    roots = _roots(base, light, classes)
+    by_root = classes.withColumn("node", ent).join(roots, "node")
     least = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
     moved = by_root.join(least, "root").select("s1", "s2", "n", "component_id")
     named = classes.join(moved, ["s1", "s2", "n"], "left").select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id"))
@@ -185,7 +192,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
+def _able(base: DataFrame, light: DataFrame) -> DataFrame:
+    """s1 of the classes that share enough tokens with others under the first order. Classes are told apart by 64 bits
+    here: two that agree in them can only be missed if they are similar too, and else stay for the exact steps."""
     n_docs = light.where("doc").count()
     often = light.where(~F.col("doc")).groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT * n_docs)
     frequent = np.sort(np.array([r["s1"] for r in often.collect()], np.int64).view(U64))
@@ -213,75 +222,119 @@ def _links(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
 
     by_token = Window.partitionBy("token")
     sent = base.select("text").mapInArrow(postings, "token long, ent long, n long")
-    shared = sent.withColumns({"_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)}).where("_lo <> _hi").select("token", "ent", "n")
-    enough = "size(ts) >= greatest(1, CAST(ceil(3 * n / 16.0) AS INT))"
-    able = stored(shared.groupBy("ent", "n").agg(F.collect_set("token").alias("ts")).where(enough))
-    n_able = able.count()
-    able = snug(able, n_able, SETS)
-    spread = able.select("ent", "n", F.explode("ts").alias("token")).withColumns({"df": F.count(F.lit(1)).over(by_token), "_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)})
-    able = stored(snug(spread.where("_lo <> _hi").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where(enough), n_able, SETS))
+    shared = sent.withColumns({"_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)}).where("_lo <> _hi")
+    enough = "c >= greatest(1, CAST(ceil(3 * n / 16.0) AS INT))"
+    return shared.groupBy("ent", "n").agg(F.size(F.collect_set("token")).alias("c")).where(enough).select(F.col("ent").alias("s1"))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ts = batch.column(2)
-            flat, bound = ts.flatten(), np.r_[0, np.cumsum(ts.value_lengths().to_numpy())]
-            token, df = flat.field(0).to_numpy().view(U64), flat.field(1).to_numpy()
-            got = [_prefixes(token[bound[i] : bound[i + 1]], df[bound[i] : bound[i + 1]], n) for i, n in enumerate(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([g[k].view(np.int64) for g in got], pa.list_(pa.int64())) for k in range(ORDERS)]], ["ent", "n", *[f"p{k}" for k in range(ORDERS)]])
 
-    able = stored(able.mapInArrow(prefixes, "ent long, n long, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))))
-    reps = classes.join(able.select(F.col("ent").alias("s1")), "s1", "left_semi").select(F.col("rep").alias("id"))
+def _sets(base: DataFrame, classes: DataFrame, able: DataFrame) -> tuple[DataFrame, int]:
+    """ent, n, ts, u, b0.., p0.. of the classes that can have a partner: the tokens that others have too, the number of
+    tokens that none has, the parity bitmap of ts, and the prefixes. Also how many classes there were before."""
+    n_able = able.count()
+    reps = classes.join(able.distinct(), "s1", "left_semi").select(F.col("rep").alias("id")).distinct()
     if n_able <= BROADCAST_ROWS:
         reps = F.broadcast(reps)
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = utf8(batch.column(0))
             for i, j in pieces(off):
                 x, bound = shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                s1, _, n = signatures(x, bound)
-                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(x.view(np.int64)))], ["ent", "tokens"])
+                s1, s2, n = signatures(x, bound)
+                yield pa.RecordBatch.from_arrays([_entity(s1, s2), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(x.view(np.int64)))], ["ent", "n", "tokens"])
 
     texts = base.join(reps, base["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(full, "ent long, tokens array<long>").dropDuplicates(["ent"])
-    sets = stored(snug(sets.join(able, "ent").select("ent", "n", "tokens", "p1", "p2"), n_able, SETS))
-    lists = [stored(able.select("ent", "n", F.explode(f"p{k}").alias("token"))) for k in range(ORDERS)]
-
-    found = None
-    roots = None
-    for r in range(LEADER_ROUNDS):
-        at = _labelled(lists[0], roots)
-        open_ = at.withColumns({"_lo": F.min("root").over(by_token), "_hi": F.max("root").over(by_token)}).where("_lo <> _hi")
-        rank = F.struct(F.xxhash64(F.lit(r), "ent").alias("h"), F.col("ent"), F.col("root"))
-        led = open_.withColumn("lead", F.min(rank).over(by_token)).where("lead.root <> root")
-        votes = led.groupBy("ent", F.col("lead.ent").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-        best = votes.groupBy("ent").agg(F.max(F.struct("votes", "b")).alias("x")).select(F.col("ent").alias("a"), F.col("x.b").alias("b"))
-        links = cut(snug(_verified(snug(best, n_able, SETS), sets), n_able, SETS))
-        found = links if found is None else cut(found.unionByName(links))
-        roots = components(found)
-    pairs = None
-    for own in lists:
-        at = _labelled(own, roots)
-        main = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
-        at = at.join(main.where("roots > 1"), "token")
-        few = at.where("root <> m.root").select("token", F.col("ent").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-        all_ = at.select("token", F.col("ent").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-        near = few.join(all_, "token").where("a_root <> b_root AND 100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)")
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        # written order by order, so the shuffle files of one order are gone before the next
-        pairs = stored(near if pairs is None else pairs.join(near, ["a", "b"], "left_semi"))
-    return found.unionByName(_verified(pairs, sets))
-
-
-def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """With each class's component so far, itself where it has none."""
+    full = cut(texts.mapInArrow(whole, "ent binary, n int, tokens array<long>").where("n > 0").dropDuplicates(["ent"]))
+    spread = full.select("ent", "n", F.explode("tokens").alias("token"))
+    counts = full.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = spread.join(counts, "token").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where("4 * size(ts) >= 3 * n")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ts, n = batch.column(2), batch.column(1).to_numpy()
+            flat, bound = ts.flatten(), np.r_[0, np.cumsum(ts.value_lengths().to_numpy(), dtype=np.int64)].astype(np.int32)
+            token, df = flat.field(0).to_numpy().view(U64), flat.field(1).to_numpy()
+            own = [token[i:j] for i, j in zip(bound, bound[1:], strict=False)]
+            got = [_prefixes(t, df[i : i + len(t)], m) for t, i, m in zip(own, bound, n.tolist(), strict=False)]
+            maps = np.array([_bitmap(t) for t in own], np.int64).reshape(-1, WORDS)
+            lists = [pa.array([g[k].view(np.int64) for g in got], pa.list_(pa.int64())) for k in range(ORDERS)]
+            cols = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bound), pa.array(token.view(np.int64))), pa.array((n - np.diff(bound)).astype(np.int32)), *[pa.array(maps[:, k].copy()) for k in range(WORDS)], *lists]
+            yield pa.RecordBatch.from_arrays(cols, ["ent", "n", "ts", "u", *_BITS, *[f"p{k}" for k in range(ORDERS)]])
+
+    kind = "ent binary, n int, ts array<long>, u int, " + ", ".join(f"{b} long" for b in _BITS) + ", " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
+    sets = cut(snug(common.mapInArrow(prefixes, kind), n_able, SETS))
+    drop(full)
+    return sets, n_able
+
+
+_BITS = [f"b{k}" for k in range(WORDS)]
+#: What a row of a token's list carries besides the token.
+_CARRIED = ["ent", "root", "n", "u", "pos", "head", *_BITS]
+
+
+def _postings(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """A row for each prefix token under the first order, with its position and the class's component so far."""
     if roots is None:
-        return rows.withColumn("root", F.col("ent"))
-    return rows.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+        sets = sets.withColumn("root", F.col("ent"))
+    else:
+        sets = sets.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+    rows = sets.select("ent", "root", "n", "u", *_BITS, F.slice("p0", 1, HEAD).alias("head"), F.posexplode("p0").alias("k", "token"))
+    return rows.select("token", "ent", "root", "n", "u", (F.col("u") + F.col("k")).alias("pos"), F.slice("head", F.lit(1), F.least("k", F.lit(HEAD))).alias("head"), *_BITS)
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in _CARRIED])
+
+
+#: What follows from similarity where a pair meets at its first shared token: the tokens before it differ, and so do those
+#: that no other set has and those behind the bits that differ.
+_BOUNDS = f"""a_root <> b_root
+    AND 7 * (a_n - a_pos) >= 3 * (a_n + b_n) AND 7 * (b_n - b_pos) >= 3 * (a_n + b_n) AND 7 * (a_pos + b_pos) <= a_n + b_n
+    AND 7 * (a_u + b_u + {" + ".join(f"bit_count(a_{b} ^ b_{b})" for b in _BITS)}) <= a_n + b_n"""
+#: Leaves out a pair's later shared tokens.
+_FIRST = "NOT arrays_overlap(a_head, b_head)"
+
+
+def _led(rows: DataFrame, r: int) -> DataFrame:
+    """a, b: each class with the leader of another component that leads most of its lists."""
+    lead = F.min_by(F.struct(*_CARRIED), F.xxhash64(F.lit(r), "ent"))
+    lists = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead.alias("lead")).where("lo <> hi")
+    met = _sided(rows, "a").join(lists.select("token", *[F.col(f"lead.{c}").alias(f"b_{c}") for c in _CARRIED]), "token").where(_BOUNDS)
+    votes = met.groupBy(F.col("a_ent").alias("a"), F.col("b_ent").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """a, b: the pairs of different components that come through, each once."""
+    sizes = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("main"))
+    at = rows.join(main, "token")
+    near = _sided(at.where("root <> main"), "a").join(_sided(at, "b"), "token").where(f"{_BOUNDS} AND {_FIRST}")
+    return near.select(F.least("a_ent", "b_ent").alias("a"), F.greatest("a_ent", "b_ent").alias("b")).distinct()
+
+
+def _roots(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, root for every class with a link: the components of all similar pairs."""
+    sets, n_able = _sets(base, classes, cut(_able(base, light)))
+    roots, least = None, 0.0
+    for r in itertools.count():
+        links = cut(snug(_verified(_led(_postings(sets, roots), r), sets), n_able, SETS))
+        new = links.count()
+        roots = merged(roots, links)
+        least = WORTHWHILE * new if r == 0 else least
+        if new <= least:
+            break
+    pairs = cut(snug(_met(_postings(sets, roots)), n_able, SETS))
+    roots = merged(roots, cut(snug(_verified(pairs, sets), n_able, SETS)))
+    drop(pairs)
+    drop(sets)
+    return roots
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns."""
-    got = join(docs, id_col, text_col)
-    stay = got.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi")
+    """The document with the smallest id of each component, with all its columns. Rows of one id stay or go together."""
+    got = cut(join(docs, id_col, text_col))
+    gone = cut(got.groupBy(F.col(id_col).alias("_gone")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_stay")).where("NOT _stay").select("_gone"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
