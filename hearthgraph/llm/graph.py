@@ -17,16 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     return linked(edges, cut, snug)
 
 
-def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components (node, root) after links a, b between nodes of earlier components, or nodes in none yet.
-
-    Only the components that the links touch are gone through again."""
-    if roots is None:
-        return components(links)
-    ends = links.select("a", "b")
-    for end in ("a", "b"):
-        ends = ends.join(roots.withColumnsRenamed({"node": end, "root": "_r"}), end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
-    up = components(ends)
-    over = up.select(F.col("root").alias("_r"), F.col("node").alias("root"))
-    old = roots.join(over, "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
-    return cut(snug(old.unionByName(up.join(roots, "node", "left_anti").select("node", "root")), roots.count()))
+def closer(roots: DataFrame | None, links: DataFrame, rows: int, steps: int = 3) -> DataFrame:
+    """node, root for every node with a link: nodes of one root are of one component, though not the other way round.
+
+    A cheap stand-in for components() where that is all that is asked: in each step a node takes the smallest root
+    among its neighbours, then its root's root. links: a, b, with about so many rows; roots: an earlier result over some
+    of the links."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = both.select(F.col("a").alias("node")).distinct()
+    now = now.withColumn("root", F.col("node")) if roots is None else now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for _ in range(steps):
+        near = both.join(now.select(F.col("node").alias("b"), F.col("root").alias("_r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_r").alias("_r"))
+        now = cut(snug(now.join(near, "node").select("node", F.least("root", "_r").alias("root")), rows))
+        over = now.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+        now = now.join(over, "root").select("node", F.col("_r").alias("root"))
+    return now

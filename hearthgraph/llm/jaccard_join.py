@@ -14,7 +14,7 @@ all of them.
 5. Pairs that come through must share prefix tokens under the other two orders too, then their sets are compared.
 
 Step 4 first compares each class with one leader of its lists, round by round, as long as that links many. Lists that
-lie in one component then hold nothing new; in the others the members outside the list's largest component are joined
+are known to lie in one component then hold nothing new; in the others the members outside the list's largest component are joined
 with all of the list. So large groups of near copies cost a comparison each, not one for each pair, and no pair that
 could add to the components is left out.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, cut, drop, mix64, pieces, prefix_hash, snug, span_hash, utf8
-from .graph import merged
+from .graph import closer, components
 
 #: Fixed by the contract: A-Z to lower case, and what separates words.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -272,16 +272,19 @@ _BITS = [f"b{k}" for k in range(WORDS)]
 _CARRIED = ["ent", "root", "n", "u", "pos", "head", *_BITS]
 
 
-def _postings(sets: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """A row for each prefix token under the first order, with its position and the class's component so far."""
-    if roots is None:
-        sets = sets.withColumn("root", F.col("ent"))
-    else:
-        sets = sets.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-    rows = sets.select("ent", "root", "n", "u", *_BITS, F.slice("p0", 1, HEAD).alias("head"), F.posexplode("p0").alias("k", "token"))
+def _postings(sets: DataFrame) -> DataFrame:
+    """A row for each prefix token under the first order, with its position and the class as its own component."""
+    rows = sets.select("ent", F.col("ent").alias("root"), "n", "u", *_BITS, F.slice("p0", 1, HEAD).alias("head"), F.posexplode("p0").alias("k", "token"))
     return rows.select("token", "ent", "root", "n", "u", (F.col("u") + F.col("k")).alias("pos"), F.slice("head", F.lit(1), F.least("k", F.lit(HEAD))).alias("head"), *_BITS)
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are still of several components, with the components so far."""
+    rows = rows.drop("root").join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+    lists = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return rows.join(lists, "token", "left_semi")
+
+
 def _sided(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in _CARRIED])
 
@@ -298,7 +301,7 @@ _FIRST = "NOT arrays_overlap(a_head, b_head)"
 def _led(rows: DataFrame, r: int) -> DataFrame:
     """a, b: each class with the leader of another component that leads most of its lists."""
     lead = F.min_by(F.struct(*_CARRIED), F.xxhash64(F.lit(r), "ent"))
-    lists = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead.alias("lead")).where("lo <> hi")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), lead.alias("lead")).where("c > 1")
     met = _sided(rows, "a").join(lists.select("token", *[F.col(f"lead.{c}").alias(f"b_{c}") for c in _CARRIED]), "token").where(_BOUNDS)
     votes = met.groupBy(F.col("a_ent").alias("a"), F.col("b_ent").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
@@ -316,19 +319,22 @@ def _met(rows: DataFrame) -> DataFrame:
 def _roots(base: DataFrame, light: DataFrame, classes: DataFrame) -> DataFrame:
     """node, root for every class with a link: the components of all similar pairs."""
     sets, n_able = _sets(base, classes, cut(_able(base, light)))
-    roots, least = None, 0.0
+    rows, found, roots, least = cut(_postings(sets)), None, None, 0.0
     for r in itertools.count():
-        links = cut(snug(_verified(_led(_postings(sets, roots), r), sets), n_able, SETS))
+        links = cut(snug(_verified(_led(rows, r), sets), n_able, SETS))
         new = links.count()
-        roots = merged(roots, links)
+        found = links if found is None else found.unionByName(links)
+        roots = cut(snug(closer(roots, found, n_able), n_able, SETS))
+        before, rows = rows, cut(_open(rows, roots))
+        drop(before)
         least = WORTHWHILE * new if r == 0 else least
         if new <= least:
             break
-    pairs = cut(snug(_met(_postings(sets, roots)), n_able, SETS))
-    roots = merged(roots, cut(snug(_verified(pairs, sets), n_able, SETS)))
-    drop(pairs)
-    drop(sets)
-    return roots
+    pairs = cut(snug(_met(rows), n_able, SETS))
+    found = found.unionByName(cut(snug(_verified(pairs, sets), n_able, SETS)))
+    for table in (rows, pairs, sets):
+        drop(table)
+    return components(found)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
