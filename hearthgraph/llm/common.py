@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,6 +34,21 @@ def crc_mod(id_col: str, k: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(k))
 
 
+def give_back() -> None:
+    """After a fit on the driver: hand freed memory to the system, which the allocators would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sampled(key: Column, share: float | Column) -> Column:
+    """Whether a row is among about this share of all rows, by a 64-bit hash of its key; null keys have one hash."""
+    if isinstance(share, float | int):
+        return F.lit(True) if share >= 1 else F.xxhash64(key) < F.lit(int(share * 2**64) - 2**63)
+    return (share >= 1) | (F.xxhash64(key) / F.lit(2.0**64) + 0.5 < share)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> U64(30))) * MIX1

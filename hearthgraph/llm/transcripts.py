@@ -2,9 +2,10 @@
 
 A transcript's lines are observations: the kind of speaker marker at the line's start and a few features of the line.
 The hidden states are a role's first and later lines. Viterbi recovers the roles where markers are missing or odd.
-Long transcripts are cut into chunks. A chunk is summed up as its matrix of best scores from state to state, the
-chunks of a transcript are joined by their matrices alone, and each chunk is then decoded between the states so found:
-the result is that of Viterbi over the whole, and no task holds a whole long transcript.
+Long transcripts are cut into chunks. A chunk is summed up as its matrix of best scores from state to state; matrices
+are multiplied in blocks, and blocks again, until one is left, and the states at the seams are found on the way back down.
+Each chunk is then decoded between its own two: the result is that of Viterbi over the whole, and no task holds a whole
+long transcript or all matrices of one.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, sampled
+
 ROLES = ("system", "user", "assistant")
 #: The words that usually name a speaker's role.
 SPEAKERS = {
@@ -31,6 +34,10 @@ MARKER = re.compile(r"\s*(?:(?:#{1,6}|\*\*|\[|<\|?|>)\s*)?([A-Za-z]{1,14})\s*(?:
 #: States: role r's first line is 2r, its later lines 2r + 1. A feature's values: marker, blank line before, length, ending.
 STATES = 2 * len(ROLES)
 SHAPE = (4, 2, 3, 3)
+#: Fixed value: a line with such a character isn't blank. The complement is what Python's strip() takes off.
+INK = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Chunks to a block, and blocks to a block of blocks.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -102,18 +109,58 @@ def viterbi(e: np.ndarray, m: Hmm, enter: int | None, leave: int | None) -> np.n
     return out
 
 
-def stitch(mats: list[np.ndarray], first: np.ndarray, m: Hmm) -> list[tuple[int | None, int]]:
-    """(enter, leave) of each chunk; first: best scores of the first chunk's end states from the transcript's start."""
-    v, back = first, []
+def stitch(mats: list[np.ndarray], first: np.ndarray, m: Hmm, enter: int | None = None, leave: int | None = None) -> list[tuple[int | None, int]]:
+    """(enter, leave) of each chunk; first: best scores of the first chunk's end states from the transcript's start.
+    Where the state before the first chunk (enter) or the last one's (leave) is given, the path keeps to it."""
+    v, back = first if enter is None else mats[0][enter], []
     for t in mats[1:]:
         x = v[:, None] + t
         back.append(x.argmax(axis=0))
         v = x.max(axis=0)
-    leave = [int(v.argmax())]
+    ends = [int(v.argmax()) if leave is None else leave]
     for b in reversed(back):
-        leave.append(int(b[leave[-1]]))
-    leave.reverse()
-    return [(None if k == 0 else leave[k - 1], s) for k, s in enumerate(leave)]
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    return [(enter if k == 0 else ends[k - 1], s) for k, s in enumerate(ends)]
+
+
+def multiply(mats: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of a block of chunks, and its end states' best scores if the transcript starts with it."""
+    whole = mats[0]
+    for t in mats[1:]:
+        whole = (whole[:, :, None] + t[None]).max(axis=1)
+        first = (first[:, None] + t).max(axis=0)
+    return whole, first
+
+
+def seams(mats: DataFrame, block: int = BLOCK) -> DataFrame:
+    """key, chunk, enter, leave from key, chunk (0, 1, ... without a gap), mat and first; enter is -1 at a transcript's start.
+
+    At most `block` matrices come together in a task."""
+    in_block = F.expr(f"chunk div {block}")
+
+    def up(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        whole, first = multiply([np.array(x).reshape(STATES, STATES) for x in group["mat"]], np.array(group["first"].iloc[0]))
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "chunk": [group["chunk"].iloc[0] // block], "mat": [whole.ravel().tolist()], "first": [first.tolist()]})
+
+    def down(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("chunk")
+        given = [int(group[c].iloc[0]) for c in ("over_enter", "over_leave")]
+        got = stitch([np.array(x).reshape(STATES, STATES) for x in group["mat"]], np.array(group["first"].iloc[0]), None, *[None if g < 0 else g for g in given])
+        return pd.DataFrame({"key": group["key"], "chunk": group["chunk"], "enter": [-1 if a is None else a for a, _ in got], "leave": [b for _, b in got]})
+
+    levels = [cut(mats)]
+    last = levels[0].agg(F.max("chunk")).first()[0] or 0
+    while last >= block:
+        levels.append(cut(levels[-1].groupBy("key", in_block).applyInPandas(up, "key string, chunk long, mat array<double>, first array<double>")))
+        last //= block
+    known = levels[0].sparkSession.createDataFrame([], "key string, chunk long, enter int, leave int")
+    for k, level in enumerate(reversed(levels)):
+        over = known.select(F.col("key").alias("_k"), F.col("chunk").alias("_c"), F.col("enter").alias("over_enter"), F.col("leave").alias("over_leave"))
+        rows = level.join(over, level["key"].eqNullSafe(over["_k"]) & (in_block == F.col("_c")), "left").drop("_k", "_c").fillna(-1, ["over_enter", "over_leave"])
+        known = rows.groupBy("key", in_block).applyInPandas(down, "key string, chunk long, enter int, leave int")
+    return known
 
 
 def turns(lines: list[str], states: np.ndarray) -> list[tuple[str, list[str], bool]]:
@@ -163,7 +210,7 @@ def fit(chunks: DataFrame, sample: int = 20_000) -> Hmm:
 
     n = chunks.count()
     if n > sample:
-        chunks = chunks.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        chunks = chunks.where(sampled(F.col("key"), sample / n))
     rows = chunks.select("lines", "states").mapInArrow(count, "name string, i long, n double").groupBy("name", "i").agg(F.sum("n").alias("n")).collect()
     shapes = {"start": (STATES,), "move": (STATES, STATES)} | {f"f{k}": (STATES, w) for k, w in enumerate(SHAPE)}
     counts = {name: np.zeros(int(np.prod(shapes[name]))) for name in COUNTS}
@@ -189,11 +236,6 @@ def parse(chunks: DataFrame, m: Hmm) -> DataFrame:
                 first.append((((m.start + e[0])[:, None] + transfer(e[1:], m)).max(axis=0) if len(e) else np.zeros(STATES)).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mats, pa.list_(pa.float64())), pa.array(first, pa.list_(pa.float64()))], ["key", "chunk", "mat", "first"])
 
-    def ends(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
-        got = stitch([np.array(x).reshape(STATES, STATES) for x in group["mat"]], np.array(group["first"].iloc[0]), m)
-        return pd.DataFrame({"key": group["key"], "chunk": group["chunk"], "enter": [-1 if a is None else a for a, _ in got], "leave": [b for _, b in got]})
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -208,7 +250,7 @@ def parse(chunks: DataFrame, m: Hmm) -> DataFrame:
     chunks = chunks.select(F.col("key").cast("string"), F.col("chunk").cast("long"), "lines")
     long = chunks.where("chunk > 0").select("key").distinct()
     mats = chunks.join(long, chunks["key"].eqNullSafe(long["key"]), "left_semi").mapInArrow(sums, "key string, chunk long, mat array<double>, first array<double>")
-    bounds = mats.groupBy("key").applyInPandas(ends, "key string, chunk long, enter int, leave int").withColumnsRenamed({"key": "_k", "chunk": "_c"})
+    bounds = seams(mats).withColumnsRenamed({"key": "_k", "chunk": "_c"})
     joined = chunks.join(bounds, chunks["key"].eqNullSafe(bounds["_k"]) & (chunks["chunk"] == bounds["_c"]), "left").select("key", "chunk", "lines", "enter", "leave")
     return joined.mapInArrow(decode, "key string, chunk long, n_lines long, states array<int>, n_turns long, canonical string")
 
@@ -229,8 +271,10 @@ def from_turns(turns_df: DataFrame, per_chunk: int = 64, drop_every: int = 6) ->
     """Raw transcripts from conv_id, turn, role, text: key, chunk, lines and the true states of its lines.
 
     Each conversation has one style of markers; about every `drop_every`-th turn has none, only a blank line before.
-    Turns are ordered by number, role and text, so repeated rows stay; chunks are runs of `per_chunk` turn numbers.
-    Null turn numbers come first, roles that aren't known count as 'user', null text is an empty turn.
+    Turns are ordered by number, role and text, so repeated rows stay; a chunk has `per_chunk` turns in that order, the
+    last one fewer. Null turn numbers come first, roles that aren't known count as 'user', null text is an empty turn,
+    null conversation ids are one conversation. Lines end at \\n; a line of white space alone is blank. Other columns
+    are ignored.
     """
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long"))
@@ -243,15 +287,25 @@ def from_turns(turns_df: DataFrame, per_chunk: int = 64, drop_every: int = 6) ->
             mark = F.when((style == k) & (F.col("role") == r), F.lit(text)).otherwise(mark)
     bare = F.pmod(F.crc32(F.concat_ws(":", "key", F.col("turn").cast("string")).cast("binary")), F.lit(drop_every)) == 0
     body = F.concat(F.when(bare, F.lit("\n")).otherwise(mark), "text")
-    rows = rows.select("key", F.expr(f"greatest(turn, 0) div {per_chunk}").alias("chunk"), F.struct("turn", "role", body.alias("body")).alias("t"))
-    packed = rows.groupBy("key", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    # a chunk number that no turn has would leave a gap in the sequence; ends() only needs their order
+    rows = _numbered(rows.select("key", "turn", "role", body.alias("body")))
+    packed = rows.groupBy("key", F.expr(f"at div {per_chunk}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "role", "body"))).alias("ts"))
     lines = F.flatten(F.transform("ts", lambda t: F.split(t["body"], "\n")))
     index = F.array(*[F.lit(r) for r in ROLES])
 
     def states_of(t):
         number = (F.array_position(index, t["role"]) - 1).cast("int") * 2
-        own = F.filter(F.split(t["body"], "\n"), lambda x: F.trim(x) != "")
+        own = F.filter(F.split(t["body"], "\n"), lambda x: x.rlike(INK))
         return F.transform(own, lambda _, i: number + F.when(i > 0, 1).otherwise(0))
 
     return packed.select("key", "chunk", lines.alias("lines"), F.flatten(F.transform("ts", states_of)).alias("states"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """key, role, body, at: the position in the key's order. One sort deals all rows, so a key of any size is spread over
+    many tasks (repeated rows by chance, their order being the same); each task counts its keys, and the counts of the
+    tasks before are added."""
+    dealt = rows.withColumn("_r", F.rand(7)).sort("key", "turn", "role", "body", "_r").drop("_r")
+    dealt = cut(dealt.select("key", "role", "body", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i")))
+    counts = dealt.groupBy("key", "part").agg(F.min("i").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.join(counts.withColumn("before", F.coalesce(before, F.lit(0))), ["key", "part"]).select("key", "role", "body", (F.col("i") - F.col("least") + F.col("before")).alias("at"))
