@@ -1,7 +1,7 @@
 """Language identification with bit-sliced Bloom filters over byte n-grams.
 
-One table of 64-bit words serves all languages: bit l of a word is language l's Bloom filter. And-ing the words at an
-n-gram's positions gives the bitmask of every language that has the n-gram in one look-up. A text's language is the
+One table of 64-bit words serves 64 languages (further languages have tables of their own at the same positions): bit l
+of a word is language l's Bloom filter. And-ing the words at an n-gram's positions gives the bitmask of every language that has the n-gram in one look-up. A text's language is the
 one with the largest popcount after the expected false positives are taken off.
 """
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, pieces, utf8
+from .common import U64, mix64, pieces, sampled, utf8
 
 #: Letters: a-z and every byte of a character beyond ASCII; the rest separates words.
 _LETTER = np.zeros(256, bool)
@@ -26,13 +26,13 @@ _LETTER[128:] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """n: bytes of an n-gram. sample_docs: about so many labelled documents are fitted on. min_docs: an n-gram needs
-    so many. min_share: a language has an n-gram if its rate there reaches this share of the highest rate in any
+    """n: bytes of an n-gram. sample_docs: about so many labelled documents of each language are fitted on. min_docs: an
+    n-gram needs so many of them, or as many as the language's most frequent n-gram has, if those are fewer. min_share: a language has an n-gram if its rate there reaches this share of the highest rate in any
     language, so words of other languages in a language's documents don't count as its own. log2_words: size of the
     filter (8 bytes a word, broadcast). hashes: positions of an n-gram."""
 
     n: int = 4
-    sample_docs: int = 20_000
+    sample_docs: int = 5_000
     min_docs: int = 3
     min_share: float = 0.2
     log2_words: int = 19
@@ -42,7 +42,7 @@ class Settings:
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]  # most frequent first, so a tie goes to the likelier one
-    words: np.ndarray
+    words: np.ndarray  # tables of 64 languages x positions
     false_rate: np.ndarray
     settings: Settings
 
@@ -79,34 +79,36 @@ def positions(g: np.ndarray, s: Settings) -> list[np.ndarray]:
 
 
 def masks(g: np.ndarray, model: Model) -> np.ndarray:
-    """The bitmask of languages that have each n-gram."""
+    """The bitmask of languages that have each n-gram: a row for each 64 languages."""
     out = None
     for p in positions(g, model.settings):
-        out = model.words[p] if out is None else out & model.words[p]
+        out = model.words[:, p] if out is None else out & model.words[:, p]
     return out
 
 
 def build(languages: list[str], by_gram: dict[int, list[int]], s: Settings) -> Model:
-    if len(languages) > 64:
-        raise ValueError("one word holds 64 languages")
-    words = np.zeros(1 << s.log2_words, U64)
-    for bit in range(len(languages)):
-        own = np.array(sorted(g for g, bits in by_gram.items() if bit in bits), dtype=U64)
-        for p in positions(own, s):
-            words[p] |= U64(1 << bit)
-    fill = np.array([np.count_nonzero(words & U64(1 << bit)) for bit in range(len(languages))]) / len(words)
+    words = np.zeros((-(-len(languages) // 64) or 1, 1 << s.log2_words), U64)
+    own: list[list[int]] = [[] for _ in languages]
+    for g, bits in by_gram.items():
+        for bit in bits:
+            own[bit].append(g)
+    for bit, grams_ in enumerate(own):
+        for p in positions(np.array(sorted(grams_), dtype=U64), s):
+            words[bit // 64, p] |= U64(1 << bit % 64)
+    fill = np.array([np.count_nonzero(words[bit // 64] & U64(1 << bit % 64)) for bit in range(len(languages))]) / words.shape[1]
     return Model(tuple(languages), words, fill**s.hashes, s)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", s: Settings = Settings()) -> Model:
-    """Learn from labelled rows (null labels are left out): about `sample_docs` of them, chosen by a hash of the id.
+    """Learn from labelled rows (null labels are left out): about `sample_docs` of each language, chosen by a hash of the id.
 
-    Without any labelled row the model has no language and every text is 'und'.
+    Without any labelled row the model has no language and every text is 'und'. Null texts have no n-gram; a language
+    without any is none. Repeated rows count each time.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
-    total = rows.count()
-    if total > s.sample_docs:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) < int(1_000_000 * s.sample_docs / total))
+    share = {r["_l"]: s.sample_docs / r["count"] for r in rows.groupBy("_l").count().collect()}
+    if any(x < 1 for x in share.values()):
+        rows = rows.where(sampled(F.col("_id").cast("string"), F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("_l")]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +124,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = counts.groupBy("lang", "gram").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     size = {r["lang"]: (r["docs"], r["n"]) for r in counts.groupBy("lang").agg(F.max("docs").alias("docs"), F.sum("n").alias("n")).collect()}
     languages = sorted(size, key=lambda k: (-size[k][0], k))
-    counts = counts.where(F.col("docs") >= (s.min_docs if total > 100 else 1)).toArrow()  # bounded by the sample
+    most = F.create_map(*[F.lit(x) for k in languages for x in (k, min(s.min_docs, size[k][0]))])[F.col("lang")] if languages else F.lit(1)
+    counts = counts.where(F.col("docs") >= most).toArrow()  # bounded by the sample
     by_gram: dict[int, list[int]] = {}
     rates: dict[int, dict[int, float]] = {}
     bit = {k: i for i, k in enumerate(languages)}
@@ -155,7 +158,7 @@ def popcounts(raw: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarra
         m = masks(g, model)
         total[i:j] = np.bincount(row, minlength=j - i)
         for bit in range(k):
-            out[i:j, bit] = np.bincount(row[(m >> U64(bit)) & U64(1) == 1], minlength=j - i)
+            out[i:j, bit] = np.bincount(row[(m[bit // 64] >> U64(bit % 64)) & U64(1) == 1], minlength=j - i)
     return out, total
 
 
