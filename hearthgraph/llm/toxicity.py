@@ -2,7 +2,8 @@
 
 A document is a bag of sentences; only documents are labelled. Each sentence has a logistic score over its words, a
 document's score is the noisy-or of its sentences, and the likelihood of the document labels trains the words'
-weights. The sentence scores then locate the offending sentences.
+weights. The sentence scores then locate the offending sentences. A sentence counts only from FLOOR up, so that many
+harmless sentences never add up to a toxic document, however long it is.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, sampled
+
 WORD = re.compile(r"[^\W\d_]+")
 #: A word's features are the word itself and its beginnings of these lengths, which inflected words share.
 BEGINNINGS = (3, 4, 5, 6, 7)
 #: So many words' weights are kept in a task between look-ups.
 CACHED_WORDS = 200_000
 SENTENCE = re.compile(r"[.!?\n]+")
+#: A sentence's logistic score up to here counts as 0, and the rest is stretched to 0..1.
+FLOOR = 0.1
 
 
 @dataclass(frozen=True)
@@ -69,21 +74,34 @@ class Weights(dict):
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans between sentence ends; parts without a word character are left out."""
+    """Spans between sentence ends; parts without a word are left out."""
     out, at = [], 0
     for m in SENTENCE.finditer(text):
-        if m.start() > at:
+        if WORD.search(text, at, m.start()):
             out.append((at, m.start()))
         at = m.end()
-    if at < len(text):
+    if WORD.search(text, at):
         out.append((at, len(text)))
     return out
 
 
+def counted(z: float) -> float:
+    """What a sentence with this logit adds to the noisy-or."""
+    return max(0.0, (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))) - FLOOR) / (1 - FLOOR))
+
+
 def noisy_or(p: np.ndarray, leak: float) -> float:
     return float(1 - (1 - leak) * np.exp(np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()))
 
 
+def _sums(index: np.ndarray, values: np.ndarray, of: np.ndarray, n: int, block: int = 1 << 20) -> np.ndarray:
+    """Sum of values[of] by index, in blocks, so that no temporary is as long as the words."""
+    out = np.zeros(n)
+    for lo in range(0, len(index), block):
+        out += np.bincount(index[lo : lo + block], weights=values[of[lo : lo + block]], minlength=n)
+    return out
+
+
 def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.ndarray, n_words: int, s: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias from feature numbers in page order, features a sentence and sentences a document. Deterministic."""
     words = words.astype(np.int32)
@@ -91,11 +109,11 @@ def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.
     doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
     y, n = labels.astype(float), len(per_doc)
     balance = np.where(y == 1, n / max(2 * y.sum(), 1), n / max(2 * (n - y.sum()), 1))
-    theta = np.append(_log_odds(words, doc[sent], y, n_words), s.bias)
+    theta = np.append(_log_odds(words, sent, doc, y, n_words), s.bias)
     l1 = max(s.l1, s.l1_docs / (2 * max(y.sum(), 1)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, s.rounds + 1):
-        z = np.bincount(sent, weights=theta[words], minlength=len(sizes)) + theta[-1]
+        z = _sums(sent, theta, words, len(sizes)) + theta[-1]
         z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         log_no = np.log1p(-s.leak) + np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n)
@@ -105,7 +123,7 @@ def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.
         pull = balance * np.where(y == 1, none / yes, -1.0)
         g_z = p * pull[doc]
         grad = np.zeros_like(theta)
-        grad[:-1] = np.bincount(words, weights=g_z[sent], minlength=n_words) / n
+        grad[:-1] = _sums(words, g_z, sent, n_words) / n
         grad[-1] = g_z.sum() / n
         # the penalty pushes towards 0 and keeps a weight at 0 unless its gradient outweighs it
         own = grad[:-1]
@@ -118,11 +136,15 @@ def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.
     return theta[:-1], float(theta[-1])
 
 
-def _log_odds(words: np.ndarray, doc: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
+def _log_odds(words: np.ndarray, sent: np.ndarray, doc: np.ndarray, y: np.ndarray, n_words: int) -> np.ndarray:
     """A start for the weights: each word's log odds in documents of either class, less two standard errors."""
-    pair = np.unique(words.astype(np.int64) * len(y) + doc)
-    w, d = pair // len(y), pair % len(y)
-    pos, neg = np.bincount(w, weights=y[d], minlength=n_words), np.bincount(w, weights=1 - y[d], minlength=n_words)
+    pos, neg = np.zeros(n_words), np.zeros(n_words)
+    # documents lie one after the other, so a block of them has all their words
+    bound = np.searchsorted(sent, np.searchsorted(doc, np.arange(0, len(y) + 100, 100)))
+    for lo, hi in zip(bound, bound[1:], strict=False):
+        w, d = np.divmod(np.unique(words[lo:hi].astype(np.int64) * len(y) + doc[sent[lo:hi]]), len(y))
+        pos += np.bincount(w, weights=y[d], minlength=n_words)
+        neg += np.bincount(w, weights=1 - y[d], minlength=n_words)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
     error = 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
     return np.sign(odds) * np.maximum(np.abs(odds) - error, 0) if n_words else np.zeros(0)
@@ -140,7 +162,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     if len(sizes) < 2:
         return Model({}, s.bias, s.leak)
-    rows = rows.where(" OR ".join(f"(_y = {y} AND pmod(xxhash64(CAST(_id AS STRING)), 1000000) < {int(1_000_000 * min(1, s.sample_docs / n))})" for y, n in sizes.items()))
+    chosen = [(F.col("_y") == y) & sampled(F.col("_id").cast("string"), s.sample_docs / n) for y, n in sizes.items()]
+    rows = rows.where(chosen[0] | chosen[1])
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +176,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     counts = rows.select("_t").mapInArrow(words_of, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     fitted = sum(min(n, s.sample_docs) for n in sizes.values())
     usual = counts.where((F.col("docs") >= s.min_docs) & (F.col("docs") <= max(s.min_docs, s.max_share * fitted)))
-    vocabulary = sorted(r["word"] for r in usual.collect())  # bounded by the sample
+    vocabulary = sorted(usual.select("word").toArrow()["word"].to_pylist())  # bounded by the sample
     number = {w: i for i, w in enumerate(vocabulary)}
 
     def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +194,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     flat, sizes = sample["flat"].combine_chunks(), sample["sizes"].combine_chunks()
     per_doc, labels = sizes.value_lengths().to_numpy(), sample["_y"].to_numpy()
     theta, bias = train(flat.flatten().to_numpy(), sizes.flatten().to_numpy(), per_doc, labels, len(vocabulary), s)
-    return Model({w: float(t) for w, t in zip(vocabulary, theta) if abs(t) > 0.05}, bias, s.leak)
+    model = Model({w: float(t) for w, t in zip(vocabulary, theta) if t}, bias, s.leak)
+    del sample, flat, sizes, number, vocabulary
+    give_back()
+    return model
 
 
 def sentence_scores(text: str, model: Model) -> list[tuple[int, int, float]]:
@@ -181,30 +207,30 @@ def sentence_scores(text: str, model: Model) -> list[tuple[int, int, float]]:
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     out, weights = [], Weights(model)
     for a, b in sentences(low):
-        z = model.bias + sum(weights[w] for w in set(WORD.findall(low, a, b)))
-        out.append((a, b, 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))))
+        out.append((a, b, counted(model.bias + sum(weights[w] for w in set(WORD.findall(low, a, b))))))
     return out
 
 
 def score_text(text: str, weights: Weights, bias: float, leak: float) -> tuple[float, int, int]:
     """(score, sentences, sentences that alone make the document toxic)."""
-    log_no, n, offending, quiet = math.log1p(-leak), 0, 0, math.log1p(math.exp(bias))
+    log_no, n, offending, least = math.log1p(-leak), 0, 0, math.log(FLOOR / (1 - FLOOR)) - bias
     for part in SENTENCE.split(text.lower()):
-        if part:
+        words = set(WORD.findall(part))
+        if words:
             n += 1
-            z = sum(map(weights.__getitem__, set(WORD.findall(part))))
-            if z:
-                z += bias
-                log_no -= z if z > 30 else math.log1p(math.exp(z))
-                offending += z > 0
-            else:
-                log_no -= quiet
+            z = sum(map(weights.__getitem__, words))
+            if z > least:
+                log_no += math.log1p(-min(counted(z + bias), 1 - 1e-12))
+                offending += z + bias > 0
     return 1 - math.exp(log_no), n, offending
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (or the columns `keep`), score, predicted, n_sentences, n_offending. Null text counts as empty and scores the leak."""
+    """id (or the columns `keep`), score, predicted, n_sentences, n_offending. Null text counts as empty and scores the
+    leak, and so does a text without words. Repeated rows stay and score alike; a kept column named like a result is refused."""
     keep = keep or [id_col]
+    if clash := {"score", "predicted", "n_sentences", "n_offending"} & set(keep):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(model)
