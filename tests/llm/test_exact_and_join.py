@@ -97,6 +97,28 @@ def test_one_of_each_keeps_columns(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_copies_that_their_leader_does_not_link(spark):
+    """A large group in which many members are like few others only."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(60)]
+    data = []
+    for k in range(120):
+        words = list(base)
+        for at in rng.choice(60, 1 if k % 3 else 3, replace=False):
+            words[at] = f"x{k if k % 2 else k // 6}"
+        data.append((k, " ".join(words), None, None, 0, 0, "h", 1, 2, 3, "key"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(samples.docs(spark, data)).collect()}
+    assert got == brute_join(data)
+
+
+def test_closer_is_never_too_close(spark):
+    label = [int(x) for x in np.random.default_rng(3).permutation(60)]
+    links = spark.createDataFrame([(label[k - 1], label[k]) for k in range(1, 60) if k % 20], "a long, b long")
+    got = {r.node: r.root for r in graph.closer(None, links, 60).collect()}
+    parts = [set(label[k : k + 20]) for k in (0, 20, 40)]
+    assert set(got) == set(label) and all(any(n in p and r in p for p in parts) for n, r in got.items())
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 4), (None, 1)] + [(k, k + 1) for k in range(20, 60)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

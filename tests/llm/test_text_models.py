@@ -217,3 +217,81 @@ def test_transcripts_recover_roles(spark):
 
 def test_noisy_or_bounds():
     assert toxicity.noisy_or(np.zeros(0), 0.0) == 0.0 and math.isclose(toxicity.noisy_or(np.array([0.5, 0.5]), 0.0), 0.75)
+
+
+def test_long_clean_text_stays_clean(spark):
+    model = toxicity.Model({"bad": 9.0, "stone": 0.4, "moon": -0.3}, -6.0, 0.01)
+    words = EN + ["stone", "moon"]
+    r = random.Random(2)
+    clean = ". ".join(" ".join(r.choice(words) for _ in range(5)) for _ in range(4000)) + "..." * 5000
+    frame = spark.createDataFrame([(1, clean), (2, clean + ". bad one"), (2, clean + ". bad one"), (None, "..!")], "doc_id long, text string")
+    got = toxicity.score(frame, model).collect()
+    assert sorted((r.doc_id or 0, r.predicted, r.n_sentences) for r in got) == [(0, 0, 0), (1, 0, 4000), (2, 1, 4001), (2, 1, 4001)]
+    with pytest.raises(ValueError):
+        toxicity.score(frame.withColumn("score", toxicity.F.lit(1)), model, keep=["score"])
+
+
+def test_more_languages_than_a_word_has_bits():
+    s = language.Settings(log2_words=16)
+    rng = np.random.default_rng(1)
+    own = {int(g): [k % 70] for k, g in enumerate(rng.integers(0, 2**32, 7000))}
+    model = language.build([f"l{k:02}" for k in range(70)], own, s)
+    g = np.array(sorted(own), np.uint64)
+    m = language.masks(g, model)
+    assert m.shape == (2, len(g)) and all(int(m[own[int(x)][0] // 64, k]) >> (own[int(x)][0] % 64) & 1 for k, x in enumerate(g))
+
+
+def test_small_tables_learn_like_large_ones(spark):
+    rows = [(k, t, lang) for lang, words in (("en", EN), ("de", DE)) for k, t in enumerate(made(words, 60, 1))] + [(900, "qqxx qqxx", "xx")]
+    model = language.fit(spark.createDataFrame(rows + rows[:1] + [(901, None, "zz")], "doc_id long, text string, lang string"))
+    got = language.predict(spark.createDataFrame([(1, "qqxx"), (2, EN[3]), (None, "the " * 50000)], "doc_id long, text string"), model).collect()
+    assert {(r.doc_id, r.lang_pred) for r in got} == {(1, "xx"), (2, "en"), (None, "en")}
+
+
+def test_samples_never_become_empty(spark):
+    from hearthgraph.llm.common import sampled
+
+    ids = spark.range(200_000)
+    assert 100 < ids.where(sampled(toxicity.F.col("id"), 0.001)).count() < 300
+    assert 100 < ids.where(sampled(toxicity.F.col("id"), toxicity.F.lit(0.001))).count() < 300
+
+
+def brute_viterbi(e, m):
+    import itertools
+
+    best = max(itertools.product(range(len(m.start)), repeat=len(e)), key=lambda p: m.start[p[0]] + e[0, p[0]] + sum(m.move[a, b] + e[k + 1, b] for k, (a, b) in enumerate(zip(p, p[1:]))))
+    return list(best)
+
+
+def test_viterbi_matches_enumeration():
+    rng = np.random.default_rng(8)
+    m = transcripts.Hmm(np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6)), ())
+    for n in (1, 2, 5):
+        e = np.log(rng.random((n, 6)))
+        assert transcripts.viterbi(e, m, None, None).tolist() == brute_viterbi(e, m)
+
+
+def test_seams_of_blocks_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    m = transcripts.Hmm(np.log(rng.dirichlet(np.ones(6))), np.log(rng.dirichlet(np.ones(6), 6)), ())
+    e = np.log(rng.random((70, 6)))
+    parts = [e[2 * k : 2 * k + 2] for k in range(35)]
+    first = lambda p: ((m.start + p[0])[:, None] + transcripts.transfer(p[1:], m)).max(axis=0)
+    rows = [("a", k, transcripts.transfer(p, m).ravel().tolist(), first(p).tolist()) for k, p in enumerate(parts)]
+    got = transcripts.seams(spark.createDataFrame(rows, "key string, chunk long, mat array<double>, first array<double>"), block=3).collect()
+    by = {r.chunk: (None if r.enter < 0 else r.enter, r.leave) for r in got}
+    states = np.concatenate([transcripts.viterbi(p, m, *by[k]) for k, p in enumerate(parts)])
+    assert states.tolist() == transcripts.viterbi(e, m, None, None).tolist()
+
+
+def test_transcripts_with_white_space_lines_and_hot_keys(spark):
+    long = "\n".join(f"line {k}" for k in range(100_000))
+    turns = [(c, t, r, x) for c in range(8) for t, (r, x) in enumerate([("user", "What?\r\n\r\nWell?\t\n\t\n"), ("assistant", "It is.\n\u00a0\nSo it is.\r\n")])]
+    turns += [(50, 0, "user", long), (None, None, None, None), (None, None, None, "\r\n\t")] + [(60, None, "user", "same?")] * 300
+    df = spark.createDataFrame([(*x, "k", 1) for x in turns], "conv_id long, turn long, role string, text string, key string, chunk int")
+    chunks = transcripts.from_turns(df).cache()
+    got = transcripts.parse(chunks, transcripts.fit(chunks)).collect()
+    true = {(r.key, r.chunk): len(r.states) for r in chunks.collect()}
+    assert {(r.key, r.chunk): len(r.states) for r in got} == true
+    assert true[("50", 0)] == 100_000 and {k: n for k, n in true.items() if k[0] == "60"}.keys() == {("60", c) for c in range(5)}
+    assert sum(n for k, n in true.items() if k[0] == "60") >= 300
