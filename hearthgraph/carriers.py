@@ -20,8 +20,8 @@ from .functions import dates
 AS_OF = 2024
 
 GIVEN = "John,Mary,William,Elizabeth,Thomas,Ann,James,Sarah,George,Hannah,Samuel,Ellen"
-SURNAMES = "Brooks,Holmes,Slack,Land,Wheat,Spencer,Doxey,Allen,Potter,Hall"
-PLACES = "Belper|Derby, Derbyshire|WIRKSWORTH|Crich, Derbyshire, England|Ashover?|Matlock,"
+SURNAMES = "Brandle,Holmden,Slatter,Landry,Whitting,Spenlow,Doxam,Allcot,Pottinger,Hallam"
+PLACES = "Alderby|Morton, Northshire|KESTWICK|Crayle, Northshire, England|Ashmere?|Tarnock,"
 
 #: Year of birth by generation: the key's length in bits.
 _BASE = "1520 + 28 * least(length(bin({k})), 15) + ({k} * 7) % 23 - CASE WHEN {k} % 67 = 12 THEN 45 ELSE 0 END"
@@ -70,7 +70,8 @@ ORDERS = {
         "given": f"CASE WHEN o_orderkey % 9 = 2 THEN 'Jno' ELSE {_pick(GIVEN, '(o_custkey + CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 0 END) % 12')} END",
         "year": f"CASE WHEN o_orderkey % 19 = 6 THEN NULL ELSE CAST({_base('o_custkey')} + CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN o_orderkey % 5 - 2 WHEN 1 THEN (o_custkey * 13) % 118 - 3 + o_orderkey % 3 - 1 ELSE 20 + o_orderkey % 30 END AS INT) END",
         "age": "CASE WHEN o_orderkey % 7 = 3 THEN CAST(20 + o_orderkey % 30 + o_orderkey % 3 - 1 AS INT) END",
-        "district": f"CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE {_pick('Belper,Bakewell,Derby,Leeds', 'o_orderkey % 4')} END",
+        "district": f"CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE {_pick('Alderby,Braywell,Morton,Leedon', 'o_orderkey % 4')} END",
+        "mother_maiden": "CASE WHEN o_orderkey % 11 = 5 THEN NULL ELSE 'Maid' || CAST(o_custkey % 331 AS STRING) END",
         "volume": "'7b'",
         "page": "CAST(1 + o_orderkey % 40 AS STRING)",
     },
@@ -107,6 +108,7 @@ class Catalog:
         out = Catalog(self.spark, self.sf_dir)
         out.__dict__.update(edges=cut(self.edges))
         out.__dict__.update(people=cut(out.people))
+        out.__dict__.update(dated=out.people.drop("n_parents", "n_children", "n_spouses"))
         return out
 
     def table(self, name: str) -> DataFrame:
@@ -145,22 +147,27 @@ class Catalog:
         return s.unionByName(s.select(F.col("other").alias("id"), F.col("id").alias("other"), "year"))
 
     @cached_property
-    def people(self) -> DataFrame:
-        """Profiles with parsed dates (e earliest, l latest, b best) and the number of their edges."""
+    def dated(self) -> DataFrame:
+        """Profiles with parsed dates (e earliest, l latest, b best) and living; a projection, without any shuffle."""
         p = self.profiles
         for f in ("birth", "death"):
             d = dates.parse(F.col(f"{f}_raw"))
             p = p.withColumn("_d", d).withColumns({f"{f[0]}e": F.col("_d.earliest"), f"{f[0]}l": F.col("_d.latest"), f"{f[0]}b": dates.best_year(F.col("_d.earliest"), F.col("_d.latest"))}).drop("_d")
-        count = lambda df, key, name: df.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias(name))
-        for part in (count(self.parents, "to_id", "n_parents"), count(self.parents, "from_id", "n_children"), count(self.spouses, "id", "n_spouses")):
-            p = p.join(part, "id", "left")
-        p = p.fillna(0, ["n_parents", "n_children", "n_spouses"])
         return p.withColumn("living", F.expr(f"de IS NULL AND dl IS NULL AND (bl IS NULL OR bl + 100 >= {AS_OF})"))
 
+    @cached_property
+    def people(self) -> DataFrame:
+        """Dated profiles with the number of their edges, counted in one pass over both ends of all edges."""
+        parent = F.col("type") == "parent"
+        ends = F.array(F.struct(F.col("to_id").alias("id"), F.when(parent, "p").otherwise("s").alias("k")), F.struct(F.col("from_id").alias("id"), F.when(parent, "c").otherwise("s").alias("k")))
+        stacked = self.edges.where("type = 'parent' OR from_id <> to_id").select(F.explode(ends).alias("x")).select("x.*")
+        counts = stacked.groupBy("id").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(n) for k, n in (("p", "n_parents"), ("c", "n_children"), ("s", "n_spouses"))])
+        return self.dated.join(counts, "id", "left").fillna(0, ["n_parents", "n_children", "n_spouses"])
+
     @cached_property
     def parent_pairs(self) -> DataFrame:
         """Each parent edge with the child's columns (c_) and the parent's (p_)."""
-        own = self.people.select("id", "given", "surname", "gender", "be", "bl", "bb", "de", "dl", "db")
+        own = self.dated.select("id", "given", "surname", "gender", "be", "bl", "bb", "de", "dl", "db")
         c = own.select(*[F.col(x).alias(f"c_{x}") for x in own.columns])
         p = own.select(*[F.col(x).alias(f"p_{x}") for x in own.columns])
         return self.parents.join(c, F.col("to_id") == F.col("c_id")).join(p, F.col("from_id") == F.col("p_id"))
@@ -168,7 +175,7 @@ class Catalog:
     @cached_property
     def marriages(self) -> DataFrame:
         """Each spouse of each marriage with its own columns: id, other, year, …"""
-        return self.spouses.join(self.people, "id")
+        return self.spouses.join(self.dated, "id")
 
     @cached_property
     def life(self) -> DataFrame:
@@ -185,11 +192,15 @@ def duck(text: str) -> str:
 
 
 def _parse_sql(f: str) -> str:
-    y, y2, r = f"TRY_CAST(regexp_extract({f}_raw, '([0-9]{{4}})', 1) AS INT)", f"TRY_CAST(regexp_extract({f}_raw, 'AND ([0-9]{{4}})', 1) AS INT)", f"upper(trim({f}_raw))"
-    ok = f"{y} BETWEEN 1000 AND 2100"
-    early = f"CASE WHEN NOT ({ok}) THEN NULL WHEN {r} LIKE 'BEF%' THEN NULL WHEN {r} LIKE 'ABT%' THEN {y} - 5 WHEN {r} LIKE 'EST%' THEN {y} - 10 WHEN {r} LIKE 'CAL%' THEN {y} - 1 ELSE {y} END"
-    late = f"CASE WHEN NOT ({ok}) THEN NULL WHEN {r} LIKE 'AFT%' THEN NULL WHEN {r} LIKE 'ABT%' THEN {y} + 5 WHEN {r} LIKE 'EST%' THEN {y} + 10 WHEN {r} LIKE 'CAL%' THEN {y} + 1 WHEN {r} LIKE 'BET%' THEN {y2} WHEN {r} LIKE '%S' AND regexp_matches({r}, '^[0-9]{{4}}S$') THEN {y} + 9 ELSE {y} END"
-    x = f[0]
+    r, x = f"upper(trim({f}_raw))", f[0]
+    year = lambda t: f"(SELECT CASE WHEN y BETWEEN 1000 AND 2100 THEN y END FROM (SELECT TRY_CAST(regexp_extract({t}, '\\b(\\d\\d\\d\\d)\\b', 1) AS INT) AS y))"
+    word = lambda *names: "(" + " OR ".join(f"starts_with({r}, '{n} ')" for n in names) + ")"
+    about, est, cal = word("ABT", "ABOUT", "CIRCA", "AROUND", "APPROX", "APPROXIMATELY"), word("EST", "ESTIMATED"), word("CAL", "CALCULATED")
+    decade = f"regexp_full_match({r}, '(1[0-9][0-9]|20[0-9])0S')"
+    between = f"({word('BET', 'BETWEEN')} AND {r} LIKE '% AND %')"
+    off = f"CASE WHEN {about} THEN 5 WHEN {est} THEN 10 WHEN {cal} THEN 1 ELSE 0 END"
+    early = f"CASE WHEN {decade} THEN left({r}, 4)::INT WHEN {between} THEN {year(f'split_part({r}, {chr(39)} AND {chr(39)}, 1)')} WHEN {word('BEF', 'BEFORE')} THEN NULL ELSE {year(r)} - {off} END"
+    late = f"CASE WHEN {decade} THEN left({r}, 4)::INT + 9 WHEN {between} THEN {year(f'split_part({r}, {chr(39)} AND {chr(39)}, -1)')} WHEN {word('AFT', 'AFTER')} THEN NULL ELSE {year(r)} + {off} END"
     return f"{early} AS {x}e, {late} AS {x}l"
 
 

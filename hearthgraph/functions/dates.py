@@ -7,30 +7,41 @@ from pyspark.sql import functions as F
 
 #: Years that count as years, and what each qualifier adds on either side.
 YEARS = (1000, 2100)
-TOLERANCE = {"ABT": 5, "EST": 10, "CAL": 1}
+TOLERANCE = {"ABT": 5, "EST": 10, "CAL": 1, "BEF": 0, "AFT": 0}
+#: The words of each qualifier; a blank must follow.
+WORDS = {
+    "ABT": ("ABT", "ABOUT", "CIRCA", "AROUND", "APPROXIMATELY", "APPROX"), "EST": ("EST", "ESTIMATED"), "CAL": ("CAL", "CALCULATED"),
+    "BEF": ("BEF", "BEFORE"), "AFT": ("AFT", "AFTER"),
+}
 
 
-def _year(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+def _year(text: Column) -> Column:
+    """The first number of four digits, if it counts as a year."""
+    y = F.nullif(F.regexp_extract(text, r"\b([0-9]{4})\b", 1), F.lit("")).cast("int")
+    return F.when(y.between(*YEARS), y)
 
 
 def parse(raw: Column) -> Column:
     """struct(earliest, latest, qualifier); a null bound is open, two null bounds are an unknown date.
 
-    Reads `1887`, `1 JAN 1887`, `ABT|EST|CAL y`, `BEF y`, `AFT y`, `BET y AND z` and `1880s`; the first four-digit
-    number counts, and only within 1000..2100. Everything else, null and empty text included, is unknown.
+    Reads `1887`, `1 JAN 1887`, a qualifier's word and a year, `BET y AND z`, `BETWEEN y AND z` and `1880s`; the first
+    number of exactly four digits counts, and only within 1000..2100. Everything else, null and empty text included, is
+    unknown; BET without AND is read as if it weren't there.
     """
     text = F.upper(F.trim(raw))
-    y, z = _year(text, "([0-9]{4})"), _year(text, "AND ([0-9]{4})")
-    kind = F.regexp_extract(text, "^(ABT|EST|CAL|BEF|AFT|BET)", 1)
-    around = F.lit(0)
-    for q, t in TOLERANCE.items():
-        around = F.when(kind == q, t).otherwise(around)
-    decade = F.when(text.rlike("^[0-9]{4}S$"), 9).otherwise(0)
-    known = y.between(*YEARS)
-    early = F.when(known & (kind != "BEF"), y - around)
-    late = F.when(known & (kind != "AFT"), F.when(kind == "BET", z).otherwise(y + around + decade))
-    return F.struct(early.cast("int").alias("earliest"), late.cast("int").alias("latest"), F.when(known, kind).alias("qualifier"))
+    y, kind, around = _year(text), F.lit(""), F.lit(0)
+    for q, words in WORDS.items():
+        own = text.rlike(f"^({'|'.join(words)}) ")
+        kind, around = F.when(own, q).otherwise(kind), F.when(own, TOLERANCE[q]).otherwise(around)
+    parts = F.split(text, " AND ")
+    between = text.rlike("^BET(WEEN)? ") & text.contains(" AND ")
+    decade = F.when(text.rlike("^[0-9]{3}0S$"), F.regexp_extract(text, "^([0-9]{4})", 1).cast("int"))
+    decade = F.when(decade.between(1000, 2090), decade)
+    early = F.when(between, _year(F.element_at(parts, 1))).when(kind != "BEF", y - around)
+    late = F.when(between, _year(F.element_at(parts, -1))).when(kind != "AFT", y + around)
+    early, late = F.coalesce(decade, early), F.coalesce(decade + 9, late)
+    kind = F.when(between | decade.isNotNull(), "BET").otherwise(kind)
+    return F.struct(early.cast("int").alias("earliest"), late.cast("int").alias("latest"), F.when(early.isNotNull() | late.isNotNull(), kind).alias("qualifier"))
 
 
 def best_year(earliest: Column, latest: Column) -> Column:

@@ -12,8 +12,11 @@ NICKNAMES = {
     "JACK": "JOHN", "HARRY": "HENRY", "BILL": "WILLIAM", "WILLIE": "WILLIAM", "TED": "EDWARD", "DICK": "RICHARD", "POLLY": "MARY", "MOLLY": "MARY",
     "PEGGY": "MARGARET", "BETTY": "ELIZABETH", "LIZZIE": "ELIZABETH", "ELSIE": "ELIZABETH", "SALLY": "SARAH", "NANCY": "ANN", "NELL": "ELLEN",
     "NELLIE": "ELLEN", "JOE": "JOSEPH", "SAM": "SAMUEL", "KATE": "CATHERINE", "KATHLEEN": "CATHERINE", "FLORRIE": "FLORENCE", "GEOFF": "GEOFFREY",
-    "ADELAIDE": "ADA", "ADELINE": "ADA", "ADELA": "ADA", "ADELINA": "ADA",
+    "ADELAIDE": "ADA", "ADELINE": "ADA", "ADELA": "ADA", "ADELINA": "ADA", "BOB": "ROBERT",
 }
+#: Pet forms that the audit's ladder lacks, and those that the older ladder has.
+NOT_AUDITED = ("ELSIE", "GEOFF")
+OLDER = ("JACK", "HARRY", "BILL", "TED", "DICK", "POLLY", "PEGGY", "BETTY", "NELL", "JOE", "KATE", "WILLIE", "NELLIE", "LIZZIE", "FLORRIE")
 #: Written contractions and the name each stands for.
 CONTRACTIONS = {"WM": "WILLIAM", "THOS": "THOMAS", "JNO": "JOHN", "JAS": "JAMES", "CHAS": "CHARLES", "SAML": "SAMUEL", "GULIELMUS": "WILLIAM", "JOHANNES": "JOHN"}
 
@@ -27,8 +30,13 @@ def canonical(name: Column) -> Column:
     return _mapped(name, NICKNAMES | CONTRACTIONS)
 
 
+def _plain_vowels(name: Column) -> Column:
+    """AU written A and OU written O."""
+    return F.replace(F.replace(name, F.lit("AU"), F.lit("A")), F.lit("OU"), F.lit("O"))
+
+
 def _au_ou(a: Column, b: Column) -> Column:
-    return F.replace(a, F.lit("AU"), F.lit("OU")) == F.replace(b, F.lit("AU"), F.lit("OU"))
+    return _plain_vowels(a) == _plain_vowels(b)
 
 
 def _contains(a: Column, b: Column) -> Column:
@@ -56,26 +64,34 @@ def similarity(a: Column, b: Column, learned: Column | None = None) -> Column:
 
 
 def audit_similarity(a: Column, b: Column) -> Column:
-    """The audit's ladder: full forms come before containment, one letter more only among names of four letters."""
+    """The audit's ladder: no contractions, full forms come before containment, one letter more only among names of four letters."""
     long = F.least(F.length(a), F.length(b)) >= 4
-    return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (canonical(a) == canonical(b), 0.85), (_contains(a, b), 0.8), (_one_other(a, b), 0.7), (long & _one_more(a, b), 0.7)])
+    known = {k: v for k, v in NICKNAMES.items() if k not in NOT_AUDITED}
+    return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (_mapped(a, known) == _mapped(b, known), 0.85), (_contains(a, b), 0.8), (_one_other(a, b), 0.7), (long & _one_more(a, b), 0.7)])
 
 
 def simple_similarity(a: Column, b: Column) -> Column:
-    """The older ladder: no learned pairs and no inserted letter."""
-    return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (_contains(a, b), 0.8), (canonical(a) == canonical(b), 0.85), (_one_other(a, b), 0.7)])
+    """The older ladder: no learned pairs, contractions or inserted letter, few pet forms, and two pet forms of one name
+    are not alike."""
+    known = {k: NICKNAMES[k] for k in OLDER}
+    pet = (_mapped(a, known) == b) | (_mapped(b, known) == a)
+    return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (_contains(a, b), 0.8), (pet, 0.85), (_one_other(a, b), 0.7)])
 
 
 def sql(a: str, b: str, ladder: str = "audit") -> str:
     """The same ladders as ANSI SQL text."""
-    full = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (NICKNAMES | CONTRACTIONS).items()) + f" ELSE {x} END"
-    same, au = f"({full(a)}) = ({full(b)})", f"replace({a}, 'AU', 'OU') = replace({b}, 'AU', 'OU')"
+    table = lambda names: "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in names.items()) + ") t(pet, name)"
+    full = lambda x, names: f"coalesce((SELECT min(name) FROM {table(names)} WHERE pet = {x}), {x})"
+    audited, older = {k: v for k, v in NICKNAMES.items() if k not in NOT_AUDITED}, {k: NICKNAMES[k] for k in OLDER}
+    same, audit_same = (f"{full(a, n)} = {full(b, n)}" for n in (NICKNAMES | CONTRACTIONS, audited))
+    pair = f"({full(a, older)} = {b} OR {full(b, older)} = {a})"
+    au = f"regexp_replace(regexp_replace({a}, 'AU', 'A', 'g'), 'OU', 'O', 'g') = regexp_replace(regexp_replace({b}, 'AU', 'A', 'g'), 'OU', 'O', 'g')"
     inside = f"(contains({a}, {b}) OR contains({b}, {a}))"
     one = f"length({a}) = length({b}) AND levenshtein({a}, {b}) = 1"
     more = f"abs(length({a}) - length({b})) = 1 AND levenshtein({a}, {b}) = 1"
     rungs = {
-        "audit": [(au, 0.95), (same, 0.85), (inside, 0.8), (one, 0.7), (f"least(length({a}), length({b})) >= 4 AND {more}", 0.7)],
+        "audit": [(au, 0.95), (audit_same, 0.85), (inside, 0.8), (one, 0.7), (f"least(length({a}), length({b})) >= 4 AND {more}", 0.7)],
         "scoring": [(au, 0.95), (inside, 0.8), (same, 0.85), (one, 0.7), (more, 0.7)],
-        "simple": [(au, 0.95), (inside, 0.8), (same, 0.85), (one, 0.7)],
+        "simple": [(au, 0.95), (inside, 0.8), (pair, 0.85), (one, 0.7)],
     }[ladder]
     return f"CASE WHEN coalesce(length({a}), 0) = 0 OR coalesce(length({b}), 0) = 0 THEN 0.0 WHEN {a} = {b} THEN 1.0 " + " ".join(f"WHEN {c} THEN {v}" for c, v in rungs) + " ELSE 0.0 END"

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that look like surnames.
-STOPWORDS = ("THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "WAS", "WERE", "HIS", "HER", "THEY", "BUT", "NOT", "ARE", "HAS", "HAD")
+#: Capitalised words that are no surnames - months, days, common words, kin, places and titles.
+STOPWORDS = tuple("""
+JANUARY FEBRUARY MARCH APRIL MAY JUNE JULY AUGUST SEPTEMBER OCTOBER NOVEMBER DECEMBER
+JAN FEB MAR APR JUN JUL AUG SEP SEPT OCT NOV DEC
+MONDAY TUESDAY WEDNESDAY THURSDAY FRIDAY SATURDAY SUNDAY
+THE AND FOR WITH FROM INTO OUT OUR HIS HER THEY THEIR WHO WHOM WHICH WHEN WHERE WHAT WHILE AFTER BEFORE
+BORN DIED MARRIED BURIED BAPTISED BAPTIZED CHRISTENED AGED DAUGHTER SON WIFE HUSBAND FATHER MOTHER BROTHER SISTER CHILD
+PARISH CHURCH CHAPEL VILLAGE TOWN COUNTY STREET ROAD LANE ENGLAND BRITAIN GREAT UNITED KINGDOM
+MISTER MRS MISS REV REVEREND GENERATION PAGE PEDIGREE
+""".split())
+#: Fixed value: what a surname token looks like.
+TOKEN = "[A-Za-z][A-Za-z']{2,}"
 
 
 def surname_tokens(text: Column) -> Column:
-    """Capitalised words of at least three letters, without 's, in upper case, stop words left out."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z']{2,}"), F.lit(0))
-    upper = F.transform(F.filter(words, lambda w: w.rlike("^[A-Z]")), lambda w: F.upper(F.regexp_replace(w, "'[sS]$", "")))
+    """Capitalised words of at least three letters, without 's or apostrophes at the end, in upper case, stop words left out."""
+    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    upper = F.transform(F.filter(words, lambda w: w.rlike("^[A-Z]")), lambda w: F.upper(F.regexp_replace(F.regexp_replace(w, "'[sS]$", ""), "'+$", "")))
     return F.filter(upper, lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS))
 
 
@@ -27,7 +37,7 @@ def counts(docs: DataFrame, tokens: Column, name: str, id_col: str = "doc_id") -
 
 def word_count(text: Column, word: str) -> Column:
     """How often a word occurs as a whole word, in any case."""
-    return F.regexp_count(F.coalesce(F.lower(text), F.lit("")), F.lit(f"\\b{word.lower()}\\b")).cast("long")
+    return F.regexp_count(F.coalesce(F.lower(text), F.lit("")), F.lit(f"(?<!\\w)\\Q{word.lower()}\\E(?!\\w)")).cast("long")
 
 
 def retrieve(docs: DataFrame, surname: str, years: list[str], places: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import dates, names
 
 #: Years of tolerance by record type.
 TOLERANCE = {"birth": 2, "death": 1, "marriage": 1, "probate": 2, "burial": 2, "census": 5, "parish": 3}
-HOME_DISTRICTS = ("Belper", "Bakewell", "Derby")
+HOME_DISTRICTS = ("Alderby", "Braywell", "Morton")
 LEVELS = ("single", "possible", "probable", "confirmed")
 
 
@@ -94,11 +94,11 @@ def disputes(records: DataFrame) -> DataFrame:
 
 
 def inferred_siblings(records: DataFrame, years: int = 20, band: int = 20) -> DataFrame:
-    """Pairs of birth records of different persons with one surname and page whose years are at most `years` apart; found in neighbouring bands."""
-    b = records.where("record_type = 'birth' AND year IS NOT NULL AND surname IS NOT NULL").select("record_id", "profile_id", "surname", "page", "year")
+    """Pairs of birth records of different persons with one surname and mother's maiden name whose years are at most `years` apart; found in neighbouring bands."""
+    b = records.where("record_type = 'birth' AND year IS NOT NULL AND trim(surname) <> '' AND trim(mother_maiden) <> ''").select("record_id", "profile_id", F.upper(F.trim("surname")).alias("surname"), F.upper(F.trim("mother_maiden")).alias("mother"), "year")
     b = b.withColumn("band", F.expr(f"year div {band}"))
     a = b.select(*[F.col(c).alias(f"a_{c}") for c in b.columns]).withColumn("band", F.explode(F.expr("array(a_band - 1, a_band, a_band + 1)")))
-    pairs = a.join(b, (F.col("a_surname") == F.col("surname")) & (F.col("a_page") == F.col("page")) & (a["band"] == b["band"]))
+    pairs = a.join(b, (F.col("a_surname") == F.col("surname")) & (F.col("a_mother") == F.col("mother")) & (a["band"] == b["band"]))
     return pairs.where(f"a_record_id < record_id AND a_profile_id <> profile_id AND abs(a_year - year) <= {years}").select(F.col("a_record_id").alias("a"), F.col("record_id").alias("b"))
 
 

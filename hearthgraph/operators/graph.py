@@ -11,9 +11,9 @@ from ..checkpoints import cut
 
 
 def closure(parents: DataFrame, depth: int, up: bool = True, start: DataFrame | None = None) -> DataFrame:
-    """id, kin, distance: ancestors (or descendants) with their least distance, at most depth generations away.
+    """id, kin, distance: forebears (or descendants) with their least distance, at most depth generations away.
 
-    A level joins only the pairs that the level before found first, so cycles end and shared ancestors do not
+    A level joins only the pairs that the level before found first, so cycles end and shared forebears do not
     multiply. start (id) limits whose kin is wanted. Null ends are left out, repeated edges do no harm.
     """
     a, b = ("to_id", "from_id") if up else ("from_id", "to_id")
@@ -116,25 +116,25 @@ def ordinal(n: Column) -> Column:
     return F.repeat(F.lit("great-"), F.greatest(n - 2, F.lit(0)))
 
 
-def kinship(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """a, b, d1, d2, ancestor, label for pairs (a, b).
+def kinship(pairs: DataFrame, forebears: DataFrame) -> DataFrame:
+    """a, b, d1, d2, common_kin, label for pairs (a, b).
 
-    The nearest common ancestor has the least d1 + d2, then the greatest min(d1, d2), then the smallest id. Oneself
-    counts as an ancestor at distance 0. Pairs without one keep a row with null distances and label none.
+    The nearest common forebear has the least d1 + d2, then the greatest min(d1, d2), then the smallest id. Oneself
+    counts as a forebear at distance 0. Pairs without one keep a row with null distances and label none.
     """
-    own = ancestors.select("id", "kin", "distance")
+    own = forebears.select("id", "kin", "distance")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     own = own.unionByName(ids.select("id", F.col("id").alias("kin"), F.lit(0).alias("distance")))
-    left = own.select(F.col("id").alias("a"), F.col("kin").alias("ancestor"), F.col("distance").alias("d1"))
-    right = own.select(F.col("id").alias("b"), F.col("kin").alias("ancestor"), F.col("distance").alias("d2"))
-    common = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "ancestor"])
-    best = common.groupBy("a", "b").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("s"), (-F.least("d1", "d2")).alias("m"), "ancestor", "d1", "d2")).alias("x"))
-    out = pairs.select("a", "b").distinct().join(best.select("a", "b", "x.ancestor", "x.d1", "x.d2"), ["a", "b"], "left")
+    left = own.select(F.col("id").alias("a"), F.col("kin").alias("common_kin"), F.col("distance").alias("d1"))
+    right = own.select(F.col("id").alias("b"), F.col("kin").alias("common_kin"), F.col("distance").alias("d2"))
+    common = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "common_kin"])
+    best = common.groupBy("a", "b").agg(F.min(F.struct((F.col("d1") + F.col("d2")).alias("s"), (-F.least("d1", "d2")).alias("m"), "common_kin", "d1", "d2")).alias("x"))
+    out = pairs.select("a", "b").distinct().join(best.select("a", "b", "x.common_kin", "x.d1", "x.d2"), ["a", "b"], "left")
     return out.withColumn("label", kinship_label(F.col("d1"), F.col("d2")))
 
 
 def kinship_label(d1: Column, d2: Column) -> Column:
-    """What b is to a, from the distances to the nearest common ancestor."""
+    """What b is to a, from the distances to the nearest common forebear."""
     line = lambda d, one, two: F.when(d == 1, one).when(d == 2, f"grand{two}").otherwise(F.concat(ordinal(d), F.lit(f"grand{two}")))
     removed = F.abs(d1 - d2)
     nth = F.least(d1, d2) - 1
@@ -147,7 +147,7 @@ def kinship_label(d1: Column, d2: Column) -> Column:
 
 
 def pedigree(root: DataFrame, parents: DataFrame, generations: int) -> DataFrame:
-    """root, slot, id: numbered ancestors (person n, father 2n, mother 2n + 1); the smallest id where a role repeats."""
+    """root, slot, id: numbered forebears (person n, father 2n, mother 2n + 1); the smallest id where a role repeats."""
     up = parents.where("role IN ('father', 'mother')").groupBy(F.col("to_id").alias("id"), "role").agg(F.min("from_id").alias("p"))
     up = cut(up.select("id", F.col("p"), F.when(F.col("role") == "mother", 1).otherwise(0).alias("side")))
     level = root.select(F.col("id").alias("root"), F.lit(1).cast("long").alias("slot"), "id")

@@ -128,9 +128,10 @@ def cascade(rows: DataFrame, removed: DataFrame, keys: tuple[str, ...]) -> DataF
 
 
 def reconcile(source: DataFrame, published: DataFrame, key: str) -> DataFrame:
-    """key, action, checksum that make the published table equal the source: insert, update, skip or delete, by row checksum."""
+    """key, action, checksum that make the published table equal the source: insert, update, skip or delete, by
+    row checksum. Values are hashed with their lengths before them, nulls as -, so different rows have different ones."""
     cols = [c for c in source.columns if c != key]
-    mark = lambda df: F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in cols]).cast("binary"), 256)
+    mark = lambda df: F.sha2(F.concat_ws("", *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]).cast("binary"), 256)
     a, b = source.select(key, mark(source).alias("checksum")), published.select(key, mark(published).alias("_old"))
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("checksum").isNull(), "delete").when(F.col("_old") == F.col("checksum"), "skip").otherwise("update")
     return a.join(b, key, "full_outer").select(key, action.alias("action"), "checksum")

@@ -153,7 +153,7 @@ RULES: tuple[Rule, ...] = (
     Rule("givenNameContainsMiddle", "issue", certain="regexp_like(trim(given), '[^ ] +[^ ]') AND middle IS NULL", severity="info"),
     Rule("completenessScore", "research", certain=f"{COMPLETE} < CASE WHEN living THEN 6 ELSE 7 END", severity="info"),
     Rule("birthBeforeDeath", "issue", certain="be > dl", likely="bb > db"),
-    Rule("parentAgeGap", "issue", "parent_pairs", "p_bl + 14 > c_be AND p_be + 14 > c_bl", "p_bb + 14 > c_bb", subject="c_id", related="p_id"),
+    Rule("parentAgeGap", "issue", "parent_pairs", "p_bl + 14 > c_be", "p_bb + 14 > c_bb", subject="c_id", related="p_id"),
     Rule("impossibleParentage", "issue", "parent_pairs", "p_be + 12 > c_bl OR (role = 'father' AND p_gender = 'female') OR (role = 'mother' AND p_gender = 'male')", subject="c_id", related="p_id"),
     Rule("marriageAge", "issue", "marriages", "year - be < 16", "year - bb < 16", related="other"),
     Rule("muddledIdentity", "issue", certain="bl - be > 15 OR dl - de > 15", severity="warning"),
@@ -185,6 +185,16 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+def _one_pass(cat: Catalog, rules: list[Rule]) -> DataFrame:
+    """The rows of all rules over one table, from one scan of it."""
+    found = []
+    for r in rules:
+        severity = F.when(F.expr(r.certain), r.severity).when(F.expr(r.likely), "warning")
+        related = F.array(F.col(r.related)).cast("array<long>") if r.related else _none()
+        found.append(F.struct(F.lit(r.name).alias("rule_id"), F.col(r.subject).cast("long").alias("profile_id"), severity.alias("severity"), F.lit(r.category).alias("category"), related.alias("related")))
+    return getattr(cat, rules[0].over).select(F.explode(F.filter(F.array(*found), lambda x: x["severity"].isNotNull())).alias("x")).select("x.*")
+
+
 def findings(cat: Catalog, rules: tuple[Rule, ...] = RULES, mutes: DataFrame | None = None) -> DataFrame:
     """All rules' rows: rule_id, profile_id, severity, category, related.
 
@@ -192,8 +202,10 @@ def findings(cat: Catalog, rules: tuple[Rule, ...] = RULES, mutes: DataFrame | N
     issues only. People and edges are written once for all rules.
     """
     cat, out = cat.written(), None
-    for r in rules:
-        part = r.rows(cat).select(F.lit(r.name).alias("rule_id"), "profile_id", "severity", F.lit(r.category).alias("category"), "related")
+    plain = [r for r in rules if not r.make]
+    parts = [_one_pass(cat, [r for r in plain if r.over == over]) for over in dict.fromkeys(r.over for r in plain)]
+    parts += [r.rows(cat).select(F.lit(r.name).alias("rule_id"), "profile_id", "severity", F.lit(r.category).alias("category"), "related") for r in rules if r.make]
+    for part in parts:
         out = part if out is None else out.unionByName(part)
     nameless = cat.profiles.where("given IS NULL OR given = '?'").select(F.col("id").alias("profile_id"), F.lit(True).alias("_nameless"))
     out = out.join(nameless, "profile_id", "left").where("category = 'issue' OR _nameless IS NULL").drop("_nameless")

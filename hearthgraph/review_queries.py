@@ -20,9 +20,9 @@ def a18_votes(cat):
     return review.district_votes(cat.records, cat.parents, cat.spouses)
 
 
-@query("A21_modal_surnames", "SELECT profile_id, string_agg(surname, ',' ORDER BY surname) AS modal, bool_or(surname IN ('Brooks', 'Holmes', 'Slack')) AS is_common FROM (SELECT profile_id, surname, count(*) AS n, max(count(*)) OVER (PARTITION BY profile_id) AS top FROM records WHERE surname IS NOT NULL GROUP BY 1, 2) WHERE n = top GROUP BY 1")
+@query("A21_modal_surnames", "SELECT profile_id, string_agg(surname, ',' ORDER BY surname) AS modal, bool_or(surname IN ('Brandle', 'Holmden', 'Slatter')) AS is_common FROM (SELECT profile_id, surname, count(*) AS n, max(count(*)) OVER (PARTITION BY profile_id) AS top FROM records WHERE surname IS NOT NULL GROUP BY 1, 2) WHERE n = top GROUP BY 1")
 def a21_modal(cat):
-    return review.modal_surnames(cat.records, ("Brooks", "Holmes", "Slack"))
+    return review.modal_surnames(cat.records, ("Brandle", "Holmden", "Slatter"))
 
 
 @query("A4_record_groups", "SELECT profile_id, count(*) AS n, sum(direct::INT)::BIGINT AS n_direct, CASE WHEN count(*) = 1 THEN max(source_id) END AS only_source, string_agg(DISTINCT record_type, ',' ORDER BY record_type) AS kinds FROM records GROUP BY 1")
@@ -75,7 +75,7 @@ def r3_consensus(cat):
 
 @query("P8_firewall", f"SELECT record_id, {review.FIREWALL} AS reason FROM (SELECT r.*, p.be, p.dl FROM records r JOIN people p ON p.id = r.profile_id)")
 def p8_firewall(cat):
-    p = cat.people.select(F.col("id").alias("profile_id"), "be", "dl")
+    p = cat.dated.select(F.col("id").alias("profile_id"), "be", "dl")
     return cat.records.join(p, "profile_id").select("record_id", F.expr(review.FIREWALL).alias("reason"))
 
 
@@ -90,7 +90,7 @@ def p6_coverage(cat):
 
 @query("E24_narrower_date", "SELECT from_id, to_id, CASE WHEN b.bl - b.be IS NOT NULL AND (a.bl - a.be IS NULL OR b.bl - b.be < a.bl - a.be) THEN 'write' ELSE 'keep' END AS action FROM edges e JOIN people a ON e.from_id = a.id JOIN people b ON e.to_id = b.id WHERE e.type = 'spouse'")
 def e24_narrower(cat):
-    a, b = (cat.people.select(F.col("id").alias(k), F.col("be").alias(f"{k}e"), F.col("bl").alias(f"{k}l")) for k in ("from_id", "to_id"))
+    a, b = (cat.dated.select(F.col("id").alias(k), F.col("be").alias(f"{k}e"), F.col("bl").alias(f"{k}l")) for k in ("from_id", "to_id"))
     x = cat.edges.where("type = 'spouse'").join(a, "from_id").join(b, "to_id")
     return x.select("from_id", "to_id", review.narrower(*[F.col(c) for c in ("from_ide", "from_idl", "to_ide", "to_idl")]).alias("action"))
 
@@ -121,12 +121,12 @@ _FEED = {"birth": "SELECT id, bb AS year FROM people", "marriage": "SELECT id, y
 
 @query("U1_recent_feed", " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS kind, id, year FROM ({q}) WHERE year IS NOT NULL ORDER BY year DESC, id LIMIT 50)" for k, q in _FEED.items()))
 def u1_feed(cat):
-    return review.recent({"birth": cat.people.select("id", F.col("bb").alias("year")), "marriage": cat.spouses.select("id", "year"), "event": cat.life.select(F.col("profile_id").alias("id"), "year")}, 50)
+    return review.recent({"birth": cat.dated.select("id", F.col("bb").alias("year")), "marriage": cat.spouses.select("id", "year"), "event": cat.life.select(F.col("profile_id").alias("id"), "year")}, 50)
 
 
-@query("U5_focus_and_kin", ", f AS (SELECT id FROM profiles WHERE surname = 'Slack') SELECT id FROM f UNION SELECT from_id FROM parents WHERE to_id IN (FROM f) UNION SELECT to_id FROM parents WHERE from_id IN (FROM f) UNION SELECT other FROM spouses WHERE id IN (FROM f)")
+@query("U5_focus_and_kin", ", f AS (SELECT id FROM profiles WHERE surname = 'Slatter') SELECT id FROM f UNION SELECT from_id FROM parents WHERE to_id IN (FROM f) UNION SELECT to_id FROM parents WHERE from_id IN (FROM f) UNION SELECT other FROM spouses WHERE id IN (FROM f)")
 def u5_kin(cat):
-    return review.with_kin(cat.profiles.where("surname = 'Slack'"), cat.parents, cat.spouses)
+    return review.with_kin(cat.profiles.where("surname = 'Slatter'"), cat.parents, cat.spouses)
 
 
 @query("G14_children_of_couples", "SELECT DISTINCT s.id AS a, s.other AS b, x.to_id AS child FROM spouses s JOIN parents x ON x.from_id = s.id JOIN parents y ON y.from_id = s.other AND y.to_id = x.to_id WHERE s.id < s.other")
@@ -159,7 +159,7 @@ def k6_cascade(cat):
     return review.cascade(cat.edges, cat.profiles.where("birth_raw IS NULL"), ("from_id", "to_id")).select("type", "from_id", "to_id")
 
 
-_MARK = "sha256(coalesce(given, '-') || '|' || coalesce(birth_raw, '-'))"
+_MARK = "sha256(coalesce(length(given) || ':' || given, '-') || coalesce(length(birth_raw) || ':' || birth_raw, '-'))"
 
 
 @query("K7_reconcile", _OLD_NEW + f"SELECT id, CASE WHEN b.c IS NULL THEN 'insert' WHEN a.c IS NULL THEN 'delete' WHEN a.c = b.c THEN 'skip' ELSE 'update' END AS action, a.c AS checksum FROM (SELECT id, {_MARK} AS c FROM n) a FULL JOIN (SELECT id, {_MARK} AS c FROM o) b USING (id)")

@@ -36,3 +36,10 @@ def test_narrower_and_score(spark):
     d = spark.createDataFrame([(1800, 1810, 1805, 1806), (1800, None, 1800, 1900), (1800, 1800, 1800, 1800), (1800, 1801, None, 1801)], "a int, b int, c int, d int")
     assert [r[0] for r in d.select(review.narrower(*[F.col(c) for c in "abcd"])).collect()] == ["write", "write", "keep", "keep"]
     assert [r[0] for r in spark.range(8).select(review.convergence_score(F.col("id"))).collect()] == [0.0, 0.5, 0.75, 0.9, 0.93, 0.96, 0.99, 1.0]
+
+
+def test_different_rows_have_different_checksums(spark):
+    kind = "k long, v string, w string"
+    a = spark.createDataFrame([(1, "a|b", "c"), (2, None, "x"), (3, "-", None)], kind)
+    b = spark.createDataFrame([(1, "a", "b|c"), (2, "-", "x"), (3, "-", None)], kind)
+    assert {r.k: r.action for r in review.reconcile(a, b, "k").collect()} == {1: "update", 2: "update", 3: "skip"}
