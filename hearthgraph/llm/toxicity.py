@@ -26,6 +26,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: So many words' weights are kept in a task between look-ups.
 CACHED_WORDS = 200_000
 SENTENCE = re.compile(r"[.!?\n]+")
+#: A document of the sample: its features in page order, the features of each sentence, the label.
+SAMPLE = pa.schema({"_id": pa.string(), "flat": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "_y": pa.int32()})
 #: A sentence's logistic score up to here counts as 0, and the rest is stretched to 0..1.
 FLOOR = 0.1
 
@@ -188,14 +190,29 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
                 flat.append(np.array([f for x in own for f in x], np.int32))
                 sizes.append(np.array([len(x) for x in own], np.int32))
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(flat, kind), pa.array(sizes, kind), batch.column(2)], ["_id", "flat", "sizes", "_y"])
-
-    sample = rows.select("_id", "_t", "_y").mapInArrow(bags_of, "_id string, flat array<int>, sizes array<int>, _y int").toArrow().sort_by("_id")
-    flat, sizes = sample["flat"].combine_chunks(), sample["sizes"].combine_chunks()
-    per_doc, labels = sizes.value_lengths().to_numpy(), sample["_y"].to_numpy()
-    theta, bias = train(flat.flatten().to_numpy(), sizes.flatten().to_numpy(), per_doc, labels, len(vocabulary), s)
-    model = Model({w: float(t) for w, t in zip(vocabulary, theta) if t}, bias, s.leak)
-    del sample, flat, sizes, number, vocabulary
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, kind), pa.array(sizes, kind), batch.column(2)], schema=SAMPLE)
+
+    n_words = len(vocabulary)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One task holds the sample, which sample_docs bounds; the driver gets the weights only."""
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        sample = pa.Table.from_batches(held).sort_by("_id")
+        flat, sizes = sample["flat"].combine_chunks(), sample["sizes"].combine_chunks()
+        per_doc, labels = sizes.value_lengths().to_numpy(), sample["_y"].to_numpy()
+        flat, sizes = flat.flatten().to_numpy(), sizes.flatten().to_numpy()
+        del held, sample
+        theta, bias = train(flat, sizes, per_doc, labels, n_words, s)
+        on = np.append(np.flatnonzero(theta), n_words)
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(np.append(theta, bias)[on])], ["feature", "weight"])
+
+    bags = rows.select(F.col("_id").cast("string").alias("_id"), "_t", "_y").mapInArrow(bags_of, "_id string, flat array<int>, sizes array<int>, _y int")
+    got = bags.repartition(1).mapInArrow(trained, "feature int, weight double").toArrow()
+    weights = dict(zip(got["feature"].to_pylist(), got["weight"].to_pylist()))
+    bias = weights.pop(n_words, s.bias)
+    model = Model({vocabulary[f]: w for f, w in weights.items()}, bias, s.leak)
+    del got, weights, number, vocabulary
     give_back()
     return model
 
