@@ -6,9 +6,12 @@ and length at each place, which corrects a wrong declared type and gives the exa
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,19 +125,34 @@ def _bmp(b: bytes, i: int) -> Found | None:
     return Found("image/bmp", i, i + size) if right and i + size <= len(b) and 14 + header <= data and data + stride * abs(height) <= size else None
 
 
+@functools.lru_cache(maxsize=3)
+def _places(b: bytes, mark: bytes) -> list[int]:
+    """Where the mark stands: found once for a text, however many headers ask for it."""
+    return [m.start() for m in re.finditer(re.escape(mark), b)]
+
+
+@functools.lru_cache(maxsize=1)
+def _directories(b: bytes) -> dict[int, int]:
+    """End of the archive by its start, from each end record that points back to its directory; the first such wins."""
+    out: dict[int, int] = {}
+    for at in _places(b, b"PK\x05\x06"):
+        if at + 22 <= len(b):
+            size, offset, note = struct.unpack_from("<IIH", b, at + 12)
+            i = at - size - offset
+            if i >= 0 and b[i + offset : i + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
+                out.setdefault(i, at + 22 + note)
+    return out
+
+
 def _pdf(b: bytes, i: int) -> Found | None:
-    end = b.find(b"%%EOF", i)
-    return Found("application/pdf", i, end + 5) if end >= 0 and b.find(b"startxref", i, end) >= 0 else None
+    ends, starts = _places(b, b"%%EOF"), _places(b, b"startxref")
+    k, x = bisect_left(ends, i), bisect_left(starts, i)
+    return Found("application/pdf", i, ends[k] + 5) if k < len(ends) and x < len(starts) and starts[x] + 9 <= ends[k] else None
 
 
 def _zip(b: bytes, i: int) -> Found | None:
-    at = b.find(b"PK\x05\x06", i)
-    while at >= 0 and at + 22 <= len(b):
-        size, offset, note = struct.unpack_from("<IIH", b, at + 12)
-        if i + offset + size == at and b[i + offset : i + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
-            return Found("application/zip", i, at + 22 + note)
-        at = b.find(b"PK\x05\x06", at + 1)
-    return None
+    end = _directories(b).get(i)
+    return Found("application/zip", i, end) if end is not None else None
 
 
 def _gzip(b: bytes, i: int) -> Found | None:

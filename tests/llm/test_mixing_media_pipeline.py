@@ -1,5 +1,7 @@
 import hashlib
+import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -84,6 +86,34 @@ def test_sniffing_confirms_and_carves(blob, kind):
     assert [(f.media_type, host[f.start : f.end]) for f in media.sniff(host, None, a)[2]] == [(kind, blob)]
 
 
+def test_many_headers_without_ends_take_linear_time():
+    a = media.automaton()
+    for head in (b"%PDF-1.4 startxref ", b"PK\x03\x04PK\x05\x06", b"%PDF-%%EOF"):
+        began = time.process_time()
+        media.scan(head * 60_000, a)
+        assert time.process_time() - began < 10
+
+
+def test_ends_by_index_equal_ends_by_search():
+    rng = random.Random(5)
+    parts = [b"%PDF-", b"startxref", b"%%EOF", b"x" * 7, b"PK\x03\x04", b"PK\x01\x02"]
+    for _ in range(300):
+        b = b"".join(rng.choices(parts, k=12))
+        entry = len(b) + 4
+        b += b"PK\x03\x04PK\x01\x02" + b"PK\x05\x06" + struct.pack("<8xIIH", 4, rng.choice([4, entry]), 0) + b"".join(rng.choices(parts, k=3))
+        for i in range(len(b)):
+            end = b.find(b"%%EOF", i)
+            right = end + 5 if end >= 0 and b.find(b"startxref", i, end) >= 0 else None
+            assert (x.end if (x := media._pdf(b, i)) else None) == right
+            at, right = b.find(b"PK\x05\x06", i), None
+            while at >= 0 and at + 22 <= len(b) and right is None:
+                size, offset, note = struct.unpack_from("<IIH", b, at + 12)
+                if i + offset + size == at and b[i + offset : i + offset + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
+                    right = at + 22 + note
+                at = b.find(b"PK\x05\x06", at + 1)
+            assert (x.end if (x := media._zip(b, i)) else None) == right
+
+
 def test_sniff_column(spark):
     df = spark.createDataFrame([(1, bytearray(png()), "image/gif", 0), (2, None, None, 0), (None, bytearray(b""), "x", 0)], "id long, content binary, declared string, media_type int")
     got = {r.id: r for r in media.sniff_column(df, "id", "content", "declared").collect()}
