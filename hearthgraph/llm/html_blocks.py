@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 
 from .common import U64, mix64, prefix_hash, span_hash, utf8
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only right after an equals sign; elsewhere it is part of a name, as browsers read it.
+VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|{VALUE})*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_WORD = re.compile(r"[a-z]+")
 #: Fixed values of HTML: elements whose content is not text, that have no content, and that stand inside a line.

@@ -165,6 +165,12 @@ def test_hidden_elements_end_where_they_end(before):
     assert html_blocks.blocks(f"{before}<style>p<p>gone") == []
 
 
+@pytest.mark.parametrize("tag", ['<p title="5" tall">', '<p t">', "<p title=it's>", '<p title = "a > b" data-x=\'>\'>', '<p a="1"b="2">', '<p x=y="z>', "<p ''>", "<p =>"])
+def test_quotes_open_values_only_after_an_equals_sign(tag):
+    got = html_blocks.blocks(f'<article>{tag}He said "go <b>now</b>" and left.</p><p>It\'s done.</p></article>')
+    assert [x.text for x in got] == ['He said "go now" and left.', "It's done."]
+
+
 def test_labeller_on_held_out_pages():
     m, wrong, n = html_blocks.trained(), 0, 0
     for k in range(9_000_000, 9_000_120):
