@@ -35,7 +35,7 @@ def crc_mod(id_col: str, k: int) -> Column:
 
 
 def give_back() -> None:
-    """After a fit on the driver: hand freed memory to the system, which the allocators would keep."""
+    """After a fit or a task: hand freed memory to the system, which the allocators would keep for as long as the process lives."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

@@ -204,6 +204,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
         flat, sizes = flat.flatten().to_numpy(), sizes.flatten().to_numpy()
         del held, sample
         theta, bias = train(flat, sizes, per_doc, labels, n_words, s)
+        del flat, sizes
+        give_back()  # the worker lives on for later tasks
         on = np.append(np.flatnonzero(theta), n_words)
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(np.append(theta, bias)[on])], ["feature", "weight"])
 
@@ -257,6 +259,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[1:], pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()),
             ], [*keep, "score", "predicted", "n_sentences", "n_offending"])
+        del weights
+        give_back()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     rows = docs.select(F.col(text_col).alias("_scored"), *[F.col(f"`{c}`") for c in keep])
