@@ -469,4 +469,4 @@ def gedcom_round_trip(cat):
     return gedcom.read(gedcom.write(cat.profiles))
 
 
-from . import review_queries  # noqa: E402, F401  (registers its queries here)
+from . import listing_queries, review_queries  # noqa: E402, F401  (register their queries here)
