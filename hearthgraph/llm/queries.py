@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the driver's tables, and SQL where SQL can express them."""
+"""Queries of the thirteen operators over the driver's tables, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_blocks, jaccard_join, language, media, mixing, segment, suffix_dedup, toxicity, transcripts
+from . import align, exact_dedup, html_blocks, jaccard_join, language, media, minhash, mixing, negatives, segment, suffix_dedup, toxicity, transcripts
 from .common import crc_mod, cut, documents
 
 
@@ -72,8 +72,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(documents(spark, sf_dir))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Where the byte-level vocabulary lies on every executor.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str, a_file: str = BYTE_LEVEL, b_file: str = PIECE_MODEL) -> DataFrame:
+    return align.align(documents(spark, sf_dir), a_file, b_file)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_media, op4_suffix_dedup, op5_jaccard_join, op6_toxicity, op7_segmentation, op8_main_text, op9_transcripts, op10_exact_dedup)}
+    made = (
+        op1_language, op2_mixing, op3_media, op4_suffix_dedup, op5_jaccard_join, op6_toxicity, op7_segmentation, op8_main_text, op9_transcripts, op10_exact_dedup,
+        op11_minhash, op12_negatives, op13_alignment,
+    )
+    return {f.__name__: f for f in made}
 
 
 def _level(name: str, above: list[str], source: str, weight: str) -> str:
@@ -134,5 +154,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, label, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM v),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM c a JOIN c b USING (k) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op12_negatives": OP12_SQL}
