@@ -19,13 +19,17 @@ checks too), so the residual is empty and what lies between two cuts is aligned
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,10 +40,14 @@ from .common import cut, drop, give_back, pieces, utf8
 SHIFT = 15
 #: Pairs broadcast with their counts (13 bytes each); beyond that they are joined.
 BROADCAST_PAIRS = 4_000_000
-#: Distinct pairs that a task holds before it sends their counts on, transitions and bytes of strings that it remembers.
-HELD_PAIRS, HELD_STEPS, HELD_BYTES = 400_000, 1_000_000, 60_000_000
+#: Distinct pairs that a task holds before it sends their counts on, transitions, and bytes of strings that it
+#: remembers in each of two generations.
+HELD_PAIRS, HELD_STEPS, HELD_BYTES = 400_000, 1_000_000, 50_000_000
 #: Bytes of text handled at once.
 AT_ONCE = 1 << 20
+#: Fixed: the pattern of byte-level vocabularies; strings of so many characters are left to the file's own library.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = 1000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -74,8 +82,14 @@ class Transducer:
             self.leads.append(side)
         return n
 
-    def _new(self, s: int, token: int) -> int:
+    def _go(self, s: int, token: int) -> int:
         """The state after the lagging side's next token (A's, where nothing dangles); -1 where the bytes differ."""
+        key = s << 20 | token
+        if key not in self.step:
+            self.step[key] = self._new(s, token)
+        return self.step[key]
+
+    def _new(self, s: int, token: int) -> int:
         side, residual = self.state[s]
         if s == 0:
             return self._at(0, self.sides[0][token])
@@ -91,32 +105,30 @@ class Transducer:
         step, leads = self.step, self.leads
         groups, links = [], []
         i = j = 0
-        while i < len(a):
-            first_a, first_b, s = i, j, 0
-            while True:
-                if leads[s] == 1 or s == 0:
-                    if i == len(a):
+        n_a, n_b = len(a), len(b)
+        while i < n_a:
+            first_a, first_b = i, j
+            x = a[i]
+            i += 1
+            s = self._go(0, x)
+            while s > 0:
+                if leads[s]:
+                    if i == n_a:
                         return None
-                    token = a[i]
+                    token = x = a[i]
                     i += 1
                 else:
-                    if j == len(b):
+                    if j == n_b:
                         return None
-                    token = b[j]
+                    token = y = b[j]
                     j += 1
-                if s:
-                    links.append(a[i - 1] << SHIFT | b[j - 1])
-                key = s << 20 | token
-                t = step.get(key)
-                if t is None:
-                    t = step[key] = self._new(s, token)
-                s = t
-                if s <= 0:
-                    break
+                links.append(x << SHIFT | y)
+                t = step.get(s << 20 | token)
+                s = self._go(s, token) if t is None else t
             if s < 0:
                 return None
             groups.append((a[first_a:i], b[first_b:j]))
-        return (groups, links) if j == len(b) else None
+        return (groups, links) if j == n_b else None
 
 
 class Spans:
@@ -137,15 +149,33 @@ class Spans:
         pieces_ = [self.b.id_to_piece(k) for k in range(n_b)]
         b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces_)]
         self.a_bytes, self.machine = a, Transducer(a, b)
+        self.quick = self._ranks(a_file)
         probes = ["x 1", "x. x", "1 x", ") (", "é ü", "x ▁", "字 字"]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces_) and all(
             self._a([" " + p])[0] == self._a([" " + p.split(" ")[0]])[0] + self._a([" " + p.split(" ")[1]])[0] and self.b.encode(p) == [n for w in p.split(" ") for n in self.b.encode(w)] for p in probes
         )
+        #: What was met since the last change of generations, and what was before.
         self.known: dict[str, tuple[int, str, bytes] | None] = {}
+        self.before: dict[str, tuple[int, str, bytes] | None] = {}
         self.held = 0
 
+    def _ranks(self, a_file: str) -> tiktoken.Encoding | None:
+        """The same vocabulary for the quicker library, if the file's merges make its entries in the order of their numbers."""
+        with open(a_file, encoding="utf-8") as f:
+            said = json.load(f)
+        model, before = said["model"], said["pre_tokenizer"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
+        vocab, table = model.get("vocab", {}), byte_level()
+        plain = said["normalizer"] is None and before["type"] == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"] and not model.get("ignore_merges")
+        in_order = [vocab.get(m.replace(" ", "")) for m in merges] == [*range(256, 256 + len(merges))]
+        ranks = {bytes(table[c] for c in e): n for e, n in vocab.items() if n < 256 + len(merges)} if plain and in_order else {}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(merges) else None
+
     def _a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        if self.quick is None:
+            return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        encode = self.quick.encode_ordinary
+        return [encode(t) if len(t) < LONG else self.a.encode(t, add_special_tokens=False).ids for t in texts]
 
     def split(self, text: str) -> list[str]:
         if not self.cuts:
@@ -155,23 +185,29 @@ class Spans:
 
     def learn(self, strings: list[str]) -> None:
         """(token counts and groups in one number, groups as text, links) of each string; None where bytes are lost."""
+        spell, align, known = self.a_bytes, self.machine.align, self.known
         for s, a, b in zip(strings, self._a([" " + s for s in strings]), self.b.encode(strings, num_threads=1), strict=True):
-            got = self.machine.align(a, b) if b"".join([self.a_bytes[k] for k in a]) == b" " + s.encode() else None
+            got = align(a, b) if b"".join([spell[k] for k in a]) == b" " + s.encode() else None
             if got is not None:
                 groups, links = got
-                said = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-                got = (len(a) << 80 | len(b) << 40 | len(groups), said, np.array(links, np.int32).tobytes())
+                said = ";".join([f"{x[0]}|{y[0]}" if len(x) == 1 == len(y) else f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
+                got = (len(a) << 80 | len(b) << 40 | len(groups), said, array("i", links).tobytes())
                 self.held += len(said) + len(got[2])
-            self.known[s] = got
+            known[s] = got
             self.held += len(s) + 300
 
     def digests(self, texts: list[str]) -> list[tuple[int, int, int, str, bytes]]:
         """n_a, n_b, n_groups, groups' SHA-256, links of each text."""
         if self.held > HELD_BYTES:
-            self.known, self.held = {}, 0
+            self.known, self.before, self.held = {}, self.known, 0
         split = [self.split(t) if t else [] for t in texts]
-        known = self.known
-        fresh = list({s for parts in split for s in parts if s not in known})
+        known, before, fresh = self.known, self.before, []
+        for s in set(chain.from_iterable(split)).difference(known):
+            if s in before:
+                known[s] = before[s]
+                self.held += 500
+            else:
+                fresh.append(s)
         for k in range(0, len(fresh), 1000):
             self.learn(fresh[k : k + 1000])
         out, mask = [], (1 << 40) - 1
