@@ -27,8 +27,8 @@ from .common import cut, give_back
 
 #: Anchors of a pass: with 64 components, 16 MB are broadcast.
 ANCHORS = 65_536
-#: Rows and anchors compared at once.
-ROWS_AT_ONCE, ANCHORS_AT_ONCE = 2048, 1024
+#: Rows and anchors compared at once; a task starts with fewer rows, whose best give the first thresholds. Pairs multiplied at once.
+FIRST_ROWS, ROWS_AT_ONCE, ANCHORS_AT_ONCE, PAIRS_AT_ONCE = 64, 2048, 1024, 32_768
 #: Shares of the components after which pairs are discarded.
 STAGES = (1 / 8, 1 / 4, 1 / 2)
 #: A pair's rounding error in double precision is below this times both norms.
@@ -86,6 +86,15 @@ class Rotated:
         self.rest = [np.sqrt((self.y[:, e:] ** 2).sum(1)) for e in self.ends]
 
 
+def _products(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of x and j of y."""
+    out = np.empty(len(i), x.dtype)
+    for s in range(0, len(i), PAIRS_AT_ONCE):
+        part = slice(s, s + PAIRS_AT_ONCE)
+        out[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]])
+    return out
+
+
 def candidates(a: Rotated, r: Rotated, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, row, integer product) of every pair whose product may reach the anchor's low, and some that do not."""
     e = a.ends[0]
@@ -94,11 +103,11 @@ def candidates(a: Rotated, r: Rotated, low: np.ndarray) -> tuple[np.ndarray, np.
     i, j = np.nonzero(part + a.rest[0][:, None] * r.rest[0][None, :] >= need)
     part, need = part[i, j], need[i, j]
     for k in range(1, len(a.ends)):
-        part = part + np.einsum("ij,ij->i", a.y[i, e : a.ends[k]], r.y[j, e : a.ends[k]])
+        part = part + _products(a.y[:, e : a.ends[k]], i, r.y[:, e : a.ends[k]], j)
         e = a.ends[k]
         stay = part + a.rest[k][i] * r.rest[k][j] >= need
         i, j, part, need = i[stay], j[stay], part[stay], need[stay]
-    return i, j, np.einsum("ij,ij->i", a.v[i], r.v[j])
+    return i, j, _products(a.v, i, r.v, j)
 
 
 class Best:
@@ -135,10 +144,13 @@ class Best:
 def _compared(batches: Iterator[pa.RecordBatch], q: np.ndarray, ids: np.ndarray, anchors: np.ndarray, low) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, its row's label, its row's id, product) of the pairs that stay, a block at a time; low(blocks) gives the thresholds then."""
     blocks = [(k, Rotated(anchors[k : k + ANCHORS_AT_ONCE], q)) for k in range(0, len(anchors), ANCHORS_AT_ONCE)]
+    size = FIRST_ROWS
     for batch in batches:
         at, label, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-        for s in range(0, len(at), ROWS_AT_ONCE):
-            part = slice(s, s + ROWS_AT_ONCE)
+        end = 0
+        while end < len(at):
+            part = slice(end, end + size)
+            end, size = end + size, min(2 * size, ROWS_AT_ONCE)
             rows = Rotated(v[part], q)
             for k, block in blocks:
                 i, j, product = candidates(block, rows, low(k, k + len(block.v)))
