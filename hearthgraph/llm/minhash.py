@@ -8,7 +8,7 @@ permutations give all coordinates, and a shingle's values for all of them stand
    coordinates each. Equal sets are one class from here on.
 2. Classes that share no band with another class are done. The sets of the others are read again.
 3. In rounds each class is compared with one leader of its buckets, the one that leads most of them; the pair is
-   linked if the whole sets reach the threshold. Buckets that lie in one component hold nothing new. So a large group of near copies
+   linked if the whole sets reach the threshold. Rounds go on until little is left to compare or none links any more. Buckets that lie in one component hold nothing new. So a large group of near copies
    costs a comparison each.
 4. What is left over: members outside a bucket's largest component meet all of the bucket, held against the sizes and
    a parity bitmap of the sets, each pair in its first common bucket only, and are compared.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, cut, drop, mix64, pieces, snug, utf8
 from .graph import closer, components
-from .jaccard_join import BROADCAST_ROWS, SETS, WORTHWHILE, _bitmap, _entity, shingles, signatures
+from .jaccard_join import BROADCAST_ROWS, SETS, _bitmap, _entity, shingles, signatures
 
 #: Places on the circle, bands and coordinates in each.
 PLACES, BANDS, ROWS = 1 << 20, 32, 4
@@ -37,6 +37,8 @@ PLACES, BANDS, ROWS = 1 << 20, 32, 4
 AT_ONCE = 4096
 #: Words of the parity bitmap, and bands that a row carries to find out whether it is a pair's first.
 WORDS, HEAD = 8, 6
+#: Rounds of leaders go on while they link something and the rest would compare more pairs than this for each class.
+WORTHWHILE = 32
 _BITS = [f"b{k}" for k in range(WORDS)]
 
 
@@ -169,6 +171,12 @@ def _led(rows: DataFrame, r: int, percent: int) -> DataFrame:
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
 
 
+def _left_over(rows: DataFrame) -> int:
+    """The pairs that _met would hold against their bounds."""
+    counts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
+    return counts.agg(F.sum(F.expr("(n - most) * n"))).first()[0] or 0
+
+
 def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of different components that come through, each once."""
     counts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -199,7 +207,6 @@ def _roots(base: DataFrame, light: DataFrame, classes: DataFrame, k: int, percen
         return None
     sets = _sets(base, classes, able, n_able, k)
     found = roots = None
-    least = 0.0
     for r in itertools.count():
         links = cut(snug(_verified(_led(rows, r, percent), sets, percent), n_able, SETS))
         new = links.count()
@@ -207,8 +214,7 @@ def _roots(base: DataFrame, light: DataFrame, classes: DataFrame, k: int, percen
         roots = cut(snug(closer(roots, found, n_able), n_able, SETS))
         before, rows = rows, cut(_open(rows, roots))
         drop(before)
-        least = WORTHWHILE * new if r == 0 else least
-        if new <= least:
+        if not new or _left_over(rows) <= WORTHWHILE * n_able:
             break
     pairs = cut(snug(_met(rows, sets, percent), n_able, SETS))
     found = found.unionByName(cut(snug(_verified(pairs, sets, percent), n_able, SETS)))
