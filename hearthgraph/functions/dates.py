@@ -28,14 +28,24 @@ def parse(raw: Column) -> Column:
     number of exactly four digits counts, and only within 1000..2100. Everything else, null and empty text included, is
     unknown; BET without AND is read as if it weren't there.
     """
-    text = F.upper(F.trim(raw))
-    y, kind, around = _year(text), F.lit(""), F.lit(0)
+    words = lambda t: F.struct(t.alias("t"), _year(t).alias("y"), F.regexp_extract(t, "^([A-Z]+) ", 1).alias("word"))
+    return _once(_once(F.upper(F.trim(raw)), words), _read)
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with the value bound by a lambda, so that it is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _read(x: Column) -> Column:
+    text, y, word = x["t"], x["y"], x["word"]
+    kind, around = F.lit(""), F.lit(0)
     for q, words in WORDS.items():
-        own = text.rlike(f"^({'|'.join(words)}) ")
+        own = word.isin(*words)
         kind, around = F.when(own, q).otherwise(kind), F.when(own, TOLERANCE[q]).otherwise(around)
     parts = F.split(text, " AND ")
-    between = text.rlike("^BET(WEEN)? ") & text.contains(" AND ")
-    decade = F.when(text.rlike("^[0-9]{3}0S$"), F.regexp_extract(text, "^([0-9]{4})", 1).cast("int"))
+    between = word.isin("BET", "BETWEEN") & text.contains(" AND ")
+    decade = F.when(text.rlike("^[0-9]{3}0S$"), F.substring(text, 1, 4).cast("int"))
     decade = F.when(decade.between(1000, 2090), decade)
     early = F.when(between, _year(F.element_at(parts, 1))).when(kind != "BEF", y - around)
     late = F.when(between, _year(F.element_at(parts, -1))).when(kind != "AFT", y + around)

@@ -469,4 +469,4 @@ def gedcom_round_trip(cat):
     return gedcom.read(gedcom.write(cat.profiles))
 
 
-from . import deciding_queries, listing_queries, review_queries  # noqa: E402, F401  (register their queries here)
+from . import deciding_queries, listing_queries, review_queries, tree_queries  # noqa: E402, F401  (register their queries here)
