@@ -18,18 +18,18 @@ NICKNAMES = {
 NOT_AUDITED = ("ELSIE", "GEOFF")
 OLDER = ("JACK", "HARRY", "BILL", "TED", "DICK", "POLLY", "PEGGY", "BETTY", "NELL", "JOE", "KATE", "WILLIE", "NELLIE", "LIZZIE", "FLORRIE")
 #: Written contractions and the name each stands for.
-CONTRACTIONS = {"WM": "WILLIAM", "THOS": "THOMAS", "JNO": "JOHN", "JAS": "JAMES", "CHAS": "CHARLES", "SAML": "SAMUEL", "GULIELMUS": "WILLIAM", "JOHANNES": "JOHN"}
+CONTRACTIONS = {
+    "WM": "WILLIAM", "WILLM": "WILLIAM", "JNO": "JOHN", "THOS": "THOMAS", "CHAS": "CHARLES", "JAS": "JAMES", "RICHD": "RICHARD", "RICD": "RICHARD", "ROBT": "ROBERT",
+    "EDWD": "EDWARD", "SAML": "SAMUEL", "BENJ": "BENJAMIN", "DANL": "DANIEL", "MARGT": "MARGARET", "FREDK": "FREDERICK", "ALEXR": "ALEXANDER", "HENY": "HENRY",
+    "GULIELMUS": "WILLIAM", "GUILIELMUS": "WILLIAM", "JOHANNES": "JOHN", "JOHANNIS": "JOHN", "JACOBUS": "JAMES", "CAROLUS": "CHARLES", "GEORGIUS": "GEORGE",
+    "HENRICUS": "HENRY", "RICARDUS": "RICHARD", "ROBERTUS": "ROBERT", "EDWARDUS": "EDWARD", "RADULPHUS": "RALPH", "GALFRIDUS": "GEOFFREY", "ELIZABETHA": "ELIZABETH", "MARGARETA": "MARGARET",
+}
 
 
 def _mapped(name: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[name], name)
 
 
-def canonical(name: Column) -> Column:
-    """The full form of a pet form or contraction; other names stay."""
-    return _mapped(name, NICKNAMES | CONTRACTIONS)
-
-
 def _plain_vowels(name: Column) -> Column:
     """AU written A and OU written O."""
     return F.replace(F.replace(name, F.lit("AU"), F.lit("A")), F.lit("OU"), F.lit("O"))
@@ -58,21 +58,32 @@ def _ladder(a: Column, b: Column, rungs: list[tuple[Column, float]]) -> Column:
 
 
 def similarity(a: Column, b: Column, learned: Column | None = None) -> Column:
-    """Scoring ladder: equal, learned pair, AU/OU spelling, containment, same full form, one letter other or more."""
-    rungs = [(a == b, 1.0), (learned if learned is not None else F.lit(False), 0.9), (_au_ou(a, b), 0.95), (_contains(a, b), 0.8), (canonical(a) == canonical(b), 0.85), (_one_other(a, b), 0.7), (_one_more(a, b), 0.7)]
+    """Scoring ladder: equal, learned pair, AU/OU spelling, containment, same full form of two pet forms or of two
+    contractions (a pet form and a contraction do not meet), one letter other or more."""
+    a, b = F.trim(a), F.trim(b)
+    same = (_mapped(a, NICKNAMES) == _mapped(b, NICKNAMES)) | (_mapped(a, CONTRACTIONS) == _mapped(b, CONTRACTIONS))
+    rungs = [(a == b, 1.0), (learned if learned is not None else F.lit(False), 0.9), (_au_ou(a, b), 0.95), (_contains(a, b), 0.8), (same, 0.85), (_one_other(a, b), 0.7), (_one_more(a, b), 0.7)]
     return _ladder(a, b, rungs)
 
 
 def audit_similarity(a: Column, b: Column) -> Column:
     """The audit's ladder: no contractions, full forms come before containment, one letter more only among names of four letters."""
+    a, b = F.trim(a), F.trim(b)
     long = F.least(F.length(a), F.length(b)) >= 4
     known = {k: v for k, v in NICKNAMES.items() if k not in NOT_AUDITED}
     return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (_mapped(a, known) == _mapped(b, known), 0.85), (_contains(a, b), 0.8), (_one_other(a, b), 0.7), (long & _one_more(a, b), 0.7)])
 
 
+def keys(name: Column) -> tuple[Column, Column]:
+    """Two names that the audit's ladder rates 0.85 or more are equal in one of these: plain vowels, or the full form of a pet form."""
+    known = {k: v for k, v in NICKNAMES.items() if k not in NOT_AUDITED}
+    return F.concat(F.lit("v:"), _plain_vowels(name)), F.concat(F.lit("f:"), _mapped(name, known))
+
+
 def simple_similarity(a: Column, b: Column) -> Column:
     """The older ladder: no learned pairs, contractions or inserted letter, few pet forms, and two pet forms of one name
     are not alike."""
+    a, b = F.trim(a), F.trim(b)
     known = {k: NICKNAMES[k] for k in OLDER}
     pet = (_mapped(a, known) == b) | (_mapped(b, known) == a)
     return _ladder(a, b, [(a == b, 1.0), (_au_ou(a, b), 0.95), (_contains(a, b), 0.8), (pet, 0.85), (_one_other(a, b), 0.7)])
@@ -80,10 +91,12 @@ def simple_similarity(a: Column, b: Column) -> Column:
 
 def sql(a: str, b: str, ladder: str = "audit") -> str:
     """The same ladders as ANSI SQL text."""
+    a, b = f"trim({a})", f"trim({b})"
     table = lambda names: "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in names.items()) + ") t(pet, name)"
     full = lambda x, names: f"coalesce((SELECT min(name) FROM {table(names)} WHERE pet = {x}), {x})"
     audited, older = {k: v for k, v in NICKNAMES.items() if k not in NOT_AUDITED}, {k: NICKNAMES[k] for k in OLDER}
-    same, audit_same = (f"{full(a, n)} = {full(b, n)}" for n in (NICKNAMES | CONTRACTIONS, audited))
+    pets, written, audit_same = (f"{full(a, n)} = {full(b, n)}" for n in (NICKNAMES, CONTRACTIONS, audited))
+    same = f"({pets} OR {written})"
     pair = f"({full(a, older)} = {b} OR {full(b, older)} = {a})"
     au = f"regexp_replace(regexp_replace({a}, 'AU', 'A', 'g'), 'OU', 'O', 'g') = regexp_replace(regexp_replace({b}, 'AU', 'A', 'g'), 'OU', 'O', 'g')"
     inside = f"(contains({a}, {b}) OR contains({b}, {a}))"

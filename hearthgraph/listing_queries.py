@@ -43,7 +43,7 @@ ORACLE["T10_component_order"] = recursive(
 )
 
 
-@query("P7_historical", "SELECT id, coalesce(length(bio), 0) < 50 AS without_bio, NOT EXISTS (SELECT 1 FROM parents e WHERE e.to_id = people.id) AS without_parents, (birth_raw IS NULL OR death_raw IS NULL) AS without_dates FROM people WHERE bb < 1930")
+@query("P7_historical", "SELECT id, coalesce(length(trim(bio)), 0) < 50 AS without_bio, NOT EXISTS (SELECT 1 FROM parents e WHERE e.to_id = people.id) AS without_parents, (birth_raw IS NULL OR death_raw IS NULL) AS without_dates FROM people WHERE bb < 1930")
 def p7_historical(cat):
     return listing.historical(cat.dated, cat.parents)
 

@@ -36,10 +36,10 @@ def page_of(rows: DataFrame, keep: Column, order: list[Column], asked: int, most
 
 
 def historical(people: DataFrame, parents: DataFrame, before: int = 1930, bio_chars: int = 50) -> DataFrame:
-    """id, without_bio (null or shorter than bio_chars), without_parents, without_dates of people born before a year."""
+    """id, without_bio (null or shorter than bio_chars without outer blanks), without_parents, without_dates of people born before a year."""
     has = parents.select(F.col("to_id").alias("id")).distinct().withColumn("_has", F.lit(True))
     return people.where(F.col("bb") < before).join(has, "id", "left").select(
-        "id", (F.length(F.coalesce("bio", F.lit(""))) < bio_chars).alias("without_bio"), F.col("_has").isNull().alias("without_parents"),
+        "id", (F.length(F.trim(F.coalesce("bio", F.lit("")))) < bio_chars).alias("without_bio"), F.col("_has").isNull().alias("without_parents"),
         (F.col("birth_raw").isNull() | F.col("death_raw").isNull()).alias("without_dates"),
     )
 

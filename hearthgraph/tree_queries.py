@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .carriers import _cols, _sql
+from .carriers import _base, _cols, _sql
 from .checkpoints import cut
+from .functions import names
+from .operators import households
 from .queries import query
 from .sources import gedcom_tree as tree
 
@@ -91,3 +93,101 @@ UNION ALL SELECT 'FAM', (SELECT count(*) FROM pair) + (SELECT count(DISTINCT p)
 def w8_records(cat):
     n = _read(cat, "7.0")
     return n.where("level = 0").groupBy("rtag").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+# --- households ---------------------------------------------------------------------------------------------------
+
+#: A schedule for each census of an order: its lines are the members. Both engines derive them by the same text.
+_PID = """CASE WHEN o_orderkey % 4 < 2 THEN CASE CAST(l_linenumber AS INT) WHEN 1 THEN o_custkey WHEN 2 THEN o_custkey + 1 WHEN 3 THEN 2 * o_custkey WHEN 4 THEN 2 * o_custkey + 1 WHEN 5 THEN o_custkey + 7 WHEN 6 THEN CAST((o_custkey + 1 - (o_custkey + 1) % 2) / 2 AS BIGINT) ELSE CAST((o_custkey - o_custkey % 2) / 2 AS BIGINT) END
+  ELSE CASE CAST(l_linenumber AS INT) WHEN 1 THEN CAST((o_custkey - o_custkey % 2) / 2 AS BIGINT) WHEN 2 THEN CAST((o_custkey - o_custkey % 2) / 2 AS BIGINT) + 1 WHEN 3 THEN o_custkey WHEN 4 THEN o_custkey + 1 - 2 * (o_custkey % 2) WHEN 5 THEN o_custkey + 5 WHEN 6 THEN o_custkey + 9 ELSE 2 * o_custkey END END"""
+_ROLES = """CASE WHEN o_orderkey % 4 < 2 THEN split_part('Head|Wife|Son|Dau|Boarder|Mother-in-law|Father', '|', CAST(l_linenumber AS INT)) ELSE split_part('Hd|Wf|son|Daur|Servant|Fa-Law|Grandson', '|', CAST(l_linenumber AS INT)) END"""
+_K = "(o_orderkey + l_linenumber)"
+_ROSTER = {
+    "event": "o_orderkey",
+    "n": "CAST(l_linenumber AS INT)",
+    "subject_id": "o_custkey",
+    "year": "census_year",
+    "name": f"CASE WHEN {_K} % 9 = 4 THEN 'Wilfred ' || coalesce(surname, '') WHEN {_K} % 13 = 5 THEN coalesce(given, '') WHEN {_K} % 10 = 3 AND given = 'Elizabeth' THEN 'Betty ' || coalesce(surname, '') ELSE coalesce(given, '') || ' ' || coalesce(surname, '') END",
+    "role": _ROLES,
+    "age": f"CASE WHEN {_K} % 10 <> 7 AND {_K} % 11 <> 1 THEN CAST(census_year - bb + {_K} % 9 - 4 AS INT) END",
+    "birth_year": f"CASE WHEN {_K} % 11 = 1 THEN CAST(bb AS INT) END",
+    "sex": f"CASE WHEN {_K} % 8 <> 1 THEN upper(substr(gender, 1, 1)) END",
+    "target": "l_linenumber = CASE WHEN o_orderkey % 4 < 2 THEN 1 ELSE 3 END",
+}
+_LINES = f"SELECT o.*, l_linenumber, CAST({_PID} AS BIGINT) AS pid, CAST({_base('o_custkey')} + (o_orderkey * 11) % 100 AS INT) AS census_year FROM orders o JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey WHERE o_orderkey % 6 < 3"
+_HOUSE = f""", lines AS ({_LINES}), rosters AS MATERIALIZED (SELECT {_sql(_ROSTER)} FROM lines JOIN people p ON p.id = pid)"""
+_CATEGORY = """CASE WHEN trim(role) = '' OR regexp_matches(lower(role), '''|in.law|grand|step|foster|adopt|servant|boarder|lodger|visitor|nurse|employee|apprentice|governess|housekeeper|assistant|worker|inmate') THEN NULL
+  WHEN regexp_matches(lower(role), '^hd$|head') THEN 'head' WHEN regexp_matches(lower(role), '^(wf|hus|husb)$|wife|husband') THEN 'spouse' WHEN regexp_matches(lower(role), '^(dau|daur|daug|daughtr)$|son|daughter') THEN 'child'
+  WHEN regexp_matches(lower(role), '^(fa|fathr|mo|mothr)$|father|mother') THEN 'parent' WHEN regexp_matches(lower(role), '^(bro|brothr|sis|sistr)$|brother|sister') THEN 'sibling' END"""
+_MATRIX = """CASE s WHEN 'head' THEN nullif(c, 'head') WHEN 'spouse' THEN CASE c WHEN 'head' THEN 'spouse' WHEN 'child' THEN 'child' END WHEN 'child' THEN CASE c WHEN 'head' THEN 'parent' WHEN 'spouse' THEN 'parent' WHEN 'child' THEN 'sibling' END END"""
+#: Rungs of 0.85 and more of the audit's ladder: equal but for AU and OU, or one full form.
+_NAMED = "(list_contains(w.known, x.sur) AND (x.vow = w.vow OR x.whole = w.whole))"
+_FORMS = "replace(replace({0}, 'AU', 'A'), 'OU', 'O') AS vow, coalesce((SELECT min(full_) FROM pets WHERE pet = {0}), {0}) AS whole"
+_PETS = ", ".join(f"('{k}', '{v}')" for k, v in names.NICKNAMES.items() if k not in names.NOT_AUDITED)
+_RECONCILED = f"""{_HOUSE},
+mem AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(upper(name), '[ ,]+'), lambda t: t <> '') AS ws, coalesce(birth_year, year - age) AS by_, {_CATEGORY} AS c FROM rosters),
+pets AS (SELECT * FROM (VALUES {_PETS}) t(pet, full_)),
+x0 AS MATERIALIZED (SELECT *, {_FORMS.format("fore")} FROM (SELECT *, ws[1] AS fore, CASE WHEN len(ws) > 1 THEN ws[-1] END AS sur FROM mem)),
+who AS MATERIALIZED (SELECT *, {_FORMS.format("first")} FROM (SELECT id AS pid, list_filter(string_split(upper(given), ' '), lambda t: t <> '')[1] AS first, list_filter([upper(surname), upper(married_surname)], lambda t: t IS NOT NULL) AS known, bb AS born, gender FROM people)),
+tgt AS (SELECT event, min(n) AS n, count(*) AS nt FROM x0 WHERE target GROUP BY event),
+anchor AS MATERIALIZED (SELECT x.event, nt, x.n AS tn, x.c AS s, contains(lower(x.role), 'head') AS is_head FROM tgt JOIN x0 x ON x.event = tgt.event AND x.n = tgt.n JOIN who w ON w.pid = x.subject_id
+  WHERE abs(x.by_ - w.born) <= 3 AND list_contains(w.known, x.sur) AND ({_NAMED} OR NOT coalesce((w.gender = 'male' AND x.sex = 'F') OR (w.gender = 'female' AND x.sex = 'M'), false))),
+x AS MATERIALIZED (SELECT x0.*, tn, nt, s, is_head, CASE WHEN nt = 1 AND len(ws) > 0 AND NOT target THEN {_MATRIX} END AS relation FROM x0 JOIN anchor USING (event)),
+kin AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT to_id AS subject_id, from_id AS pid, 0 AS o, 'parent' AS tr FROM parents UNION ALL SELECT from_id, to_id, 1, 'child' FROM parents UNION ALL SELECT id, other, 2, 'spouse' FROM spouses
+  UNION ALL SELECT a.to_id, b.to_id, 3, 'sibling' FROM parents a JOIN parents b ON a.from_id = b.from_id AND a.to_id <> b.to_id)),
+pr AS MATERIALIZED (SELECT x.event, x.n, x.relation, w.pid, k.o, k.tr, {_NAMED} IS TRUE AS same, coalesce(abs(x.by_ - w.born) <= 3, false) AS near, x.by_ IS NULL OR w.born IS NULL AS undated, coalesce(list_contains(w.known, x.sur), false) AS ss,
+  coalesce((w.gender = 'male' AND x.sex = 'F') OR (w.gender = 'female' AND x.sex = 'M'), false) AS bad FROM x JOIN kin k ON k.subject_id = x.subject_id JOIN who w ON w.pid = k.pid WHERE x.relation IS NOT NULL),
+ex AS (SELECT event, n, arg_min(pid, (o, pid)) AS ex, arg_min(tr, (o, pid)) AS etr FROM pr WHERE same AND near GROUP BY ALL),
+ro AS (SELECT event, n, min(pid) AS ro FROM pr WHERE same AND tr = relation AND (relation IN ('parent', 'spouse') OR undated) GROUP BY ALL),
+res AS MATERIALIZED (SELECT x.event, x.n, x.relation, coalesce(ex, ro) AS pid, ex, etr, ro FROM x LEFT JOIN ex USING (event, n) LEFT JOIN ro USING (event, n)),
+fit AS MATERIALIZED (SELECT p.*, r.pid AS has FROM pr p JOIN res r USING (event, n) WHERE p.tr = p.relation AND near AND NOT bad),
+nr AS (SELECT f.event, f.n, f.pid AS nr FROM fit f WHERE f.has IS NULL AND NOT f.same AND f.ss AND NOT EXISTS (SELECT 1 FROM fit g WHERE g.event = f.event AND g.n = f.n AND g.pid <> f.pid)
+  AND NOT EXISTS (SELECT 1 FROM res r WHERE r.event = f.event AND r.n <> f.n AND r.pid = f.pid) AND NOT EXISTS (SELECT 1 FROM fit g WHERE g.event = f.event AND g.n <> f.n AND g.pid = f.pid AND g.relation = f.relation AND g.has IS NULL)),
+el AS (SELECT x.event, x.n, min(w.pid) AS el FROM x JOIN res r USING (event, n) JOIN (SELECT *, unnest(known) AS k1 FROM who) w ON w.k1 = x.sur AND abs(x.by_ - w.born) <= 3 AND w.pid <> x.subject_id WHERE x.relation IS NOT NULL AND r.pid IS NULL AND {_NAMED} GROUP BY ALL),
+lone AS (SELECT id AS subject_id, min(other) AS spouse_id FROM spouses GROUP BY id HAVING count(DISTINCT other) = 1),
+law AS (SELECT x.event, x.n, any_value(spouse_id) AS spouse_id, min(CASE WHEN {_NAMED} THEN w.pid END) AS law FROM x JOIN lone USING (subject_id) LEFT JOIN parents p ON p.to_id = spouse_id LEFT JOIN who w ON w.pid = p.from_id
+  WHERE relation IS NULL AND is_head AND NOT target AND lower(x.role) IN ('mother-in-law', 'fa-law') GROUP BY ALL),
+final AS MATERIALIZED (SELECT x.event, x.n, x.subject_id, x.name, x.year, x.sur, CASE WHEN NOT (target AND x.n = tn) THEN x.relation END AS relation,
+  CASE WHEN target AND x.n = tn THEN 'subject' WHEN x.relation IS NULL THEN CASE WHEN spouse_id IS NULL THEN 'out_of_scope' WHEN law IS NOT NULL THEN 'in_tree' ELSE 'in_law' END
+    WHEN ex IS NOT NULL THEN CASE WHEN etr = x.relation THEN 'in_tree' ELSE 'contradiction' END WHEN ro IS NOT NULL THEN 'in_tree' WHEN el IS NOT NULL THEN 'unlinked' WHEN nr IS NOT NULL THEN 'near' ELSE 'missing' END AS status,
+  CASE WHEN target AND x.n = tn THEN x.subject_id WHEN x.relation IS NULL THEN coalesce(law, spouse_id) ELSE coalesce(ex, ro, el, nr) END AS profile_id
+  FROM x LEFT JOIN res USING (event, n) LEFT JOIN nr USING (event, n) LEFT JOIN el USING (event, n) LEFT JOIN law USING (event, n))"""
+
+
+def _rosters(cat):
+    lines = cat.table("orders").join(cat.table("lineitem").select("l_orderkey", "l_linenumber").distinct(), F.expr("l_orderkey = o_orderkey")).where("o_orderkey % 6 < 3")
+    lines = lines.select("o_orderkey", "o_custkey", "l_linenumber", F.expr(f"CAST({_PID} AS BIGINT)").alias("pid"), F.expr(f"CAST({_base('o_custkey')} + (o_orderkey * 11) % 100 AS INT)").alias("census_year"))
+    return lines.join(cat.dated.select(F.col("id").alias("pid"), "given", "surname", "bb", "gender"), "pid").select(*_cols(_ROSTER))
+
+
+def _reconciled(cat):
+    return households.reconcile(_rosters(cat), cat.dated, cat.parents, cat.spouses)
+
+
+@query("J21_households", f"{_RECONCILED} SELECT event, n, subject_id, name, year, relation, status, profile_id FROM final")
+def j21_households(cat):
+    return _reconciled(cat)
+
+
+@query("R10_status_counts", f"{_RECONCILED} SELECT relation, status, count(*) AS n_rows FROM final GROUP BY ALL")
+def r10_counts(cat):
+    return _reconciled(cat).groupBy("relation", "status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("R9_roles", f"{_HOUSE} SELECT a.role AS subject_role, b.role AS member_role, any_value({_MATRIX.replace(' s ', ' a.c ').replace('c,', 'b.c,').replace('CASE c ', 'CASE b.c ')}) AS relation, count(*) AS n_rows FROM (SELECT *, {_CATEGORY} AS c FROM rosters) a JOIN (SELECT *, {_CATEGORY} AS c FROM rosters) b ON a.event = b.event AND a.n <> b.n GROUP BY ALL")
+def r9_roles(cat):
+    m = households.members(_rosters(cat)).select("event", "n", "role", "category")
+    counts = m.select("event", F.col("n").alias("sn"), F.col("role").alias("subject_role"), F.col("category").alias("s")).join(m, "event").where("sn <> n")
+    return counts.groupBy("subject_role", F.col("role").alias("member_role"), households.relation(F.col("s"), F.col("category")).alias("relation")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("audit_censusRelationship", f"""{_RECONCILED}, one AS (SELECT subject_id, relation, arg_min(status, (event, n)) AS kind, arg_min(name, (event, n)) AS name, arg_min(coalesce(profile_id, -1), (event, n)) AS pid FROM final WHERE relation IS NOT NULL GROUP BY subject_id, relation, lower(name))
+SELECT subject_id, kind, relation, name, nullif(pid, -1) AS profile_id FROM one WHERE kind IN ('missing', 'contradiction')""")
+def census_relationship(cat):
+    return households.findings(_reconciled(cat))
+
+
+@query("E21_maiden_names", f"{_RECONCILED} SELECT profile_id, min(sur) AS maiden FROM final WHERE status = 'in_law' AND sur IS NOT NULL GROUP BY profile_id HAVING count(DISTINCT sur) = 1")
+def e21_maiden(cat):
+    rosters = _rosters(cat)
+    return households.married_names(households.reconcile(rosters, cat.dated, cat.parents, cat.spouses), rosters)
