@@ -7,9 +7,9 @@ permutations give all coordinates, and a shingle's values for all of them stand
 1. A map over the texts gives each document's set signature and, once for each set in a task, its bands: hashes of ROWS
    coordinates each. Equal sets are one class from here on.
 2. Classes that share no band with another class are done. The sets of the others are read again.
-3. In rounds each class is compared with one leader of its buckets, the one that leads most of them; the pair is
-   linked if the whole sets reach the threshold. Rounds go on until little is left to compare or none links any more. Buckets that lie in one component hold nothing new. So a large group of near copies
-   costs a comparison each.
+3. In rounds each class is compared with the leaders of its buckets, drawn anew for each bucket and round; a pair is
+   linked if the whole sets reach the threshold. Rounds go on until little is left to compare or they no longer help. Buckets that lie in one component hold nothing new. So a large group of near copies
+   costs a few comparisons each.
 4. What is left over: members outside a bucket's largest component meet all of the bucket, held against the sizes and
    a parity bitmap of the sets, each pair in its first common bucket only, and are compared.
 
@@ -37,8 +37,9 @@ PLACES, BANDS, ROWS = 1 << 20, 32, 4
 AT_ONCE = 4096
 #: Words of the parity bitmap, and bands that a row carries to find out whether it is a pair's first.
 WORDS, HEAD = 8, 6
-#: Rounds of leaders go on while they link something and the rest would compare more pairs than this for each class.
-WORTHWHILE = 32
+#: Rounds of leaders go on while the rest would compare more pairs than this for each class, and while the last round
+#: brought them below this share of what they were.
+WORTHWHILE, FALLING = 32, 0.9
 _BITS = [f"b{k}" for k in range(WORDS)]
 
 
@@ -163,12 +164,12 @@ def _sided(rows: DataFrame, side: str, cols: list[str]) -> DataFrame:
 
 
 def _led(rows: DataFrame, r: int, percent: int) -> DataFrame:
-    """a, b: each class with the leader of another component that leads most of its buckets."""
+    """a, b: each class with the leaders of its buckets that are of another component. Every bucket and round draws its own
+    leader, so a class of a large group meets as many different ones as it has bands."""
     cols = ["ent", "root", "n"]
-    lead = rows.groupBy("bucket").agg(F.min_by(F.struct(*cols), F.xxhash64(F.lit(r), "ent")).alias("x")).select("bucket", "x.*")
+    lead = rows.groupBy("bucket").agg(F.min_by(F.struct(*cols), F.xxhash64(F.lit(r), "bucket", "ent")).alias("x")).select("bucket", "x.*")
     met = _sided(rows, "a", cols).join(_sided(lead, "b", cols), "bucket").where(_sizes(percent))
-    votes = met.groupBy(F.col("a_ent").alias("a"), F.col("b_ent").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return met.select(F.least("a_ent", "b_ent").alias("a"), F.greatest("a_ent", "b_ent").alias("b")).distinct()
 
 
 def _left_over(rows: DataFrame) -> int:
@@ -207,6 +208,7 @@ def _roots(base: DataFrame, light: DataFrame, classes: DataFrame, k: int, percen
         return None
     sets = _sets(base, classes, able, n_able, k)
     found = roots = None
+    left = float("inf")
     for r in itertools.count():
         links = cut(snug(_verified(_led(rows, r, percent), sets, percent), n_able, SETS))
         new = links.count()
@@ -214,7 +216,8 @@ def _roots(base: DataFrame, light: DataFrame, classes: DataFrame, k: int, percen
         roots = cut(snug(closer(roots, found, n_able), n_able, SETS))
         before, rows = rows, cut(_open(rows, roots))
         drop(before)
-        if not new or _left_over(rows) <= WORTHWHILE * n_able:
+        left_before, left = left, _left_over(rows) if new else 0
+        if left <= WORTHWHILE * n_able or left > FALLING * left_before:
             break
     pairs = cut(snug(_met(rows, sets, percent), n_able, SETS))
     found = found.unionByName(cut(snug(_verified(pairs, sets, percent), n_able, SETS)))
