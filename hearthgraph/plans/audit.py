@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..carriers import AS_OF, Catalog
-from ..functions import dates, names
+from ..functions import names
+from ..operators import duplicates
 
 SEVERITIES = ("error", "warning", "info")
 
@@ -93,23 +94,9 @@ def siblings(cat: Catalog) -> DataFrame:
     return a.join(b, "from_id").where("id <> sib").select("id", "sib").distinct()
 
 
-def duplicate_pairs(cat: Catalog) -> DataFrame:
-    """a < b, score: 0.4 surname + 0.3 given + 0.3 overlap of birth, at least 0.7; a pair is compared if surnames agree
-    in upper case and the birth years' middles are at most 10 apart, found in neighbouring bands of ten years."""
-    p = cat.people.where("given IS NOT NULL AND surname IS NOT NULL AND bb IS NOT NULL").select("id", F.upper("given").alias("g"), F.upper("surname").alias("s"), "be", "bl", "bb")
-    p = p.withColumn("band", F.expr("bb div 10"))
-    a = p.select(*[F.col(c).alias(f"a_{c}") for c in p.columns]).withColumn("band", F.explode(F.expr("array(a_band - 1, a_band, a_band + 1)")))
-    pairs = a.join(p, (F.col("a_s") == F.col("s")) & (a["band"] == p["band"]) & (F.col("a_id") < F.col("id"))).where("abs(a_bb - bb) <= 10")
-    given = names.audit_similarity(F.col("a_g"), F.col("g"))
-    meet = F.when(dates.overlaps_open(F.col("a_be"), F.col("a_bl"), F.col("be"), F.col("bl")), 1.0).otherwise(0.0)
-    pairs = pairs.withColumn("given", given).where("given > 0").withColumn("score", F.round(0.4 + 0.3 * F.col("given") + 0.3 * meet, 4))
-    kin = cat.parents.select(F.least("from_id", "to_id").alias("a_id"), F.greatest("from_id", "to_id").alias("id"))
-    return pairs.where("score >= 0.7").join(kin, ["a_id", "id"], "left_anti").select(F.col("a_id").alias("a"), F.col("id").alias("b"), "score")
-
-
 def _duplicates(cat: Catalog) -> DataFrame:
-    per = duplicate_pairs(cat).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    return _flag(per, "warning", F.col("bs"), "a")
+    """One row for everyone with a possible duplicate of a greater id, naming the greatest; the others are in J13's tables."""
+    return _flag(duplicates.greatest_partners(cat.dated, cat.parents), "warning", F.array("partner"), "id")
 
 
 def _sibling_collision(cat: Catalog) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .carriers import AS_OF, Catalog, oracle
 from .functions import dates, names
-from .operators import corpus, evidence, graph, relational
+from .operators import corpus, duplicates, evidence, graph, relational
 from .plans import audit
 from .sources import gedcom
 from .streaming import budget
@@ -31,9 +31,17 @@ def query(name: str, sql: str | None = None, carriers: bool = True):
 # --- audit rules ------------------------------------------------------------------------------------------------
 
 _SIM = names.sql("upper(a.given)", "upper(b.given)")
-_DUP = f"""SELECT a.id AS a, b.id AS b, round(0.4 + 0.3 * ({_SIM}) + CASE WHEN coalesce(a.be <= b.bl, true) AND coalesce(b.be <= a.bl, true) THEN 0.3 ELSE 0 END, 4) AS score
-FROM people a JOIN people b ON upper(a.surname) = upper(b.surname) AND a.id < b.id AND abs(a.bb - b.bb) <= 10
-WHERE ({_SIM}) > 0 AND NOT EXISTS (SELECT 1 FROM parents e WHERE least(e.from_id, e.to_id) = a.id AND greatest(e.from_id, e.to_id) = b.id)"""
+_PERSON = "SELECT id, upper(trim(coalesce(given, ''))) AS given, upper(trim(coalesce(surname, ''))) AS surname, be, bl, bb, coalesce(be, bl) IS NOT NULL AS born FROM people"
+#: All pairs of people by the rule's own words: distinct names are rated once, then everyone meets everyone.
+_DUP = f"""SELECT a, b, ca, cb, score FROM (
+  SELECT a.id AS a, b.id AS b, a.c AS ca, b.c AS cb, CASE WHEN a.given <> '' AND b.given <> '' AND sg = 0 THEN 0 WHEN apart AND abs(a.bb - b.bb) > 10 THEN 0
+    ELSE round(greatest(0.4 * ss + 0.3 * sg + CASE WHEN dated AND NOT apart THEN 0.3 ELSE 0 END, CASE WHEN ss >= 0.9 AND sg >= 0.7 AND NOT apart THEN 0.7 ELSE 0 END), 4) END AS score
+  FROM (SELECT a, b, coalesce(x.sim, 0) AS ss, coalesce(y.sim, 0) AS sg, a.born AND b.born AS dated, a.born AND b.born AND NOT (coalesce(a.be <= b.bl, true) AND coalesce(b.be <= a.bl, true)) AS apart
+    FROM (SELECT *, min(id) OVER (PARTITION BY surname, given, be, bl) AS c FROM ({_PERSON})) a
+    JOIN (SELECT *, min(id) OVER (PARTITION BY surname, given, be, bl) AS c FROM ({_PERSON})) b ON a.id < b.id
+    LEFT JOIN (SELECT a.surname AS v, b.surname AS w, {names.sql("a.surname", "b.surname")} AS sim FROM (SELECT DISTINCT surname FROM ({_PERSON})) a, (SELECT DISTINCT surname FROM ({_PERSON})) b) x ON x.v = a.surname AND x.w = b.surname
+    LEFT JOIN (SELECT a.given AS v, b.given AS w, {names.sql("a.given", "b.given")} AS sim FROM (SELECT DISTINCT given FROM ({_PERSON})) a, (SELECT DISTINCT given FROM ({_PERSON})) b) y ON y.v = a.given AND y.w = b.given))
+WHERE score >= 0.7 AND NOT EXISTS (SELECT 1 FROM parents e WHERE least(e.from_id, e.to_id) = a AND greatest(e.from_id, e.to_id) = b)"""
 #: Rules that are no single condition: profile_id, severity, related.
 _MADE = {
     "missingCoParent": """SELECT o.to_id AS profile_id, 'warning' AS severity, CAST(min(s.other) AS STRING) AS related
@@ -45,7 +53,7 @@ _MADE = {
         LEFT JOIN (SELECT s.id, max(q.bb) AS mate FROM spouses s JOIN people q ON q.id = s.other GROUP BY 1) b ON b.id = p.id
         LEFT JOIN (SELECT x.from_id AS id, min(q.bb) AS child FROM parents x JOIN people q ON q.id = x.to_id GROUP BY 1) c ON c.id = p.id
         WHERE coalesce(be, bl, de, dl) IS NULL AND least(sib + 20, mate + 20, child - 14) + 100 < {AS_OF}""",
-    "duplicateDetection": f"SELECT a AS profile_id, 'warning' AS severity, string_agg(CAST(b AS STRING), ',' ORDER BY b) AS related FROM ({_DUP}) WHERE score >= 0.7 GROUP BY a",
+    "duplicateDetection": f"SELECT a AS profile_id, 'warning' AS severity, CAST(max(b) AS STRING) AS related FROM ({_DUP}) GROUP BY a",
     "siblingIdentityCollision": f"""SELECT a.id AS profile_id, 'warning' AS severity, CAST(b.id AS STRING) AS related
         FROM (SELECT p.*, list_sort(list(DISTINCT e.from_id)) AS ps FROM people p JOIN parents e ON e.to_id = p.id GROUP BY ALL) a
         JOIN (SELECT p.*, list_sort(list(DISTINCT e.from_id)) AS ps FROM people p JOIN parents e ON e.to_id = p.id GROUP BY ALL) b
@@ -420,9 +428,15 @@ def j24_diff(cat):
     return corpus.refresh(old, new, "id", "birth_raw")
 
 
-@query("J13_duplicate_pairs", f"SELECT a, b, CAST(score AS DOUBLE) AS score FROM ({_DUP}) WHERE score >= 0.7")
+@query("J13_duplicate_pairs", f"SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, CAST(max(score) AS DOUBLE) AS score, count(*) AS n_pairs FROM ({_DUP}) GROUP BY 1, 2")
 def j13_pairs(cat):
-    return audit.duplicate_pairs(cat)
+    """Pairs of classes of like people; J13_duplicate_members has the people."""
+    return duplicates.counted(cat.dated, cat.parents)
+
+
+@query("J13_duplicate_members", f"SELECT id, min(id) OVER (PARTITION BY surname, given, be, bl) AS c FROM ({_PERSON}) WHERE surname <> ''")
+def j13_members(cat):
+    return duplicates.members(cat.dated)
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------
