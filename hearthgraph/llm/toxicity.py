@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences; only documents are labelled. Each sentence has a logistic score over its words, a
-document's score is the noisy-or of its sentences, and the likelihood of the document labels trains the words'
-weights. The sentence scores then locate the offending sentences. A sentence counts only from FLOOR up, so that many
-harmless sentences never add up to a toxic document, however long it is.
+A document is a bag of sentences; only documents are labelled. Each sentence's score is a power of a logistic function
+of its words (POWER), a document's score is the noisy-or of its sentences, and the likelihood of the document labels trains the
+words' weights. The same scores then rate documents and locate the offending sentences. A sentence's prior falls with the
+document's number of sentences n: ln(n) / POWER is taken off its logit, so the scores of harmless sentences are about 1 / n
+each and add up to the same however long the document is, and no threshold is needed below which a sentence would not
+count. A toxic sentence of a long document needs that much more.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ CACHED_WORDS = 200_000
 SENTENCE = re.compile(r"[.!?\n]+")
 #: A document of the sample: its features in page order, the features of each sentence, the label.
 SAMPLE = pa.schema({"_id": pa.string(), "flat": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "_y": pa.int32()})
-#: A sentence's logistic score up to here counts as 0, and the rest is stretched to 0..1.
-FLOOR = 0.1
+#: The power of the logistic function: the higher, the less a document's length costs each sentence.
+POWER = 6
 
 
 @dataclass(frozen=True)
@@ -41,7 +43,7 @@ class Settings:
     sample_docs: int = 1_500
     min_docs: int = 4
     max_share: float = 0.5
-    bias: float = -5.0
+    bias: float = -2.0
     leak: float = 0.01
     l1: float = 1e-4
     l1_docs: float = 0.3
@@ -87,9 +89,20 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length, so that spans are the original's; letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def length_cost(n: int) -> float:
+    """What n sentences take off each one's logit."""
+    return math.log(max(n, 1)) / POWER
+
+
 def counted(z: float) -> float:
-    """What a sentence with this logit adds to the noisy-or."""
-    return max(0.0, (1 / (1 + math.exp(-min(max(z, -30.0), 30.0))) - FLOOR) / (1 - FLOOR))
+    """What a sentence with this logit adds to the noisy-or, in training as in scoring."""
+    return (1 + math.exp(-min(max(z, -30.0), 30.0))) ** -POWER
 
 
 def noisy_or(p: np.ndarray, leak: float) -> float:
@@ -110,20 +123,24 @@ def train(words: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, labels: np.
     sent = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     doc = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)
     y, n = labels.astype(float), len(per_doc)
+    cost = (np.log(np.maximum(per_doc, 1)) / POWER)[doc]
     balance = np.where(y == 1, n / max(2 * y.sum(), 1), n / max(2 * (n - y.sum()), 1))
     theta = np.append(_log_odds(words, sent, doc, y, n_words), s.bias)
     l1 = max(s.l1, s.l1_docs / (2 * max(y.sum(), 1)))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, s.rounds + 1):
-        z = _sums(sent, theta, words, len(sizes)) + theta[-1]
+        z = _sums(sent, theta, words, len(sizes)) + theta[-1] - cost
         z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
-        log_no = np.log1p(-s.leak) + np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n)
+        # 1 - p**k = (1 - p)(1 + p + ... + p**(k - 1))
+        rest = sum(p**i for i in range(POWER))
+        log_no = np.log1p(-s.leak) + np.bincount(doc, weights=np.log(rest) - np.logaddexp(0, z), minlength=n)
         none = np.exp(log_no)
         yes = np.clip(1 - none, 1e-9, None)
-        # d log-likelihood / d z of a sentence: -p where the label is 0, p * P(none) / P(some) where it is 1
+        # d log-likelihood / d z of a sentence: -d where the label is 0, d * P(none) / P(some) where it is 1, with
+        # d = -d log(1 - p**k) / d z = k p**k / (1 + p + ... + p**(k - 1))
         pull = balance * np.where(y == 1, none / yes, -1.0)
-        g_z = p * pull[doc]
+        g_z = POWER * p**POWER / rest * pull[doc]
         grad = np.zeros_like(theta)
         grad[:-1] = _sums(words, g_z, sent, n_words) / n
         grad[-1] = g_z.sum() / n
@@ -171,7 +188,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
         for batch in batches:
             seen: dict[str, int] = {}
             for text in batch.column(0).to_pylist():
-                for f in {f for w in set(WORD.findall(text.lower())) for f in features(w)}:
+                for f in {f for w in set(WORD.findall(lowered(text))) for f in features(w)}:
                     seen[f] = seen.get(f, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "docs"])
 
@@ -185,7 +202,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
         for batch in batches:
             flat, sizes = [], []
             for text in batch.column(1).to_pylist():
-                text = text.lower()
+                text = lowered(text)
                 own = [_numbers(text, a, b, number) for a, b in sentences(text)]
                 flat.append(np.array([f for x in own for f in x], np.int32))
                 sizes.append(np.array([len(x) for x in own], np.int32))
@@ -221,27 +238,23 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
 
 def sentence_scores(text: str, model: Model) -> list[tuple[int, int, float]]:
     """(start, end, score) of each sentence."""
-    low = text.lower()
-    if len(low) != len(text):  # lower case can be longer; spans are the original's
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    out, weights = [], Weights(model)
-    for a, b in sentences(low):
-        out.append((a, b, counted(model.bias + sum(weights[w] for w in set(WORD.findall(low, a, b))))))
-    return out
+    low = lowered(text)
+    spans, weights = sentences(low), Weights(model)
+    base = model.bias - length_cost(len(spans))
+    return [(a, b, counted(base + sum(weights[w] for w in sorted(set(WORD.findall(low, a, b)))))) for a, b in spans]
 
 
 def score_text(text: str, weights: Weights, bias: float, leak: float) -> tuple[float, int, int]:
     """(score, sentences, sentences that alone make the document toxic)."""
-    log_no, n, offending, least = math.log1p(-leak), 0, 0, math.log(FLOOR / (1 - FLOOR)) - bias
-    for part in SENTENCE.split(text.lower()):
-        words = set(WORD.findall(part))
-        if words:
-            n += 1
-            z = sum(map(weights.__getitem__, words))
-            if z > least:
-                log_no += math.log1p(-min(counted(z + bias), 1 - 1e-12))
-                offending += z + bias > 0
-    return 1 - math.exp(log_no), n, offending
+    own = []
+    for part in SENTENCE.split(lowered(text)):
+        if words := set(WORD.findall(part)):
+            own.append(sum(weights[w] for w in sorted(words)))
+    base, log_no, offending = bias - length_cost(len(own)), math.log1p(-leak), 0
+    for z in own:
+        log_no += math.log1p(-min(counted(base + z), 1 - 1e-12))
+        offending += counted(base + z) >= 0.5
+    return 1 - math.exp(log_no), len(own), offending
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -87,7 +87,7 @@ def test_toxicity_gradient_raises_the_likelihood():
     s = toxicity.Settings(rounds=60)
     words, sizes, per_doc = np.array([0, 1, 1, 0, 2, 1]), np.array([1, 1, 1, 1, 1, 1]), np.array([2, 1, 2, 1])
     theta, bias = toxicity.train(words, sizes, per_doc, np.array([1, 0, 1, 0]), 3, s)
-    assert theta[0] > 2 > theta[1] and bias < 0
+    assert theta[0] > 2 > theta[1] and toxicity.counted(theta[1] + bias) < 0.1 < 0.5 < toxicity.counted(theta[0] + bias)
 
 
 def test_toxicity_without_both_classes(spark):
@@ -226,7 +226,7 @@ def test_noisy_or_bounds():
 
 
 def test_long_clean_text_stays_clean(spark):
-    model = toxicity.Model({"bad": 9.0, "stone": 0.4, "moon": -0.3}, -6.0, 0.01)
+    model = toxicity.Model({"bad": 12.0, "stone": 0.4, "moon": -0.3}, -6.0, 0.01)
     words = EN + ["stone", "moon"]
     r = random.Random(2)
     clean = ". ".join(" ".join(r.choice(words) for _ in range(5)) for _ in range(4000)) + "..." * 5000
@@ -301,3 +301,65 @@ def test_transcripts_with_white_space_lines_and_hot_keys(spark):
     assert {(r.key, r.chunk): len(r.states) for r in got} == true
     assert true[("50", 0)] == 100_000 and {k: n for k, n in true.items() if k[0] == "60"}.keys() == {("60", c) for c in range(5)}
     assert sum(n for k, n in true.items() if k[0] == "60") >= 300
+
+
+def plain_toxicity(text, model):
+    """Score and offending sentences by the formula, feature by feature."""
+    import re
+
+    parts = [set(re.findall(r"[^\W\d_]+", p)) for p in re.split(r"[.!?\n]+", toxicity.lowered(text or ""))]
+    parts, none, hot = [p for p in parts if p], 1 - model.leak, 0
+    for words in parts:
+        z = model.bias - math.log(len(parts)) / toxicity.POWER
+        for w in words:
+            z += model.weights.get(w, 0) + sum(model.weights.get(w[:k] + "-", 0) for k in (3, 4, 5, 6, 7) if k < len(w))
+        p = (1 / (1 + math.exp(-z))) ** toxicity.POWER
+        none, hot = none * (1 - p), hot + (p >= 0.5)
+    return 1 - none, len(parts), hot
+
+
+def test_toxicity_equals_a_plain_reading(spark):
+    model = toxicity.Model({"bad": 2.6, "vil-": 1.3, "vile": 1.3, "stone": 0.2, "moon": -0.4}, -0.4, 0.01)
+    r = random.Random(9)
+    words = [*EN, "bad", "vile", "villa", "Stone", "MOON", "12", "İbad"]
+    texts = [None, "", " \n..", "bad", "bad" * 3, *["".join(r.choice(words) + r.choice([" ", " ", " ", ". ", "\n", "!?"]) for _ in range(r.randrange(1, 120))) for _ in range(60)]]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.score(frame, model).collect()
+    assert sorted(r.doc_id for r in got) == sorted(k for k, _ in rows)
+    spans = {}
+    for x in toxicity.offending(frame.dropDuplicates(["doc_id"]), model).collect():
+        spans[x.doc_id] = spans.get(x.doc_id, 0) + 1
+    for x in got:
+        p, n, hot = plain_toxicity(texts[x.doc_id], model)
+        assert x.score == pytest.approx(p) and (x.n_sentences, x.n_offending) == (n, hot) and x.predicted == (p >= 0.5)
+        # one definition everywhere: a sentence that offends is located, and makes its document toxic
+        assert spans.get(x.doc_id, 0) == hot and (x.predicted or not hot)
+    assert sum(x.n_offending > 0 for x in got) > 5
+
+
+def test_toxicity_training_climbs_the_scored_likelihood():
+    """Moving any trained weight either way lowers the likelihood that the scoring formula gives (no penalty, equal classes)."""
+    s = toxicity.Settings(rounds=2000, rate=0.02, l1=0.0, l1_docs=0.0)
+    words, sizes, per_doc, y = np.array([0, 1, 1, 2, 0, 2, 1, 0]), np.ones(8, int), np.array([2, 2, 2, 2]), np.array([1, 0, 0, 1])
+    theta, bias = toxicity.train(words, sizes, per_doc, y, 3, s)
+
+    def likelihood(t):
+        model = toxicity.Model({"abc"[k] * 2: t[k] for k in range(3)}, t[3], s.leak)
+        p = [plain_toxicity(". ".join("abc"[w] * 2 for w in words[2 * d : 2 * d + 2]), model)[0] for d in range(4)]
+        return sum(math.log(x if label else 1 - x) for x, label in zip(p, y))
+
+    at = [*theta, bias]
+    best = likelihood(at)
+    for k in range(4):
+        for step in (-0.3, 0.3):
+            # a weight that is far below has nothing more to win either way
+            assert likelihood([t + step * (j == k) for j, t in enumerate(at)]) < best + 1e-6
+
+
+def test_toxicity_of_any_length():
+    model = toxicity.Model({"bad": 4.0}, -0.4, 0.01)
+    weights = toxicity.Weights(model)
+    clean = [toxicity.score_text("stone sang low. " * n, weights, model.bias, model.leak)[0] for n in (1, 10, 1000, 200_000)]
+    assert max(clean) < 0.07
+    assert toxicity.score_text("stone sang low. " * 1000 + "bad bell", weights, model.bias, model.leak)[0] > 0.5
