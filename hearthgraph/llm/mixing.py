@@ -89,7 +89,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def select(docs: DataFrame, mix: Mix, level_cols: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (row_key, id, levels, tokens, epoch): which documents each leaf contributes in which epoch.
+    """Rows (id, levels, tokens, copies): which documents each leaf contributes, and in how many epochs.
 
     Epoch e reads a leaf in the order of md5(seed:e:id). A leaf gets whole epochs while its budget lasts, then the
     prefix of the next epoch whose running token count stays within what is left. The running count is taken over
@@ -124,11 +124,14 @@ def select(docs: DataFrame, mix: Mix, level_cols: dict[str, Column], id_col: str
 
 
 def mixed(docs: DataFrame, mix: Mix, level_cols: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents themselves, each as often as its leaf's epochs take it."""
+    """The documents themselves, each as often as its leaf's epochs take it. Columns of any name stay as they are."""
     cols = docs.columns
-    chosen = select(docs, mix, level_cols, id_col, text_col).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_mix_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"`{c}`") for c in cols])
+    # names that no column of the documents has
+    prefix = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in cols), default=0))
+    mix_id, copies, copy = (prefix + n for n in ("mix_id", "copies", "copy"))
+    chosen = select(docs, mix, level_cols, id_col, text_col).groupBy(F.col(id_col).alias(mix_id)).agg(F.max("copies").alias(copies))
+    out = docs.join(chosen, docs[id_col].eqNullSafe(chosen[mix_id]))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(f"`{c}`") for c in cols])
 
 
 def production(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:

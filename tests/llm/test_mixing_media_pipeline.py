@@ -50,6 +50,14 @@ def test_mixing_empty_table(spark):
     assert mixing.mixed(samples.docs(spark, []), mixing.PRODUCTION, mixing.levels_of_documents()).count() == 0
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, f"some text {k}", "en", "s.example.com", 7, k, "x") for k in range(60)] + [(None, "some text", None, None, 7, 0, "x")] * 2, "doc_id long, text string, lang string, source string, _copies int, __COPIES long, _mix_id string")
+    got = mixing.mixed(docs, mixing.Mix(budget_permille=1000, max_epochs=2), mixing.levels_of_documents())
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all((r[4], r[6]) == (7, "x") and r[5] == (r[0] or 0) for r in rows)
+
+
 def test_media_digest(spark):
     got = {r.doc_id: r for r in media.digest(samples.docs(spark)).collect()}
     for k, t, *_ in samples.rows():
