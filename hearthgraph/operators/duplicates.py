@@ -109,6 +109,16 @@ def counted(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None =
     return links.where("n_pairs > 0").select("a", "b", "score", "n_pairs")
 
 
+def parted(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
+    """a < b: the pairs of people in linked classes that `counted` takes out of n_pairs.
+
+    All pairs of people of the linked classes (`counted`, `members`) but these are every pair of possible duplicates."""
+    of = members(people)
+    out = apart(parents, dismissed).join(of.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
+    links = class_links(people).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    return out.select("a", "b", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).join(links, ["lo", "hi"], "left_semi").select("a", "b")
+
+
 def greatest_partners(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     """id, partner: everyone with a possible duplicate of a greater id, and the greatest of them.
 

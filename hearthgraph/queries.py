@@ -439,6 +439,12 @@ def j13_members(cat):
     return duplicates.members(cat.dated)
 
 
+@query("J13_duplicate_apart", f"SELECT a, b FROM ({_DUP.replace('NOT EXISTS', 'EXISTS')})")
+def j13_apart(cat):
+    """The people that J13_duplicate_pairs leaves out of its counts: with it and J13_duplicate_members, each pair of people follows."""
+    return duplicates.parted(cat.dated, cat.parents)
+
+
 # --- corpus -----------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in corpus.STOPWORDS)

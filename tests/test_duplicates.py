@@ -96,3 +96,18 @@ def test_equals_all_pairs(spark, seed):
     edges = [(rnd.randint(1, 160), rnd.randint(1, 160)) for _ in range(150)]
     dismissed = [(rnd.randint(1, 160), rnd.randint(120, 160)) for _ in range(150)]
     assert len(check(spark, people, edges, dismissed)) > 200
+
+
+def test_three_tables_give_every_pair_of_people(spark):
+    people = [(k, "George" if k % 3 else "Ann", "Keld" if k % 2 else "Kelds", 1850 + k % 2, 1852) for k in range(1, 13)] + [(13, "Ivy", "Moss", None, None), (14, "Ivy", "Moss", None, None)]
+    edges, dismissed = [(1, 5), (7, 1), (2, 8), (2, 5), (3, 4), (13, 14)], [(11, 5), (8, 1)]
+    p, e, d = spark.createDataFrame(people, PEOPLE), spark.createDataFrame(edges, EDGES), spark.createDataFrame(dismissed, "a long, b long")
+    of = {}
+    for r in duplicates.members(p).collect():
+        of.setdefault(r.c, []).append(r.id)
+    got = {}
+    for r in duplicates.counted(p, e, d).collect():
+        got |= {(min(x, y), max(x, y)): r.score for x in of[r.a] for y in of[r.b] if x != y}
+    for r in duplicates.parted(p, e, d).collect():
+        got.pop((r.a, r.b), None)
+    assert got == all_pairs(spark, people, edges, dismissed) and len(got) > 20
