@@ -17,8 +17,8 @@ WORDS = {
 
 def _year(text: Column) -> Column:
     """The first number of four digits, if it counts as a year."""
-    y = F.nullif(F.regexp_extract(text, r"\b([0-9]{4})\b", 1), F.lit("")).cast("int")
-    return F.when(y.between(*YEARS), y)
+    y = lambda digits: F.when(digits != "", F.when(digits.between(*map(str, YEARS)), digits.cast("int")))
+    return _once(F.regexp_extract(text, r"\b([0-9]{4})\b", 1), y)
 
 
 def parse(raw: Column) -> Column:

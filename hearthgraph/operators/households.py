@@ -39,7 +39,10 @@ ORDER = ("parent", "child", "spouse", "sibling")
 
 def category(role: Column) -> Column:
     """head, spouse, child, parent or sibling; null for other kin, people outside the family and empty roles."""
-    r = F.lower(F.trim(role))
+    return _category(F.lower(F.trim(role)))
+
+
+def _category(r: Column) -> Column:
     has = lambda words: F.greatest(*[r.contains(w) for w in words], F.lit(False))
     out = F.when((r == "") | has(FURTHER) | has(NON_FAMILY), None)
     for name, forms in SHORT.items():
@@ -64,32 +67,39 @@ def parent_in_law(role: Column) -> Column:
 
 
 def _words(name: Column) -> Column:
-    return F.filter(F.split(F.upper(F.coalesce(name, F.lit(""))), "[ ,]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.upper(F.coalesce(name, F.lit(""))), "[ ,]+"), "")
 
 
 def _persons(people: DataFrame) -> DataFrame:
-    """pid, first (given name), known (surnames), born, gender."""
-    first = F.get(F.filter(F.split(F.upper("given"), " "), lambda w: w != ""), F.lit(0))
-    known = F.array_distinct(F.filter(F.array(*[F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in ("surname", "married_surname")]), lambda s: s != ""))
-    return people.select(F.col("id").alias("pid"), first.alias("first"), known.alias("known"), F.col("bb").alias("born"), "gender")
+    """pid, first (given name) with its keys, known (surnames), born, gender."""
+    first = F.get(F.array_remove(F.split(F.upper("given"), " "), ""), F.lit(0))
+    known = F.array_distinct(F.array_remove(F.array(*[F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in ("surname", "married_surname")]), ""))
+    got = people.select(F.col("id").alias("pid"), first.alias("first"), known.alias("known"), F.col("bb").alias("born"), "gender")
+    return got.withColumns(_keyed("", "first"))
 
 
 _SEX_BAD = "coalesce((gender = 'male' AND sex = 'F') OR (gender = 'female' AND sex = 'M'), false)"
 _NEAR_YEARS = f"coalesce(abs(born_by_roster - born) <= {YEARS}, false)"
 
 
+def _keyed(prefix: str, first: str) -> dict[str, Column]:
+    """The columns by which forenames that the audit's ladder rates 0.85 or more are equal, worked out once a row and not once a pair."""
+    return dict(zip((f"{prefix}vowels", f"{prefix}full"), names.keys(F.col(first)), strict=True))
+
+
 def _same_name() -> Column:
-    same = (F.col("m_first") == F.col("first")) | (names.audit_similarity(F.col("m_first"), F.col("first")) >= 0.85)
-    return F.coalesce(F.expr("array_contains(known, m_surname)") & same, F.lit(False))
+    return F.coalesce(F.expr("array_contains(known, m_surname) AND (m_vowels = vowels OR m_full = full)"), F.lit(False))
 
 
-def members(rosters: DataFrame) -> DataFrame:
-    """Rosters with m_first and m_surname (none for a name of one word), born_by_roster, sex (first letter), category."""
-    w = _words(F.col("name"))
-    return rosters.select(
-        "event", "n", "subject_id", "year", "name", "role", "target", F.get(w, F.lit(0)).alias("m_first"), F.when(F.size(w) > 1, F.element_at(w, -1)).alias("m_surname"),
-        F.coalesce("birth_year", F.col("year") - F.col("age")).alias("born_by_roster"), F.upper(F.substring(F.trim("sex"), 1, 1)).alias("sex"), category(F.col("role")).alias("category"),
-    )
+def members(rosters: DataFrame, *more: str) -> DataFrame:
+    """Rosters with m_first, its keys and m_surname (none for a name of one word), born_by_roster, sex (first letter),
+    category, and the columns `more`.
+
+    What is read often comes out of a generator of one row, so nothing copies what rosters are made by."""
+    once = F.struct("name", "role", _words(F.col("name")).alias("w"), F.lower(F.trim("role")).alias("r"), F.coalesce("birth_year", F.col("year") - F.col("age")).alias("born_by_roster"), F.upper(F.substring(F.trim("sex"), 1, 1)).alias("sex"))
+    x = rosters.select("event", "n", "subject_id", "year", "target", *more, F.explode(F.array(once)).alias("x")).select("event", "n", "subject_id", "year", "target", *more, "x.*")
+    own = x.withColumns({"m_first": F.get("w", F.lit(0)), "m_surname": F.when(F.size("w") > 1, F.element_at("w", -1)), "category": _category(F.col("r"))}).drop("w", "r")
+    return own.withColumns(_keyed("m_", "m_first"))
 
 
 def relatives(parents: DataFrame, spouses: DataFrame) -> DataFrame:
@@ -118,12 +128,13 @@ def reconcile(rosters: DataFrame, people: DataFrame, parents: DataFrame, spouses
     (parents-in-law of a head with one spouse), else out_of_scope.
     """
     who = _persons(people)
-    m = members(rosters)
-    heads = m.where("target").groupBy("event").agg(F.count(F.lit(1)).alias("n_targets"), F.min(F.struct("n", "m_first", "m_surname", "born_by_roster", "sex", "category", "role", "subject_id")).alias("t"))
-    heads = heads.select("event", "n_targets", F.col("t.n").alias("target_n"), "t.m_first", "t.m_surname", "t.born_by_roster", "t.sex", F.col("t.category").alias("subject_category"), F.lower("t.role").contains("head").alias("is_head"), F.col("t.subject_id").alias("pid"))
+    heads = members(rosters.where("target")).groupBy("event").agg(F.count(F.lit(1)).alias("n_targets"), F.min(F.struct("n", "m_first", "m_surname", "born_by_roster", "sex", "category", "role", "subject_id", "m_vowels", "m_full")).alias("t"))
+    heads = heads.select("event", "n_targets", F.col("t.n").alias("target_n"), "t.m_vowels", "t.m_full", "t.m_surname", "t.born_by_roster", "t.sex", F.col("t.category").alias("subject_category"), F.lower("t.role").contains("head").alias("is_head"), F.col("t.subject_id").alias("pid"))
     known = heads.join(who, "pid").withColumn("same", _same_name()).where(f"{_NEAR_YEARS} AND (same OR (array_contains(known, m_surname) AND NOT {_SEX_BAD}))")
     anchored = known.select("event", "n_targets", "target_n", "subject_category", "is_head")
-    m = m.join(anchored, "event").withColumn("relation", F.when((F.col("n_targets") == 1) & (F.size(_words(F.col("name"))) > 0) & ~F.col("target"), relation(F.col("subject_category"), F.col("category"))))
+    # the names and roles of households without a subject are not looked at
+    m = members(rosters.join(anchored, "event"), *anchored.columns[1:])
+    m = m.withColumn("relation", F.when((F.col("n_targets") == 1) & F.col("m_first").isNotNull() & ~F.col("target"), relation(F.col("subject_category"), F.col("category"))))
     # written once each: all rungs read them
     m, who, kin = cut(m), cut(who), relatives(parents, spouses)
     pairs = m.where("relation IS NOT NULL").join(kin.join(who, "pid"), "subject_id")
@@ -172,7 +183,7 @@ def _elsewhere(open_: DataFrame, who: DataFrame) -> DataFrame:
 
 def _in_laws(rows: DataFrame, who: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
     """event, n, spouse_id, in_law: the head's only spouse and that spouse's parent of equal name, if there is one."""
-    asked = rows.where(parent_in_law(F.col("role")).isNotNull() & ~F.col("target")).select("event", "n", "subject_id", "m_first", "m_surname")
+    asked = rows.where(parent_in_law(F.col("role")).isNotNull() & ~F.col("target")).select("event", "n", "subject_id", "m_vowels", "m_full", "m_surname")
     lone = spouses.select(F.col("id").alias("subject_id"), "other").distinct().groupBy("subject_id").agg(F.min("other").alias("spouse_id"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
     up = parents.select(F.col("to_id").alias("spouse_id"), F.col("from_id").alias("pid")).distinct().join(who, "pid")
     both = asked.join(lone, "subject_id").join(up, "spouse_id", "left").withColumn("same", _same_name())

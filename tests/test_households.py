@@ -80,3 +80,11 @@ def test_scoring_ladder_keeps_contractions_and_pet_forms_apart(spark):
     d = spark.createDataFrame(pairs, "a string, b string, want double")
     got = d.select("a", "b", "want", names.similarity(F.col("a"), F.col("b")).alias("got"), names.similarity(F.col("b"), F.col("a")).alias("back")).collect()
     assert [(r.a, r.b, r.got, r.back) for r in got] == [(a, b, w, w) for a, b, w in pairs]
+
+
+def test_people_are_dealt_out_before_their_dates_are_parsed(spark, tmp_path):
+    from hearthgraph.carriers import Catalog
+
+    spark.range(5000).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    used = Catalog(spark, str(tmp_path)).dated.select(F.spark_partition_id().alias("p"), "be").distinct()
+    assert used.select("p").distinct().count() > 4
