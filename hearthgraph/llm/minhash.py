@@ -116,9 +116,12 @@ def _postings(light: DataFrame) -> DataFrame:
 
     head: its first bands before this one. Classes in a bucket are told apart by 64 bits until they are compared."""
     one = light.where("size(bands) > 0").dropDuplicates(["s1", "s2"])
-    rows = one.select("s1", _ent().alias("ent"), "n", F.slice("bands", 1, HEAD).alias("head"), F.posexplode("bands").alias("k", "bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("bucket")
-    return rows.join(shared, "bucket", "left_semi").select("bucket", "ent", F.col("ent").alias("root"), "n", F.slice("head", F.lit(1), F.least("k", F.lit(HEAD))).alias("head"))
+    rows = one.select("s1", F.posexplode("bands").alias("k", "bucket"))
+    # written first, so that only one of both shuffles of all bands lies on disk, and neither has more than a band's numbers
+    shared = cut(rows.groupBy("bucket").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("bucket"))
+    full = one.select("s1", _ent().alias("ent"), "n", F.slice("bands", 1, HEAD).alias("head"))
+    own = rows.join(shared, "bucket", "left_semi").join(full, "s1")
+    return own.select("bucket", "ent", F.col("ent").alias("root"), "n", F.slice("head", F.lit(1), F.least("k", F.lit(HEAD))).alias("head"))
 
 
 def _sets(base: DataFrame, classes: DataFrame, able: DataFrame, n_able: int, k: int) -> DataFrame:
