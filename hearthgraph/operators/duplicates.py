@@ -17,6 +17,9 @@ from ..functions import dates, names
 #: an alike given name that count without dates; years between disjoint births that tell people apart.
 SURNAME, GIVEN, BIRTH, LEAST, NEAR, ALIKE, YEARS = 0.4, 0.3, 0.3, 0.7, 0.9, 0.7, 10
 
+#: Up to so many rows of two numbers are sent to every task, else joined by key.
+FEW = 500_000
+
 _KEY = ["s", "g", "e0", "l0"]
 
 
@@ -130,8 +133,16 @@ def greatest_partners(people: DataFrame, parents: DataFrame, dismissed: DataFram
     ways = ways.unionByName(links.where("a <> b").select(F.col("b").alias("c"), F.col("a").alias("other"), F.col("top_a").alias("top")))
     first = of.join(ways.groupBy("c").agg(F.max("top").alias("partner")), "c").where("id < partner")
     flagged = no.select(F.col("a").alias("id"), F.col("b").alias("partner"), F.lit(True).alias("no"))
-    first = first.join(flagged, ["id", "partner"], "left")
-    each = first.where("no").select("id", "c").join(ways, "c").select("id", "other", F.col("top").alias("partner")).where("id < partner").join(flagged, ["id", "partner"], "left")
-    inside = each.where("no").select("id", "other").join(of.select(F.col("id").alias("partner"), F.col("c").alias("other")), "other").where("id < partner")
+    # written once: what follows is for few people, and must not sort the links of all classes for them
+    first = cut(first.join(flagged, ["id", "partner"], "left"))
+    held = first.where("no").select("id", "c")
+    each = few(held).join(ways, "c").select("id", "other", F.col("top").alias("partner")).where("id < partner")
+    each = cut(each.join(flagged, ["id", "partner"], "left"))
+    inside = few(each.where("no").select("id", "other")).join(of.select(F.col("id").alias("partner"), F.col("c").alias("other")), "other").where("id < partner")
     found = each.where("no IS NULL").select("id", "partner").unionByName(inside.select("id", "partner").join(flagged.drop("no"), ["id", "partner"], "left_anti"))
     return first.where("no IS NULL").select("id", "partner").unionByName(found.groupBy("id").agg(F.max("partner").alias("partner")))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows of two numbers, to be sent to every task where there are at most FEW."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows

@@ -111,3 +111,14 @@ def test_three_tables_give_every_pair_of_people(spark):
     for r in duplicates.parted(p, e, d).collect():
         got.pop((r.a, r.b), None)
     assert got == all_pairs(spark, people, edges, dismissed) and len(got) > 20
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_links_of_all_classes_are_not_sorted_for_the_few_kept_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(duplicates, "FEW", few, raising=False)
+    people = [(k, "George" if k % 3 else "Ann", "Keld" if k % 2 else "Kelds", 1850 + k % 2, 1852) for k in range(1, 13)]
+    edges, dismissed = [(1, 12), (2, 11), (12, 10), (11, 9), (3, 12)], [(1, 11), (1, 10)]
+    check(spark, people, edges, dismissed)
+    got = duplicates.greatest_partners(spark.createDataFrame(people, PEOPLE), spark.createDataFrame(edges, EDGES), spark.createDataFrame(dismissed, "a long, b long"))
+    # the links are used up by then: what is left joins only the people whose greatest partner is kept apart
+    assert "top_b" not in got._jdf.queryExecution().toString()
