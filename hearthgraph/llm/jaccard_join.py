@@ -5,8 +5,9 @@ of all tokens they share a token early in both. Every order gives such a filter;
 all of them.
 
 1. A map over the texts gives each document's set signature; equal sets are one class from here on.
-2. Under a hash order with frequent tokens last, the first half of each class's tokens is sent out by token. Similar
-   sets share at least 3/16 of the larger set among them, so classes with fewer shared tokens are done.
+2. Under a hash order with frequent tokens last, the first 7/16 of each class's tokens are sent out by token, as 40 bits
+   each. Similar sets share 3/4 of the larger set and at most 9/16 of it stays behind, so they share at least 3/16 of it
+   among what is sent, and classes with fewer shared tokens are done.
 3. The whole sets of the remaining classes are counted by token. Three orders, rarest token first and each with other
    ties, give each class three prefixes; tokens of no other class come first and bring no candidates.
 4. The first order's prefixes are joined by token. The join itself holds a pair against the bounds that follow from both
@@ -106,8 +107,16 @@ def signatures(x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1], size
 
 
-def half(n: np.ndarray | int):
-    return (n + 1) // 2
+def early(n: np.ndarray | int):
+    """So many of a set's tokens are sent out first."""
+    return -(-7 * n // 16)
+
+
+def _short(own: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """The distinct 40-bit forms of tokens sent out first, and how many of them a class of n tokens must share to have a
+    similar one. Tokens that fall together are taken off that number; those of two classes that do only leave more to compare."""
+    short = np.unique(own & U64((1 << 40) - 1))
+    return short, max(1, -(-3 * n // 16) - (len(own) - len(short)))
 
 
 def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,20 +220,21 @@ def _able(base: DataFrame, light: DataFrame) -> DataFrame:
                     key = (int(s1[r]), int(s2[r]))
                     if n[r] and key not in seen:
                         seen.add(key)
-                        own = _order(x[bound[r] : bound[r + 1]], frequent)[: half(n[r])]
+                        own, need = _short(_order(x[bound[r] : bound[r + 1]], frequent)[: early(n[r])], int(n[r]))
                         token.append(own)
-                        size.append((len(own), n[r], s1[r]))
+                        size.append((len(own), need, s1[r]))
                 if token:
                     many = np.array([s[0] for s in size])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array([s[2] for s in size], np.int64), many)), pa.array(np.repeat(np.array([s[1] for s in size], np.int64), many)),
-                    ], ["token", "ent", "n"])
+                    ], ["token", "ent", "need"])
 
     by_token = Window.partitionBy("token")
-    sent = base.select("text").mapInArrow(postings, "token long, ent long, n long")
+    sent = base.select("text").mapInArrow(postings, "token long, ent long, need long")
     shared = sent.withColumns({"_lo": F.min("ent").over(by_token), "_hi": F.max("ent").over(by_token)}).where("_lo <> _hi")
-    enough = "c >= greatest(1, CAST(ceil(3 * n / 16.0) AS INT))"
-    return shared.groupBy("ent", "n").agg(F.size(F.collect_set("token")).alias("c")).where(enough).select(F.col("ent").alias("s1"))
+    # a class met in several tasks has its tokens several times; they lie together by token, and only numbers go on
+    once = shared.select("token", "ent", "need").distinct()
+    return once.groupBy("ent", "need").agg(F.count(F.lit(1)).alias("c")).where("c >= need").select(F.col("ent").alias("s1"))
 
 
 def _sets(base: DataFrame, classes: DataFrame, able: DataFrame) -> tuple[DataFrame, int]:
@@ -246,14 +256,15 @@ def _sets(base: DataFrame, classes: DataFrame, able: DataFrame) -> tuple[DataFra
     texts = base.join(reps, base["id"].eqNullSafe(reps["id"]), "left_semi").select("text")
     full = cut(texts.mapInArrow(whole, "ent binary, n int, tokens array<long>").where("n > 0").dropDuplicates(["ent"]))
     spread = full.select("ent", "n", F.explode("tokens").alias("token"))
-    counts = full.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = spread.join(counts, "token").groupBy("ent", "n").agg(F.collect_list(F.struct("token", "df")).alias("ts")).where("4 * size(ts) >= 3 * n")
+    # written first, so that only one of both shuffles of all tokens lies on disk; lists of numbers take half of what structs take
+    counts = cut(full.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    common = spread.join(counts, "token").groupBy("ent", "n").agg(F.collect_list("token").alias("ts"), F.collect_list("df").alias("df")).where("4 * size(ts) >= 3 * n")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ts, n = batch.column(2), batch.column(1).to_numpy()
-            flat, bound = ts.flatten(), np.r_[0, np.cumsum(ts.value_lengths().to_numpy(), dtype=np.int64)].astype(np.int32)
-            token, df = flat.field(0).to_numpy().view(U64), flat.field(1).to_numpy()
+            bound = np.r_[0, np.cumsum(ts.value_lengths().to_numpy(), dtype=np.int64)].astype(np.int32)
+            token, df = ts.flatten().to_numpy().view(U64), batch.column(3).flatten().to_numpy()
             own = [token[i:j] for i, j in zip(bound, bound[1:], strict=False)]
             got = [_prefixes(t, df[i : i + len(t)], m) for t, i, m in zip(own, bound, n.tolist(), strict=False)]
             maps = np.array([_bitmap(t) for t in own], np.int64).reshape(-1, WORDS)
@@ -264,6 +275,7 @@ def _sets(base: DataFrame, classes: DataFrame, able: DataFrame) -> tuple[DataFra
     kind = "ent binary, n int, ts array<long>, u int, " + ", ".join(f"{b} long" for b in _BITS) + ", " + ", ".join(f"p{k} array<long>" for k in range(ORDERS))
     sets = cut(snug(common.mapInArrow(prefixes, kind), n_able, SETS))
     drop(full)
+    drop(counts)
     return sets, n_able
 
 

@@ -83,6 +83,24 @@ def test_join_chains_and_large_groups_of_near_copies(spark):
     assert got == brute_join(full)
 
 
+def test_what_is_sent_out_first_loses_no_similar_set():
+    r = np.random.default_rng(4)
+    for seed in range(600):
+        n = int(r.integers(1, 90))
+        # few low halves, so that tokens of one set fall together in 40 bits
+        pool = r.integers(0, 60 + seed % 3 * 10_000, 200).astype(np.uint64) | (r.integers(0, 1 << 20, 200).astype(np.uint64) << np.uint64(44))
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([a[r.random(len(a)) < 0.93], pool[n : n + int(r.integers(0, n // 8 + 1))]]))
+        if 4 * len(np.intersect1d(a, b)) < 3 * len(np.union1d(a, b)):
+            continue
+        late = np.sort(pool[::7])
+        (x, x_need), (y, y_need) = (jaccard_join._short(jaccard_join._order(t, late)[: jaccard_join.early(len(t))], len(t)) for t in (a, b))
+        assert len(np.intersect1d(x, y)) >= max(x_need, y_need)
+    own = np.arange(1, 101, dtype=np.uint64)
+    short, need = jaccard_join._short(own[: jaccard_join.early(100)], 100)
+    assert len(short) == 44 and need == 19 and int(short.max()) < 1 << 40
+
+
 def test_join_null_ids_and_empty_table(spark):
     row = samples.rows()[9]
     got = jaccard_join.join(samples.docs(spark, [(None, *row[1:]), row, row])).collect()
