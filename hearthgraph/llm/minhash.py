@@ -7,9 +7,10 @@ permutations give all coordinates, and a shingle's values for all of them stand
 1. A map over the texts gives each document's set signature and, once for each set in a task, its bands: hashes of ROWS
    coordinates each. Equal sets are one class from here on.
 2. Classes that share no band with another class are done. The sets of the others are read again.
-3. In rounds each class is compared with the leaders of its buckets, drawn anew for each bucket and round; a pair is
-   linked if the whole sets reach the threshold. Rounds go on until little is left to compare or they no longer help. Buckets that lie in one component hold nothing new. So a large group of near copies
-   costs a few comparisons each.
+3. First each class is compared with one leader of its buckets; a pair is linked if the whole sets reach the threshold.
+   Buckets that lie in one component hold nothing new. In the others, round by round, those outside a bucket's largest
+   component are compared with a member of it, drawn anew for each bucket and round, until little is left to compare or
+   rounds no longer help. So a large group of near copies costs a comparison each, and a few for those that fail it.
 4. What is left over: members outside a bucket's largest component meet all of the bucket, held against the sizes and
    a parity bitmap of the sets, each pair in its first common bucket only, and are compared.
 
@@ -166,13 +167,29 @@ def _sided(rows: DataFrame, side: str, cols: list[str]) -> DataFrame:
     return rows.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in cols])
 
 
+def _main(rows: DataFrame) -> DataFrame:
+    """bucket, main: the largest component of each bucket that has several."""
+    counts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", F.col("m.root").alias("main"))
+
+
 def _led(rows: DataFrame, r: int, percent: int) -> DataFrame:
-    """a, b: each class with the leaders of its buckets that are of another component. Every bucket and round draws its own
-    leader, so a class of a large group meets as many different ones as it has bands."""
+    """a, b: classes with leaders of their buckets that are of another component.
+
+    The first round draws by one order for all buckets, so a large group has few leaders, and a class meets the one that
+    leads most of its buckets. Later each bucket and round draws a member of the bucket's largest component: only those
+    outside meet it, and a class meets as many different ones as it has bands."""
     cols = ["ent", "root", "n"]
-    lead = rows.groupBy("bucket").agg(F.min_by(F.struct(*cols), F.xxhash64(F.lit(r), "bucket", "ent")).alias("x")).select("bucket", "x.*")
-    met = _sided(rows, "a", cols).join(_sided(lead, "b", cols), "bucket").where(_sizes(percent))
-    return met.select(F.least("a_ent", "b_ent").alias("a"), F.greatest("a_ent", "b_ent").alias("b")).distinct()
+    pair = [F.least("a_ent", "b_ent").alias("a"), F.greatest("a_ent", "b_ent").alias("b")]
+    if r == 0:
+        lead = rows.groupBy("bucket").agg(F.min_by(F.struct(*cols), F.xxhash64("ent")).alias("x")).select("bucket", "x.*")
+        met = _sided(rows, "a", cols).join(_sided(lead, "b", cols), "bucket").where(_sizes(percent))
+        votes = met.groupBy("a_ent", "b_ent").agg(F.count(F.lit(1)).alias("votes"))
+        return votes.groupBy("a_ent").agg(F.max(F.struct("votes", "b_ent")).alias("x")).select("a_ent", "x.b_ent").select(*pair).distinct()
+    at = rows.join(_main(rows), "bucket")
+    lead = at.where("root = main").groupBy("bucket").agg(F.min_by(F.struct(*cols), F.xxhash64(F.lit(r), "bucket", "ent")).alias("x")).select("bucket", "x.*")
+    met = _sided(at.where("root <> main"), "a", cols).join(_sided(lead, "b", cols), "bucket").where(_sizes(percent))
+    return met.select(*pair).distinct()
 
 
 def _left_over(rows: DataFrame) -> int:
@@ -183,10 +200,8 @@ def _left_over(rows: DataFrame) -> int:
 
 def _met(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs of different components that come through, each once."""
-    counts = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("bucket", F.col("m.root").alias("main"))
     cols = ["ent", "root", "n", "head", *_BITS]
-    at = rows.join(main, "bucket").join(sets.select("ent", *_BITS), "ent")
+    at = rows.join(_main(rows), "bucket").join(sets.select("ent", *_BITS), "ent")
     near = _sided(at.where("root <> main"), "a", cols).join(_sided(at, "b", cols), "bucket").where(f"{_sizes(percent)} AND {_bits(percent)} AND NOT arrays_overlap(a_head, b_head)")
     return near.select(F.least("a_ent", "b_ent").alias("a"), F.greatest("a_ent", "b_ent").alias("b")).distinct()
 
@@ -216,10 +231,11 @@ def _roots(base: DataFrame, light: DataFrame, classes: DataFrame, k: int, percen
         links = cut(snug(_verified(_led(rows, r, percent), sets, percent), n_able, SETS))
         new = links.count()
         found = links if found is None else found.unionByName(links)
-        roots = cut(snug(closer(roots, found, n_able), n_able, SETS))
+        # leaders make stars, which two steps bring together; what they leave apart only stays to be compared
+        roots = cut(snug(closer(roots, found, n_able, steps=2), n_able, SETS))
         before, rows = rows, cut(_open(rows, roots))
         drop(before)
-        left_before, left = left, _left_over(rows) if new else 0
+        left_before, left = left, _left_over(rows) if new or r == 0 else 0
         if left <= WORTHWHILE * n_able or left > FALLING * left_before:
             break
     pairs = cut(snug(_met(rows, sets, percent), n_able, SETS))

@@ -213,6 +213,17 @@ def test_minhash_large_group_chain_and_unlinked_crowd(spark):
     assert got == brute_near(data)
 
 
+def test_minhash_leaders_are_few_at_first_and_of_the_largest_component_later(spark):
+    post = [(b, f"{k:03}".encode(), f"{k:03}".encode(), 50, []) for b in range(32) for k in range(40)]
+    kind = "bucket long, ent binary, root binary, n int, head array<long>"
+    first = minhash._led(spark.createDataFrame(post, kind), 0, 85).collect()
+    assert len(first) <= 39 and {bytes(x) for p in first for x in p} == {p[1] for p in post}
+    # all but three are of one component now: only those three meet others
+    later = [(b, e, e if e >= b"037" else b"000", n, h) for b, e, _, n, h in post]
+    pairs = minhash._led(spark.createDataFrame(later, kind), 1, 85).collect()
+    assert {bytes(p.b) for p in pairs} == {b"037", b"038", b"039"} and all(bytes(p.a) < b"037" for p in pairs)
+
+
 def test_minhash_null_ids_repeats_and_empty_table(spark):
     row = samples.rows()[9]
     got = minhash.dedup(samples.docs(spark, [(None, *row[1:]), row, row])).collect()
