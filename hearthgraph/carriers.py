@@ -154,18 +154,26 @@ class Catalog:
 
     @cached_property
     def dated(self) -> DataFrame:
-        """Profiles with parsed dates (e earliest, l latest, b best) and living.
+        """Profiles with parsed dates (e earliest, l latest, b best) and living."""
+        return self._parsed("birth", "death").withColumn("living", F.expr(f"de IS NULL AND dl IS NULL AND (bl IS NULL OR bl + 100 >= {AS_OF})"))
+
+    @cached_property
+    def born(self) -> DataFrame:
+        """Profiles with parsed births only."""
+        return self._parsed("birth")
+
+    def _parsed(self, *fields: str) -> DataFrame:
+        """A row's dates come out of a generator of one row: filters on them stay above it, and nothing copies the parser.
 
-        A row's dates come out of a generator of one row: filters on them stay above it, and nothing copies the parser.
         Keys are dealt out before: a file of millions of people can be one or two row groups, and no more tasks would parse."""
         n = DEALT * self.spark.sparkContext.defaultParallelism
         p = self._profiles(self.table("customer").select("c_custkey").repartition(n, "c_custkey"))
-        both = F.struct(*[dates.parse(F.col(f"{f}_raw")).alias(f) for f in ("birth", "death")])
-        p = p.select("*", F.explode(F.array(both)).alias("_d"))
-        for f in ("birth", "death"):
+        once = F.struct(*[dates.parse(F.col(f"{f}_raw")).alias(f) for f in fields])
+        p = p.select("*", F.explode(F.array(once)).alias("_d"))
+        for f in fields:
             e, l = F.col(f"_d.{f}.earliest"), F.col(f"_d.{f}.latest")  # noqa: E741
             p = p.withColumns({f"{f[0]}e": e, f"{f[0]}l": l, f"{f[0]}b": dates.best_year(e, l)})
-        return p.drop("_d").withColumn("living", F.expr(f"de IS NULL AND dl IS NULL AND (bl IS NULL OR bl + 100 >= {AS_OF})"))
+        return p.drop("_d")
 
     @cached_property
     def people(self) -> DataFrame:

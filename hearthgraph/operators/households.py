@@ -33,6 +33,8 @@ MATRIX = {
     ("spouse", "head"): "spouse", ("spouse", "child"): "child",
     ("child", "head"): "parent", ("child", "spouse"): "parent", ("child", "child"): "sibling",
 }
+#: What is known of a household by its target row.
+ANCHOR = ("n_targets", "target_n", "subject_category", "is_head")
 #: Relatives are looked through in this order.
 ORDER = ("parent", "child", "spouse", "sibling")
 
@@ -43,8 +45,9 @@ def category(role: Column) -> Column:
 
 
 def _category(r: Column) -> Column:
-    has = lambda words: F.greatest(*[r.contains(w) for w in words], F.lit(False))
-    out = F.when((r == "") | has(FURTHER) | has(NON_FAMILY), None)
+    # one pattern for all words: a test for each makes code that is too long to be compiled
+    has = lambda words: r.rlike("|".join(words))
+    out = F.when((r == "") | has(FURTHER + NON_FAMILY), None)
     for name, forms in SHORT.items():
         out = out.when(r.isin(*forms), name)
     for name, words in WORDS.items():
@@ -127,36 +130,75 @@ def reconcile(rosters: DataFrame, people: DataFrame, parents: DataFrame, spouses
     another forename, whom no other row takes or could be); missing. Members without relation: in_tree or in_law
     (parents-in-law of a head with one spouse), else out_of_scope.
     """
-    who = _persons(people)
-    heads = members(rosters.where("target")).groupBy("event").agg(F.count(F.lit(1)).alias("n_targets"), F.min(F.struct("n", "m_first", "m_surname", "born_by_roster", "sex", "category", "role", "subject_id", "m_vowels", "m_full")).alias("t"))
+    who = cut(_persons(people))
+    anchors = _anchored(rosters.where("target"), who)
+    # the names and roles of households without a subject are not looked at
+    return _rungs(rosters.join(anchors, "event"), who, parents, spouses)
+
+
+def anchored(heads: DataFrame, people: DataFrame) -> DataFrame:
+    """event and the columns ANCHOR of the households whose target row is its subject; `heads` are the target rows of rosters."""
+    return _anchored(heads, _persons(people))
+
+
+def reconcile_anchored(rosters: DataFrame, people: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
+    """reconcile() for rosters of anchored households that have the columns ANCHOR already."""
+    return _rungs(rosters, cut(_persons(people)), parents, spouses)
+
+
+def in_laws(rosters: DataFrame, people: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
+    """The rows of reconcile_anchored() with status in_law: event, n, name, status, profile_id.
+
+    No rung for relatives decides these, so none is worked out."""
+    m = _placed(rosters).where("relation IS NULL AND is_head")
+    asked = cut(_asked_in_laws(m, "name"))
+    names_ = asked.select("event", "n", "name")
+    found = _in_laws(asked, _persons(people), parents, spouses).where("in_law IS NULL")
+    return found.join(names_, ["event", "n"]).select("event", "n", "name", F.lit("in_law").alias("status"), F.col("spouse_id").alias("profile_id"))
+
+
+def _anchored(heads: DataFrame, who: DataFrame) -> DataFrame:
+    heads = members(heads).groupBy("event").agg(F.count(F.lit(1)).alias("n_targets"), F.min(F.struct("n", "m_first", "m_surname", "born_by_roster", "sex", "category", "role", "subject_id", "m_vowels", "m_full")).alias("t"))
     heads = heads.select("event", "n_targets", F.col("t.n").alias("target_n"), "t.m_vowels", "t.m_full", "t.m_surname", "t.born_by_roster", "t.sex", F.col("t.category").alias("subject_category"), F.lower("t.role").contains("head").alias("is_head"), F.col("t.subject_id").alias("pid"))
     known = heads.join(who, "pid").withColumn("same", _same_name()).where(f"{_NEAR_YEARS} AND (same OR (array_contains(known, m_surname) AND NOT {_SEX_BAD}))")
-    anchored = known.select("event", "n_targets", "target_n", "subject_category", "is_head")
-    # the names and roles of households without a subject are not looked at
-    m = members(rosters.join(anchored, "event"), *anchored.columns[1:])
-    m = m.withColumn("relation", F.when((F.col("n_targets") == 1) & F.col("m_first").isNotNull() & ~F.col("target"), relation(F.col("subject_category"), F.col("category"))))
-    # written once each: all rungs read them
-    m, who, kin = cut(m), cut(who), relatives(parents, spouses)
-    pairs = m.where("relation IS NOT NULL").join(kin.join(who, "pid"), "subject_id")
-    pairs = pairs.withColumns({"same": _same_name(), "near_years": F.expr(_NEAR_YEARS), "in_role": F.col("relation") == F.col("tree_relation"), "sex_bad": F.expr(_SEX_BAD), "same_surname": F.expr("coalesce(array_contains(known, m_surname), false)")})
+    return known.select("event", *ANCHOR)
+
+
+def _placed(rosters: DataFrame) -> DataFrame:
+    """Members of anchored households with their relation to the subject."""
+    m = members(rosters, *ANCHOR)
+    return m.withColumn("relation", F.when((F.col("n_targets") == 1) & F.col("m_first").isNotNull() & ~F.col("target"), relation(F.col("subject_category"), F.col("category"))))
+
+
+def _rungs(rosters: DataFrame, who: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
+    # written once: all rungs read them
+    m, kin = cut(_placed(rosters).drop("subject_category", "category", "n_targets")), relatives(parents, spouses)
+    own = m.where("relation IS NOT NULL").select("event", "n", "subject_id", "relation", "m_surname", "m_vowels", "m_full", "born_by_roster", "sex")
+    pairs = own.join(kin.join(who.drop("first"), "pid"), "subject_id")
+    pairs = pairs.withColumns({"same": _same_name(), "near_years": F.expr(_NEAR_YEARS), "in_role": F.col("relation") == F.col("tree_relation")})
+    fits = f"in_role AND near_years AND NOT {_SEX_BAD}"
+    # a pair of other names that does not fit either decides no rung
+    pairs = pairs.select(
+        "event", "n", "relation", "tree_relation", "pid", "same", "near_years", "in_role", F.expr(fits).alias("fits"), F.expr("born_by_roster IS NULL OR born IS NULL").alias("undated"),
+        F.expr("NOT same AND coalesce(array_contains(known, m_surname), false)").alias("other_forename"),
+    ).where("same OR fits")
     pairs = cut(pairs)
     rank = F.expr("CASE tree_relation " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(ORDER)) + " END")
-    fits = "in_role AND near_years AND NOT sex_bad"
     best = pairs.groupBy("event", "n").agg(
         F.min(F.when(F.col("same") & F.col("near_years"), F.struct(rank.alias("o"), "pid", "tree_relation"))).alias("exact"),
-        F.min(F.expr("CASE WHEN same AND in_role AND (relation IN ('parent', 'spouse') OR born_by_roster IS NULL OR born IS NULL) THEN pid END")).alias("by_role"),
-        F.count(F.expr(f"CASE WHEN {fits} THEN 1 END")).alias("n_fit"), F.min(F.expr(f"CASE WHEN {fits} THEN struct(pid, NOT same AND same_surname AS other_forename) END")).alias("fit"),
+        F.min(F.expr("CASE WHEN same AND in_role AND (relation IN ('parent', 'spouse') OR undated) THEN pid END")).alias("by_role"),
+        F.count(F.expr("CASE WHEN fits THEN 1 END")).alias("n_fit"), F.min(F.expr("CASE WHEN fits THEN struct(pid, other_forename) END")).alias("fit"),
     )
     best = cut(best.withColumn("resolved", F.coalesce("exact.pid", "by_role")))
     # a candidate of the near rung falls to nobody if another row has it, or could have it as well
     taken = best.where("resolved IS NOT NULL").select("event", F.col("resolved").alias("pid")).distinct().withColumn("taken", F.lit(True))
-    could = pairs.where(fits).join(best.where("resolved IS NULL").select("event", "n"), ["event", "n"]).groupBy("event", "pid", "relation").agg(F.count(F.lit(1)).alias("n_rivals"))
+    could = pairs.where("fits").join(best.where("resolved IS NULL").select("event", "n"), ["event", "n"]).groupBy("event", "pid", "relation").agg(F.count(F.lit(1)).alias("n_rivals"))
     near = best.where("resolved IS NULL AND n_fit = 1 AND fit.other_forename").select("event", "n", F.col("fit.pid").alias("pid")).join(m.select("event", "n", "relation"), ["event", "n"])
     near = near.join(taken, ["event", "pid"], "left_anti").join(could.where("n_rivals = 1"), ["event", "pid", "relation"]).select("event", "n", F.col("pid").alias("near"))
     rows = m.join(best.select("event", "n", "exact", "by_role"), ["event", "n"], "left").join(near, ["event", "n"], "left")
     rows = cut(rows)
     open_ = rows.where("relation IS NOT NULL AND exact IS NULL AND by_role IS NULL")
-    rows = rows.join(_elsewhere(open_, who), ["event", "n"], "left").join(_in_laws(rows.where("relation IS NULL AND is_head"), who, parents, spouses), ["event", "n"], "left")
+    rows = rows.join(_elsewhere(open_, who), ["event", "n"], "left").join(_in_laws(_asked_in_laws(rows.where("relation IS NULL AND is_head")), who, parents, spouses), ["event", "n"], "left")
     is_subject = F.col("target") & (F.col("n") == F.col("target_n"))
     status = (
         F.when(is_subject, "subject").when(F.col("relation").isNull(), F.when(F.col("spouse_id").isNull(), "out_of_scope").when(F.col("in_law").isNotNull(), "in_tree").otherwise("in_law"))
@@ -181,9 +223,12 @@ def _elsewhere(open_: DataFrame, who: DataFrame) -> DataFrame:
     return asked.join(both, ["surname", "born", "key"]).groupBy("event", "n").agg(F.min(F.expr("CASE WHEN lo <> subject_id THEN lo ELSE next END")).alias("elsewhere"))
 
 
-def _in_laws(rows: DataFrame, who: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
+def _asked_in_laws(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.where(parent_in_law(F.col("role")).isNotNull() & ~F.col("target")).select("event", "n", "subject_id", "m_vowels", "m_full", "m_surname", *more)
+
+
+def _in_laws(asked: DataFrame, who: DataFrame, parents: DataFrame, spouses: DataFrame) -> DataFrame:
     """event, n, spouse_id, in_law: the head's only spouse and that spouse's parent of equal name, if there is one."""
-    asked = rows.where(parent_in_law(F.col("role")).isNotNull() & ~F.col("target")).select("event", "n", "subject_id", "m_vowels", "m_full", "m_surname")
     lone = spouses.select(F.col("id").alias("subject_id"), "other").distinct().groupBy("subject_id").agg(F.min("other").alias("spouse_id"), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
     up = parents.select(F.col("to_id").alias("spouse_id"), F.col("from_id").alias("pid")).distinct().join(who, "pid")
     both = asked.join(lone, "subject_id").join(up, "spouse_id", "left").withColumn("same", _same_name())
@@ -198,7 +243,10 @@ def findings(reconciled: DataFrame) -> DataFrame:
     return first.where("x.status IN ('missing', 'contradiction')").select("subject_id", F.col("x.status").alias("kind"), "relation", "x.name", "x.profile_id")
 
 
-def married_names(reconciled: DataFrame, rosters: DataFrame) -> DataFrame:
-    """profile_id, maiden: a spouse's name at birth by the surname of a parent-in-law on the head's schedule, if all schedules agree."""
-    found = reconciled.where("status = 'in_law'").select("event", "n", "profile_id").join(members(rosters).select("event", "n", "m_surname"), ["event", "n"]).where("m_surname IS NOT NULL")
+def married_names(reconciled: DataFrame, rosters: DataFrame | None = None) -> DataFrame:
+    """profile_id, maiden: a spouse's name at birth by the surname of a parent-in-law on the head's schedule, if all schedules agree.
+
+    The rows have the names, so rosters are not read again; the argument is left for callers that give it."""
+    w = _words(F.col("name"))
+    found = reconciled.where("status = 'in_law'").select("profile_id", F.when(F.size(w) > 1, F.element_at(w, -1)).alias("m_surname")).where("m_surname IS NOT NULL")
     return found.groupBy("profile_id").agg(F.min("m_surname").alias("maiden"), F.max("m_surname").alias("_hi")).where("maiden = _hi").drop("_hi")

@@ -46,6 +46,24 @@ def test_findings_and_maiden_names(spark):
     assert [tuple(x) for x in households.married_names(r, rosters).collect()] == [(2, "WICKSTEAD")]
 
 
+def test_in_laws_alone_are_those_of_all_rungs(spark, monkeypatch):
+    rows = [
+        (10, 1, 1, 1881, "Tobin Holmden", "Head", 41, None, "M", True), (10, 2, 1, 1881, "Edith Doxam", "Mother-in-law", None, None, "F", False), (10, 3, 1, 1881, "Jo Wickstead", "Father in law", None, None, None, False), (10, 4, 1, 1881, "Sam Holmden", "Son", 15, None, "M", False),
+        (11, 1, 1, 1891, "Tobin Holmden", "Hd", 20, None, "M", True), (11, 2, 1, 1891, "Jo Moss", "Mother-in-law", None, None, None, False), (12, 1, 1, 1891, "Tobin Holmden", "Head", 51, None, "M", True), (12, 2, 1, 1891, "Jo", "Fa-Law", None, None, None, False), (12, 3, 1, 1891, None, "Ma-Law", None, None, None, False),
+    ]
+    rosters, people, parents, spouses = tables(spark, rows)
+    written = []
+    monkeypatch.setattr(households, "cut", lambda df, cut=households.cut: written.append(df.columns) or cut(df))
+    anchors = households.anchored(rosters.where("target"), people)
+    alone = households.in_laws(rosters.join(anchors, "event"), people, parents, spouses)
+    assert len(written) == 1
+    columns = ["event", "n", "name", "status", "profile_id"]
+    whole = households.reconcile(rosters, people, parents, spouses).where("status = 'in_law'").select(columns)
+    want = {(10, 3, "Jo Wickstead", "in_law", 2), (12, 2, "Jo", "in_law", 2), (12, 3, None, "in_law", 2)}
+    assert alone.columns == columns and {tuple(r) for r in alone.collect()} == want == {tuple(r) for r in whole.collect()}
+    assert [tuple(r) for r in households.married_names(alone).collect()] == [(2, "WICKSTEAD")]
+
+
 def test_near_rung_needs_one_free_candidate(spark):
     head = (10, 1, 1, 1881, "Tobin Holmden", "Head", 41, None, "M", True)
     rivals = [head, (10, 2, 1, 1881, "Wilfred Holmden", "son", 10, None, "M", False), (10, 3, 1, 1881, "Ansel Holmden", "son", 11, None, "M", False)]
