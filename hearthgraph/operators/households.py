@@ -185,30 +185,36 @@ def _rungs(rosters: DataFrame, who: DataFrame, parents: DataFrame, spouses: Data
     pairs = cut(pairs)
     rank = F.expr("CASE tree_relation " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(ORDER)) + " END")
     best = pairs.groupBy("event", "n").agg(
-        F.min(F.when(F.col("same") & F.col("near_years"), F.struct(rank.alias("o"), "pid", "tree_relation"))).alias("exact"),
+        F.min(F.when(F.col("same") & F.col("near_years"), F.struct(rank.alias("o"), "pid", "in_role"))).alias("exact"),
         F.min(F.expr("CASE WHEN same AND in_role AND (relation IN ('parent', 'spouse') OR undated) THEN pid END")).alias("by_role"),
-        F.count(F.expr("CASE WHEN fits THEN 1 END")).alias("n_fit"), F.min(F.expr("CASE WHEN fits THEN struct(pid, other_forename) END")).alias("fit"),
+        F.count(F.expr("CASE WHEN fits THEN 1 END")).alias("n_fit"), F.min(F.expr("CASE WHEN fits THEN struct(pid, other_forename, relation) END")).alias("fit"),
     )
     best = cut(best.withColumn("resolved", F.coalesce("exact.pid", "by_role")))
     # a candidate of the near rung falls to nobody if another row has it, or could have it as well
     taken = best.where("resolved IS NOT NULL").select("event", F.col("resolved").alias("pid")).distinct().withColumn("taken", F.lit(True))
     could = pairs.where("fits").join(best.where("resolved IS NULL").select("event", "n"), ["event", "n"]).groupBy("event", "pid", "relation").agg(F.count(F.lit(1)).alias("n_rivals"))
-    near = best.where("resolved IS NULL AND n_fit = 1 AND fit.other_forename").select("event", "n", F.col("fit.pid").alias("pid")).join(m.select("event", "n", "relation"), ["event", "n"])
-    near = near.join(taken, ["event", "pid"], "left_anti").join(could.where("n_rivals = 1"), ["event", "pid", "relation"]).select("event", "n", F.col("pid").alias("near"))
-    rows = m.join(best.select("event", "n", "exact", "by_role"), ["event", "n"], "left").join(near, ["event", "n"], "left")
-    rows = cut(rows)
-    open_ = rows.where("relation IS NOT NULL AND exact IS NULL AND by_role IS NULL")
-    rows = rows.join(_elsewhere(open_, who), ["event", "n"], "left").join(_in_laws(_asked_in_laws(rows.where("relation IS NULL AND is_head")), who, parents, spouses), ["event", "n"], "left")
-    is_subject = F.col("target") & (F.col("n") == F.col("target_n"))
-    status = (
-        F.when(is_subject, "subject").when(F.col("relation").isNull(), F.when(F.col("spouse_id").isNull(), "out_of_scope").when(F.col("in_law").isNotNull(), "in_tree").otherwise("in_law"))
-        .when(F.col("exact").isNotNull(), F.when(F.col("exact.tree_relation") == F.col("relation"), "in_tree").otherwise("contradiction"))
-        .when(F.col("by_role").isNotNull(), "in_tree").when(F.col("elsewhere").isNotNull(), "unlinked").when(F.col("near").isNotNull(), "near").otherwise("missing")
+    near = best.where("resolved IS NULL AND n_fit = 1 AND fit.other_forename").select("event", "n", F.col("fit.pid").alias("pid"), F.col("fit.relation").alias("relation"))
+    near = near.join(taken, ["event", "pid"], "left_anti").join(could.where("n_rivals = 1"), ["event", "pid", "relation"])
+    known = best.where("resolved IS NOT NULL")
+    elsewhere = _elsewhere(m.where("relation IS NOT NULL").join(known.select("event", "n"), ["event", "n"], "left_anti"), who)
+    laws = _in_laws(_asked_in_laws(m.where("relation IS NULL AND is_head")), who, parents, spouses)
+    # what the rungs found meets the members once
+    found = (
+        _rung(known, 0, "CASE WHEN NOT exact.in_role THEN 'contradiction' ELSE 'in_tree' END", "resolved").unionByName(_rung(laws.where("spouse_id IS NOT NULL"), 0, "CASE WHEN in_law IS NOT NULL THEN 'in_tree' ELSE 'in_law' END", "coalesce(in_law, spouse_id)"))
+        .unionByName(_rung(elsewhere.where("elsewhere IS NOT NULL"), 1, "'unlinked'", "elsewhere")).unionByName(_rung(near, 2, "'near'", "pid"))
     )
-    whom = F.when(is_subject, F.col("subject_id")).when(F.col("relation").isNull(), F.coalesce("in_law", "spouse_id")).otherwise(F.coalesce("exact.pid", "by_role", "elsewhere", "near"))
+    found = found.groupBy("event", "n").agg(F.min("found").alias("found"))
+    rows = m.select("event", "n", "subject_id", "name", "year", "relation", "target", "target_n").join(found, ["event", "n"], "left")
+    is_subject = F.col("target") & (F.col("n") == F.col("target_n"))
+    status = F.when(is_subject, "subject").otherwise(F.coalesce("found.status", F.when(F.col("relation").isNull(), "out_of_scope").otherwise("missing")))
+    whom = F.when(is_subject, F.col("subject_id")).otherwise(F.col("found.pid"))
     return rows.select("event", "n", "subject_id", "name", "year", F.when(~is_subject, F.col("relation")).alias("relation"), status.alias("status"), whom.alias("profile_id"))
 
 
+def _rung(rows: DataFrame, rung: int, status: str, pid: str) -> DataFrame:
+    return rows.select("event", "n", F.struct(F.lit(rung).alias("rung"), F.expr(status).alias("status"), F.expr(pid).alias("pid")).alias("found"))
+
+
 def _elsewhere(open_: DataFrame, who: DataFrame) -> DataFrame:
     """event, n, elsewhere: the smallest id but the subject's of equal name and near years.
 

@@ -46,6 +46,20 @@ def test_findings_and_maiden_names(spark):
     assert [tuple(x) for x in households.married_names(r, rosters).collect()] == [(2, "WICKSTEAD")]
 
 
+def test_only_pairs_that_decide_a_rung_are_written(spark, monkeypatch):
+    rows = [
+        (10, 1, 1, 1881, "Tobin Holmden", "Head", 41, None, "M", True), (10, 2, 1, 1881, "Una HOLMDEN", "Wife", 60, None, "F", False), (10, 3, 1, 1881, "Samuel Holmden", "Son", 15, None, "M", False),
+        (10, 4, 1, 1881, "Wilfred Holmden", "son", 10, None, None, False), (10, 5, 1, 1881, "New Holmden", "Daur", 1, None, "F", False),
+    ]
+    written = []
+    monkeypatch.setattr(households, "cut", lambda df, cut=households.cut: written.append(cut(df)) or written[-1])
+    assert {r.n: r.status for r in households.reconcile(*tables(spark, rows)).collect()} == {1: "subject", 2: "in_tree", 3: "in_tree", 4: "near", 5: "missing"}
+    pairs = [t for t in written if "tree_relation" in t.columns]
+    # four members by five relatives are 20 pairs
+    assert [t.count() for t in pairs] == [3]
+    assert len(written) == 4
+
+
 def test_in_laws_alone_are_those_of_all_rungs(spark, monkeypatch):
     rows = [
         (10, 1, 1, 1881, "Tobin Holmden", "Head", 41, None, "M", True), (10, 2, 1, 1881, "Edith Doxam", "Mother-in-law", None, None, "F", False), (10, 3, 1, 1881, "Jo Wickstead", "Father in law", None, None, None, False), (10, 4, 1, 1881, "Sam Holmden", "Son", 15, None, "M", False),
