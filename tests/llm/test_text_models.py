@@ -145,6 +145,37 @@ def test_encoding_round_trips(spark):
     assert segment.encode(samples.docs(spark, []), PIECE_MODEL).count() == 0
 
 
+def test_vocabulary_is_hashed_side_by_side(monkeypatch):
+    step, calls = segment.Vocabulary.step, []
+    monkeypatch.setattr(segment.Vocabulary, "step", staticmethod(lambda h, c: calls.append(len(h)) or step(h, c)))
+    v = segment.Vocabulary(PIECE_MODEL)
+    assert 0 < len(calls) <= v.longest and sum(calls) == sum(map(len, v.id))
+    for p, i in [*list(v.id.items())[::97], ("qzqzqzqz", -1)]:
+        h = np.zeros(1, np.uint64)
+        for c in p:
+            h = step(h, np.array([ord(c)], np.uint64))
+        assert v.find(h).tolist() == [i]
+
+
+AWKWARD = ["", " ", "a b", "  lead", "trail ", "☃ é\n日本", "\x00", "\ufffd", "▁", "a▁b", "☃▁", "ﬁ", "\U0001f600\r\n", "<0x41> <unk>", "x" * 100]
+
+
+def test_restored_texts_are_those_that_decode_gives(vocabulary, monkeypatch):
+    monkeypatch.setattr(segment, "SPELLED_AT_ONCE", 7)
+    ids = [x for x, _ in segment.Encoder(vocabulary, 3).encode(AWKWARD)]
+    wrong = [*ids, np.array([vocabulary.byte[0xE2], vocabulary.byte[0x28]]), ids[2][1:], ids[5][:-1]]
+    texts = [*AWKWARD, "?", "a b", AWKWARD[5]]
+    want = [segment.decode(x.tolist(), vocabulary) == t for x, t in zip(wrong, texts)]
+    flat, sizes = np.concatenate(wrong).astype(np.int32), np.array([len(x) for x in wrong])
+    assert segment.restored(flat, sizes, texts, vocabulary) == want
+    assert segment.restored(flat[:0], sizes[:1], [""], vocabulary) == [True]
+    assert want.count(False) == 6 and not any(want[-3:])
+    # pieces are not walked one by one where the bytes agree
+    monkeypatch.setattr(segment, "decode", None)
+    plain = [k for k, t in enumerate(AWKWARD) if t and want[k] and "▁" not in t]
+    assert all(segment.restored(ids[k], np.array([len(ids[k])]), [AWKWARD[k]], vocabulary)[0] for k in plain) and len(plain) == 11
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a>About us</a></li></ul></nav>
 <div class="ad">Buy this now!</div><article><h1>A &amp; B</h1><p>First  par &eacute;\n one.<br>more<p>Second <b>bold</b> text here.</article>
 <section class="comments"><h3>Comments</h3><div class="comment"><p>I like it.</p></div></section><footer>&copy; 2020 Us</footer></body></html>"""
