@@ -106,11 +106,14 @@ class Catalog:
     sf_dir: str
 
     def written(self) -> Catalog:
-        """The same tables with people and edges written to the shared folder once, for jobs that read them many times."""
+        """The same tables with people and edges written to the shared folder once, for jobs that read them many times.
+
+        All are joined by key: their files are a small part of their rows' size in memory, and Spark, which goes by the
+        files, would gather millions of rows in the driver and send them to every task."""
         out = Catalog(self.spark, self.sf_dir)
-        out.__dict__.update(edges=cut(self.edges))
-        out.__dict__.update(people=cut(out.people))
-        out.__dict__.update(dated=out.people.drop("n_parents", "n_children", "n_spouses"))
+        out.__dict__.update(edges=cut(self.edges).hint("merge"))
+        out.__dict__.update(people=cut(out.people).hint("merge"))
+        out.__dict__.update(dated=out.people.drop("n_parents", "n_children", "n_spouses"), spouses=out.spouses.hint("merge"))
         return out
 
     def table(self, name: str) -> DataFrame:
@@ -138,7 +141,8 @@ class Catalog:
             F.lit("spouse").alias("type"), F.col("c_custkey").alias("from_id"), F.expr("CASE WHEN c_custkey % 211 = 40 THEN c_custkey ELSE c_custkey + 1 END").alias("to_id"),
             F.lit(None).cast("string").alias("role"), F.expr(_MARRIED).alias("year"),
         )
-        # only edges between people that are there
+        # only edges between people that are there, whose ids are too many for the driver
+        ids = ids.hint("merge")
         both = parents.unionByName(spouses).where(LINKED)
         return both.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
 
@@ -182,12 +186,12 @@ class Catalog:
         ends = F.array(F.struct(F.col("to_id").alias("id"), F.when(parent, "p").otherwise("s").alias("k")), F.struct(F.col("from_id").alias("id"), F.when(parent, "c").otherwise("s").alias("k")))
         stacked = self.edges.where("type = 'parent' OR from_id <> to_id").select(F.explode(ends).alias("x")).select("x.*")
         counts = stacked.groupBy("id").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(n) for k, n in (("p", "n_parents"), ("c", "n_children"), ("s", "n_spouses"))])
-        return self.dated.join(counts, "id", "left").fillna(0, ["n_parents", "n_children", "n_spouses"])
+        return self.dated.join(counts.hint("merge"), "id", "left").fillna(0, ["n_parents", "n_children", "n_spouses"])
 
     @cached_property
     def parent_pairs(self) -> DataFrame:
         """Each parent edge with the child's columns (c_) and the parent's (p_)."""
-        own = self.dated.select("id", "given", "surname", "gender", "be", "bl", "bb", "de", "dl", "db")
+        own = self.dated.select("id", "given", "surname", "gender", "be", "bl", "bb", "de", "dl", "db").hint("merge")
         c = own.select(*[F.col(x).alias(f"c_{x}") for x in own.columns])
         p = own.select(*[F.col(x).alias(f"p_{x}") for x in own.columns])
         return self.parents.join(c, F.col("to_id") == F.col("c_id")).join(p, F.col("from_id") == F.col("p_id"))
@@ -195,7 +199,7 @@ class Catalog:
     @cached_property
     def marriages(self) -> DataFrame:
         """Each spouse of each marriage with its own columns: id, other, year, …"""
-        return self.spouses.join(self.dated, "id")
+        return self.spouses.join(self.dated.hint("merge"), "id")
 
     @cached_property
     def life(self) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..carriers import DEALT
 from ..checkpoints import cut
 from ..functions import dates, names
 
@@ -17,8 +18,10 @@ from ..functions import dates, names
 #: an alike given name that count without dates; years between disjoint births that tell people apart.
 SURNAME, GIVEN, BIRTH, LEAST, NEAR, ALIKE, YEARS = 0.4, 0.3, 0.3, 0.7, 0.9, 0.7, 10
 
-#: Up to so many rows of two numbers are sent to every task, else joined by key.
+#: Up to so many rows of two numbers, or classes, are sent to every task, else joined by key. All other joins are by
+#: key: the size of files, by which Spark would choose, tells too little of the rows in the driver's memory.
 FEW = 500_000
+FEW_CLASSES = 150_000
 
 _KEY = ["s", "g", "e0", "l0"]
 
@@ -55,7 +58,7 @@ def _classes(named: DataFrame) -> DataFrame:
 def members(people: DataFrame) -> DataFrame:
     """id, c: everyone with a surname, and the smallest id of the class."""
     named = _named(people)
-    return named.join(_classes(named).select(*_KEY, "c"), _KEY).select("id", "c")
+    return named.join(_classes(named).select(*_KEY, "c").hint("merge"), _KEY).select("id", "c")
 
 
 def _score(x: str, y: str) -> Column:
@@ -77,7 +80,7 @@ def class_links(people: DataFrame) -> DataFrame:
     Classes are written once. Names are compared as distinct names; classes meet by equal pairs of names, so within such a pair only distinct
     bounds of birth meet, of which the calendar has a bounded number however many people there are."""
     classes = cut(_classes(_named(people)))
-    full = classes.select("s", "g").distinct()
+    full = classes.hint("merge").select("s", "g").distinct()
     sims = {k: alike(full.where(f"{k} <> ''").select(F.col(k).alias("w")).distinct()) for k in ("s", "g")}
     as_names = lambda k: sims[k].select(F.col("x").alias(k), F.col("y").alias(f"{k}2"), F.col("sim").alias(f"sim_{k}"))
     both = full.where("g <> ''").join(as_names("s"), "s").join(as_names("g"), "g")
@@ -87,6 +90,9 @@ def class_links(people: DataFrame) -> DataFrame:
     lone = lone.unionByName(lone.where("g2 <> ''").select("s", F.col("g2").alias("g"), "s2", F.col("g").alias("g2")))
     lone = lone.withColumns({"sim_s": F.lit(1.0), "sim_g": F.lit(0.0)})
     pairs = both.select("s", "g", "s2", "g2", "sim_s", "sim_g").unionByName(lone.select("s", "g", "s2", "g2", "sim_s", "sim_g"))
+    # dealt out before they multiply: pairs of names are few rows, which would end up in a few tasks
+    pairs = pairs.repartition(DEALT * pairs.sparkSession.sparkContext.defaultParallelism, "s", "g", "s2", "g2")
+    classes = few(classes, FEW_CLASSES)
     x, y = classes.alias("x"), classes.alias("y")
     met = pairs.alias("p").join(x, (F.col("p.s") == F.col("x.s")) & (F.col("p.g") == F.col("x.g"))).join(y, (F.col("p.s2") == F.col("y.s")) & (F.col("p.g2") == F.col("y.g")))
     met = met.where("x.c < y.c OR (x.c = y.c AND x.n > 1)").withColumn("score", _score("x", "y")).where(F.col("score") >= LEAST)
@@ -98,7 +104,7 @@ def apart(parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     pairs = parents.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     if dismissed is not None:
         pairs = pairs.unionByName(dismissed.select("a", "b"))
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().hint("merge")
 
 
 def counted(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
@@ -131,7 +137,7 @@ def greatest_partners(people: DataFrame, parents: DataFrame, dismissed: DataFram
     links = cut(class_links(people))
     ways = links.select(F.col("a").alias("c"), F.col("b").alias("other"), F.col("top_b").alias("top"))
     ways = ways.unionByName(links.where("a <> b").select(F.col("b").alias("c"), F.col("a").alias("other"), F.col("top_a").alias("top")))
-    first = of.join(ways.groupBy("c").agg(F.max("top").alias("partner")), "c").where("id < partner")
+    first = of.join(ways.groupBy("c").agg(F.max("top").alias("partner")).hint("merge"), "c").where("id < partner")
     flagged = no.select(F.col("a").alias("id"), F.col("b").alias("partner"), F.lit(True).alias("no"))
     # written once: what follows is for few people, and must not sort the links of all classes for them
     first = cut(first.join(flagged, ["id", "partner"], "left"))
@@ -143,6 +149,6 @@ def greatest_partners(people: DataFrame, parents: DataFrame, dismissed: DataFram
     return first.where("no IS NULL").select("id", "partner").unionByName(found.groupBy("id").agg(F.max("partner").alias("partner")))
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows of two numbers, to be sent to every task where there are at most FEW."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows of two numbers, to be sent to every task where there are at most FEW (or `most`), else joined by key."""
+    return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows.hint("merge")

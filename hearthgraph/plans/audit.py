@@ -104,7 +104,7 @@ def _sibling_collision(cat: Catalog) -> DataFrame:
     sets = cat.parents.groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_set("from_id")).alias("ps")).where("size(ps) = 2")
     own = cat.people.where("given IS NOT NULL AND gender IS NOT NULL AND be IS NOT NULL AND bl IS NOT NULL").select("id", F.upper("given").alias("g"), "gender", "be", "bl").join(sets, "id")
     other = own.select(F.col("id").alias("o"), F.col("g").alias("o_g"), "gender", F.col("be").alias("o_be"), F.col("bl").alias("o_bl"), "ps")
-    pairs = own.join(other, ["ps", "gender"]).where("id < o AND be <= o_bl + 1 AND o_be <= bl + 1")
+    pairs = own.join(other.hint("merge"), ["ps", "gender"]).where("id < o AND be <= o_bl + 1 AND o_be <= bl + 1")
     return _flag(pairs.where(names.audit_similarity(F.col("g"), F.col("o_g")) < 0.7), "warning", F.array("o"))
 
 
@@ -172,11 +172,22 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+#: People without a name, who get issues only.
+_NAMELESS = "given IS NULL OR given = '?'"
+
+
+def _whole(r: Rule) -> bool:
+    """Nobody is left to be barred for a missing name: an issue, or a rule over people, who are barred as they are read."""
+    return r.category == "issue" or (not r.make and r.over == "people" and r.subject == "id")
+
+
 def _one_pass(cat: Catalog, rules: list[Rule]) -> DataFrame:
-    """The rows of all rules over one table, from one scan of it."""
+    """The rows of all rules over one table, from one scan of it; over people, without those that a missing name bars."""
     found = []
     for r in rules:
         severity = F.when(F.expr(r.certain), r.severity).when(F.expr(r.likely), "warning")
+        if r.category != "issue" and _whole(r):
+            severity = F.when(~F.expr(_NAMELESS), severity)
         related = F.array(F.col(r.related)).cast("array<long>") if r.related else _none()
         found.append(F.struct(F.lit(r.name).alias("rule_id"), F.col(r.subject).cast("long").alias("profile_id"), severity.alias("severity"), F.lit(r.category).alias("category"), related.alias("related")))
     return getattr(cat, rules[0].over).select(F.explode(F.filter(F.array(*found), lambda x: x["severity"].isNotNull())).alias("x")).select("x.*")
@@ -190,12 +201,12 @@ def findings(cat: Catalog, rules: tuple[Rule, ...] = RULES, mutes: DataFrame | N
     """
     cat, out = cat.written(), None
     plain = [r for r in rules if not r.make]
-    parts = [_one_pass(cat, [r for r in plain if r.over == over]) for over in dict.fromkeys(r.over for r in plain)]
-    parts += [r.rows(cat).select(F.lit(r.name).alias("rule_id"), "profile_id", "severity", F.lit(r.category).alias("category"), "related") for r in rules if r.make]
-    for part in parts:
+    parts = [(_one_pass(cat, [r for r in plain if (r.over, _whole(r)) == k]), k[1]) for k in dict.fromkeys((r.over, _whole(r)) for r in plain)]
+    parts += [(r.rows(cat).select(F.lit(r.name).alias("rule_id"), "profile_id", "severity", F.lit(r.category).alias("category"), "related"), _whole(r)) for r in rules if r.make]
+    nameless = cat.people.where(_NAMELESS).select(F.col("id").alias("profile_id"))
+    for part, whole in parts:
+        part = part if whole else part.join(nameless, "profile_id", "left_anti")
         out = part if out is None else out.unionByName(part)
-    nameless = cat.profiles.where("given IS NULL OR given = '?'").select(F.col("id").alias("profile_id"), F.lit(True).alias("_nameless"))
-    out = out.join(nameless, "profile_id", "left").where("category = 'issue' OR _nameless IS NULL").drop("_nameless")
     if mutes is not None:
         out = out.join(mutes.where("profile_id IS NULL").select("rule_id"), "rule_id", "left_anti").join(mutes.where("profile_id IS NOT NULL"), ["rule_id", "profile_id"], "left_anti")
     return out.select("rule_id", "profile_id", "severity", "category", "related")
