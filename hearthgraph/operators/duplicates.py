@@ -23,6 +23,9 @@ SURNAME, GIVEN, BIRTH, LEAST, NEAR, ALIKE, YEARS = 0.4, 0.3, 0.3, 0.7, 0.9, 0.7,
 FEW = 500_000
 FEW_CLASSES = 150_000
 
+#: About so many people of a class stand in one row while they meet those of another.
+BLOCK = 128
+
 _KEY = ["s", "g", "e0", "l0"]
 
 
@@ -118,6 +121,34 @@ def counted(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None =
     return links.where("n_pairs > 0").select("a", "b", "score", "n_pairs")
 
 
+def _block(n: str) -> Column:
+    """Blocks of a class of n people, from 0; people are dealt into them by their ids."""
+    return F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}")
+
+
+def pairs(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
+    """a < b, score: every pair of people who may be one, without parents with their children and dismissed pairs.
+
+    Linked classes meet by blocks of people: a pair of blocks is one row until its pairs are written, and a class of any
+    size is many rows, so no task holds a class. Pairs kept apart go with the pair of blocks they are in."""
+    people = cut(people.select("id", "given", "surname", "be", "bl"))
+    named, links = _named(people), class_links(people)
+    dealt = named.join(_classes(named).select(*_KEY, "c", "n").hint("merge"), _KEY).select("c", F.pmod(F.xxhash64("id"), _block("n")).alias("k"), "id")
+    blocks = cut(dealt.groupBy("c", "k").agg(F.collect_list("id").alias("ids")))
+    of = blocks.select("c", "k", F.explode("ids").alias("id")).hint("merge")
+    side = lambda x: of.select(F.col("id").alias(x), F.struct("c", "k").alias(f"{x}_in"))
+    gone = apart(parents, dismissed).join(side("a"), "a").join(side("b"), "b").select("a", "b", F.least("a_in", "b_in").alias("x"), F.greatest("a_in", "b_in").alias("y"))
+    gone = gone.groupBy(F.col("x.c").alias("ca"), F.col("x.k").alias("ka"), F.col("y.c").alias("cb"), F.col("y.k").alias("kb")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    met = links.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "score", "n_b", F.explode(F.sequence(F.lit(0), _block("n_a") - 1)).alias("ka"))
+    met = met.select("ca", "cb", "score", "ka", F.explode(F.sequence(F.lit(0), _block("n_b") - 1)).alias("kb")).where("ca < cb OR ka <= kb")
+    met = met.join(gone.hint("merge"), ["ca", "ka", "cb", "kb"], "left")
+    for end in "ab":
+        met = met.join(blocks.select(F.col("c").alias(f"c{end}"), F.col("k").alias(f"k{end}"), F.col("ids").alias(f"ids_{end}")).hint("merge"), [f"c{end}", f"k{end}"])
+    met = met.select("score", "gone", "ids_b", F.expr("ca = cb AND ka = kb").alias("same"), F.explode("ids_a").alias("x")).select("score", "gone", "same", "x", F.explode("ids_b").alias("y"))
+    met = met.where("NOT same OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score", "gone")
+    return met.where("gone IS NULL OR NOT array_contains(gone, struct(a, b))").select("a", "b", "score")
+
+
 def parted(people: DataFrame, parents: DataFrame, dismissed: DataFrame | None = None) -> DataFrame:
     """a < b: the pairs of people in linked classes that `counted` takes out of n_pairs.
 

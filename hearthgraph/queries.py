@@ -428,8 +428,14 @@ def j24_diff(cat):
     return corpus.refresh(old, new, "id", "birth_raw")
 
 
-@query("J13_duplicate_pairs", f"SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, CAST(max(score) AS DOUBLE) AS score, count(*) AS n_pairs FROM ({_DUP}) GROUP BY 1, 2")
+@query("J13_duplicate_pairs", f"SELECT a, b, CAST(score AS DOUBLE) AS score FROM ({_DUP})")
 def j13_pairs(cat):
+    """All pairs of like people."""
+    return duplicates.pairs(cat.dated, cat.parents)
+
+
+@query("J13_duplicate_classes", f"SELECT least(ca, cb) AS a, greatest(ca, cb) AS b, CAST(max(score) AS DOUBLE) AS score, count(*) AS n_pairs FROM ({_DUP}) GROUP BY 1, 2")
+def j13_classes(cat):
     """Pairs of classes of like people; J13_duplicate_members has the people."""
     return duplicates.counted(cat.dated, cat.parents)
 
@@ -441,7 +447,7 @@ def j13_members(cat):
 
 @query("J13_duplicate_apart", f"SELECT a, b FROM ({_DUP.replace('NOT EXISTS', 'EXISTS')})")
 def j13_apart(cat):
-    """The people that J13_duplicate_pairs leaves out of its counts: with it and J13_duplicate_members, each pair of people follows."""
+    """The people that J13_duplicate_classes leaves out of its counts: with it and J13_duplicate_members, each pair of people follows."""
     return duplicates.parted(cat.dated, cat.parents)
 
 

@@ -122,3 +122,28 @@ def test_links_of_all_classes_are_not_sorted_for_the_few_kept_apart(spark, monke
     got = duplicates.greatest_partners(spark.createDataFrame(people, PEOPLE), spark.createDataFrame(edges, EDGES), spark.createDataFrame(dismissed, "a long, b long"))
     # the links are used up by then: what is left joins only the people whose greatest partner is kept apart
     assert "top_b" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("block", [1, 3, 128])
+def test_every_pair_of_people_comes_out_whatever_the_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(duplicates, "BLOCK", block)
+    people = [(k, "George" if k % 3 else "Ann", "Keld" if k % 2 else "Kelds", 1850 + k % 2, 1852) for k in range(1, 25)] + [(k, "Ivy", "Moss", None, None) for k in (30, 31, 32)] + [(40, None, "Moss", None, None), (41, "Ivy", None, None, None)]
+    edges, dismissed = [(1, 5), (7, 1), (2, 8), (2, 5), (3, 4), (30, 31), (31, 30), (9, 9)], [(11, 5), (8, 1), (41, 30)]
+    p, e, d = spark.createDataFrame(people, PEOPLE), spark.createDataFrame(edges, EDGES), spark.createDataFrame(dismissed, "a long, b long")
+    rows = [tuple(r) for r in duplicates.pairs(p, e, d).collect()]
+    want = all_pairs(spark, people, edges, dismissed)
+    assert {r[:2]: r[2] for r in rows} == want and len(rows) == len(want) > 100
+
+
+def test_query_of_pairs_lists_people_not_classes(spark):
+    import __spark_entry__
+
+    made = {k: __spark_entry__.queries()[f"J13_duplicate_{k}"](spark, "/root/testdata/sf0.001") for k in ("pairs", "classes", "members")}
+    assert made["pairs"].columns == ["a", "b", "score"]
+    of = {r.id: r.c for r in made["members"].collect()}
+    counts = {}
+    for r in made["pairs"].collect():
+        key = (*sorted((of[r.a], of[r.b])), r.score)
+        assert r.a < r.b
+        counts[key] = counts.get(key, 0) + 1
+    assert counts and counts == {(r.a, r.b, r.score): r.n_pairs for r in made["classes"].collect()}
